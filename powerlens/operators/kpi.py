@@ -178,3 +178,310 @@ def rack_cop_daily(spark: SparkSession, readings: DataFrame, start, end, max_gap
         piv, (grid["irc_node"] == piv["hostname"]) & (grid["date"] == piv["date"]), "left"
     ).select(grid["date"], "rack", "irc_node", *K.COP_METRICS)
     return _cop_columns(out)
+
+
+# --------------------------------------------------------------------------
+# node / metric energies feeding the component and rack KPIs
+
+
+def metric_energy(readings: DataFrame, start, end) -> DataFrame:
+    """Per (host, metric) T3 energy with the query bounds; devices are
+    integrated separately and summed (T11).  Adds ``category`` (B13)."""
+    from ..functions.nodes import metric_category
+
+    dev = E.energy_per_fqdd(readings, start, end)
+    per_metric = dev.where(F.col("fqdd") == "TOTAL").select("hostname", "metric", "energy_kwh")
+    return per_metric.withColumn("category", metric_category("metric"))
+
+
+def node_energy(spark: SparkSession, readings: DataFrame, start, end) -> DataFrame:
+    """T4 energy per listed host and default metric (B11), one plan."""
+    from .filters import metrics_for_node
+
+    wanted = F.broadcast(metrics_for_node(dimensions.inventory(spark)).select("hostname", "metric"))
+    r = readings.where(F.col("ts").between(_ts(start), _ts(end))).join(wanted, ["hostname", "metric"], "left_semi")
+    return E.energy_hold(r, ["hostname", "metric", "fqdd"], start, end).groupBy("hostname", "metric").agg(
+        F.sum("energy_kwh").alias("energy_kwh")
+    )
+
+
+def multi_node_energy(readings: DataFrame, start, end) -> DataFrame:
+    """T3 energy for every host and metric, with its database."""
+    from ..functions.nodes import node_database
+
+    r = readings.where(F.col("ts").between(_ts(start), _ts(end)))
+    e = E.energy_boundary(r, ["hostname", "metric", "fqdd"], start, end)
+    return e.groupBy("hostname", "metric").agg(F.sum("energy_kwh").alias("energy_kwh")).withColumn(
+        "database", node_database("hostname")
+    )
+
+
+def metric_energy_table(readings: DataFrame, start, end) -> DataFrame:
+    """The six fixed metrics of every compute host in kWh and Wh plus a
+    per-host sum row (ROLLUP).  Bounds are used unless the data start or end
+    more than 7200 s inside the window (T15 short form)."""
+    from .windows import boundary_guard
+
+    r = readings.where(F.col("metric").isin(K.NODE_ENERGY_TABLE_METRICS) & F.col("ts").between(_ts(start), _ts(end)))
+    r = r.withColumn("start_ts", _ts(start)).withColumn("end_ts", _ts(end))
+    g = boundary_guard(r, ["hostname", "metric"], short=True).select("hostname", "metric", "use_boundaries")
+    r = r.join(g, ["hostname", "metric"])
+    r = r.withColumn("_s", F.when(F.col("use_boundaries"), F.col("start_ts"))).withColumn(
+        "_e", F.when(F.col("use_boundaries"), F.col("end_ts"))
+    )
+    e = E.energy_boundary(r, ["hostname", "metric", "fqdd"], F.col("_s"), F.col("_e"))
+    per = e.groupBy("hostname", "metric").agg(F.sum("energy_kwh").alias("energy_kwh"))
+    roll = per.rollup("hostname", "metric").agg(F.sum("energy_kwh").alias("energy_kwh"), F.grouping_id().alias("_g"))
+    roll = roll.where(F.col("_g") < 3)
+    return roll.select(
+        "hostname",
+        F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col("metric")).alias("metric"),
+        "energy_kwh",
+        (F.col("energy_kwh") * 1000.0).alias("energy_wh"),
+    )
+
+
+# --------------------------------------------------------------------------
+# components
+
+
+def _cat_energy(me: DataFrame, cat: str, total_metric: str | None) -> Column:
+    """coalesce(energy of the category's total metric, sum of the category)."""
+    in_cat = F.col("category") == cat
+    tot = F.max(F.when(F.col("metric") == total_metric, F.col("energy_kwh"))) if total_metric else F.lit(None)
+    return F.coalesce(tot, F.sum(F.when(in_cat, F.col("energy_kwh"))), F.lit(0.0))
+
+
+def component_totals(readings: DataFrame, start, end) -> DataFrame:
+    """Per host: CPU, MEMORY, GPU total, FAN, STORAGE and SystemOutput kWh."""
+    me = metric_energy(readings.where(F.col("node_type") == "compute"), start, end)
+    dev = E.energy_per_fqdd(readings.where(F.col("metric") == "PowerConsumption"), start, end)
+    gpu = dev.where(F.col("fqdd") == "TOTAL").groupBy("hostname").agg(F.sum("energy_kwh").alias("gpu_total"))
+    agg = me.groupBy("hostname").agg(
+        _cat_energy(me, "CPU", K.CATEGORY_TOTAL_METRIC["CPU"]).alias("cpu"),
+        _cat_energy(me, "MEMORY", K.CATEGORY_TOTAL_METRIC["MEMORY"]).alias("memory"),
+        _cat_energy(me, "FAN", K.CATEGORY_TOTAL_METRIC["FAN"]).alias("fan"),
+        _cat_energy(me, "STORAGE", K.CATEGORY_TOTAL_METRIC["STORAGE"]).alias("storage"),
+        F.coalesce(F.max(F.when(F.col("metric") == "SystemOutputPower", F.col("energy_kwh"))), F.lit(0.0)).alias("system_output"),
+    )
+    return agg.join(gpu, "hostname", "left").withColumn("gpu_total", F.coalesce("gpu_total", F.lit(0.0)))
+
+
+def component_breakdown(readings: DataFrame, start, end) -> DataFrame:
+    """Per host rows CPU, MEMORY, GPU (fqdd=x)..., GPU Total, FAN,
+    STORAGE, SystemOutputPower with an ``order_idx`` (missing -> 0.0)."""
+    t = component_totals(readings, start, end)
+    fixed = t.select(
+        "hostname",
+        F.inline(
+            F.array(
+                F.struct(F.lit("CPU").alias("component"), F.col("cpu").alias("energy_kwh"), F.lit(0).alias("order_idx")),
+                F.struct(F.lit("MEMORY").alias("component"), F.col("memory").alias("energy_kwh"), F.lit(1).alias("order_idx")),
+                F.struct(F.lit("GPU Total").alias("component"), F.col("gpu_total").alias("energy_kwh"), F.lit(3).alias("order_idx")),
+                F.struct(F.lit("FAN").alias("component"), F.col("fan").alias("energy_kwh"), F.lit(4).alias("order_idx")),
+                F.struct(F.lit("STORAGE").alias("component"), F.col("storage").alias("energy_kwh"), F.lit(5).alias("order_idx")),
+                F.struct(F.lit("SystemOutputPower").alias("component"), F.col("system_output").alias("energy_kwh"), F.lit(6).alias("order_idx")),
+            )
+        ),
+    )
+    dev = E.energy_per_fqdd(readings.where(F.col("metric") == "PowerConsumption"), start, end)
+    gpu_rows = dev.where(F.col("fqdd") != "TOTAL").select(
+        "hostname",
+        F.concat(F.lit("GPU (fqdd="), F.col("fqdd"), F.lit(")")).alias("component"),
+        "energy_kwh",
+        F.lit(2).alias("order_idx"),
+    )
+    return fixed.unionByName(gpu_rows)
+
+
+def component_share(readings: DataFrame, start, end) -> DataFrame:
+    """Top-level shares; Other = max(output - sum of components, 0)."""
+    t = component_totals(readings, start, end)
+    s = F.col("cpu") + F.col("gpu_total") + F.col("memory") + F.col("fan") + F.col("storage")
+    other = F.greatest(F.col("system_output") - s, F.lit(0.0))
+    return t.select(
+        "hostname",
+        F.inline(
+            F.array(
+                F.struct(F.lit("GPU Total").alias("component"), F.col("gpu_total").alias("energy_kwh")),
+                F.struct(F.lit("CPU").alias("component"), F.col("cpu").alias("energy_kwh")),
+                F.struct(F.lit("MEMORY").alias("component"), F.col("memory").alias("energy_kwh")),
+                F.struct(F.lit("FAN").alias("component"), F.col("fan").alias("energy_kwh")),
+                F.struct(F.lit("STORAGE").alias("component"), F.col("storage").alias("energy_kwh")),
+                F.struct(F.lit("Other").alias("component"), other.alias("energy_kwh")),
+            )
+        ),
+    )
+
+
+def cpu_fqdd_share(readings: DataFrame, start, end) -> DataFrame:
+    """CPU energy per device (CPU metrics with devices)."""
+    cpu = readings.where(F.col("metric").isin(K.METRIC_CATEGORIES["CPU"]) & F.col("fqdd").isNotNull())
+    d = E.energy_per_fqdd(cpu, start, end)
+    return d.where(F.col("fqdd") != "TOTAL").select("hostname", "metric", "fqdd", "energy_kwh")
+
+
+def component_share_contains(readings: DataFrame, start, end) -> DataFrame:
+    """Substring grouping (B14) of positive metric energies; Other
+    becomes output - sum of the named components when output > 0; zero
+    groups dropped."""
+    from ..functions.nodes import is_excluded, metric_category_contains
+
+    me = metric_energy(readings.where(~is_excluded("metric")), start, end).where(F.col("energy_kwh") > 0)
+    g = me.withColumn("grp", metric_category_contains("metric"))
+    per = g.groupBy("hostname").agg(
+        *[F.coalesce(F.sum(F.when(F.col("grp") == c, F.col("energy_kwh"))), F.lit(0.0)).alias(c) for c in K.CONTAINS_ORDER],
+        F.coalesce(F.sum(F.when(F.col("grp") == "Other", F.col("energy_kwh"))), F.lit(0.0)).alias("Other"),
+        F.coalesce(F.max(F.when(F.col("grp") == "SystemOutput", F.col("energy_kwh"))), F.lit(0.0)).alias("_out"),
+    )
+    comp = sum((F.col(c) for c in K.CONTAINS_ORDER), F.lit(0.0))
+    other = F.when(F.col("_out") > 0, F.greatest(F.col("_out") - comp, F.lit(0.0))).otherwise(F.col("Other"))
+    cats = [F.struct(F.lit(c).alias("component"), F.col(c).alias("energy_kwh")) for c in K.CONTAINS_ORDER]
+    cats.append(F.struct(F.lit("Other").alias("component"), other.alias("energy_kwh")))
+    return per.select("hostname", F.inline(F.array(*cats))).where(F.col("energy_kwh") > 0)
+
+
+def metric_relationships(readings: DataFrame, start, end) -> DataFrame:
+    """K15 (+C11): per host, every pair of metric totals inside the CPU,
+    MEMORY and SYSTEM categories with both energies > 0 (alphabetical pairs)."""
+    from .enrich import metric_pairs
+
+    me = metric_energy(readings.where(F.col("node_type") == "compute"), start, end).where(
+        F.col("category").isin("CPU", "MEMORY", "SYSTEM") & (F.col("energy_kwh") > 0)
+    )
+    p = metric_pairs(me, "category")
+    diff = F.abs(F.col("energy_1") - F.col("energy_2"))
+    pct = diff / F.greatest("energy_1", "energy_2") * 100.0
+    return p.select(
+        "hostname", "category", "metric_1", "metric_2",
+        F.col("energy_1").alias("energy1_kwh"), F.col("energy_2").alias("energy2_kwh"),
+        diff.alias("difference_kwh"), pct.alias("difference_percent"),
+        F.when(pct < K.RELATION_IDENTICAL_PCT, "IDENTICAL").otherwise("DIFFERENT").alias("relationship"),
+    )
+
+
+def components_vs_system(readings: DataFrame, start, end) -> DataFrame:
+    """SystemOutput vs CPU+MEMORY+GPU+FAN+STORAGE, MATCHES under 10 %."""
+    t = component_totals(readings, start, end)
+    comp = F.col("cpu") + F.col("memory") + F.col("gpu_total") + F.col("fan") + F.col("storage")
+    t = t.withColumn("components_total", comp).where((F.col("system_output") > 0) & (F.col("components_total") > 0))
+    diff = F.abs(F.col("system_output") - F.col("components_total"))
+    pct = diff / F.col("system_output") * 100.0
+    return t.select(
+        "hostname",
+        F.col("system_output").alias("energy1_kwh"),
+        F.col("components_total").alias("energy2_kwh"),
+        diff.alias("difference_kwh"),
+        pct.alias("difference_percent"),
+        F.when(pct < K.SYSTEM_MATCH_PCT, "MATCHES").otherwise("MISMATCH").alias("relationship"),
+    )
+
+
+# --------------------------------------------------------------------------
+# racks (K8-K10, K20, E16)
+
+
+def estimated_energy(spark: SparkSession, start, end) -> DataFrame:
+    """Constant unmeasured kW x window hours per rack."""
+    return dimensions.rack_info(spark).select(
+        "rack", "analysis_type", "estimated_kw", (F.col("estimated_kw") * duration_hours(start, end)).alias("estimated_kwh")
+    )
+
+
+def rack_validation(spark: SparkSession, readings: DataFrame, start, end) -> DataFrame:
+    """K8 (+K9): per rack compute SystemInputPower kWh vs PDU kWh (T3 with
+    bounds), estimate, raw and adjusted differences, verdict."""
+    inv = F.broadcast(dimensions.inventory(spark).select("hostname", "rack", F.col("node_type").alias("_nt")))
+    m = F.lower(F.col("metric"))
+    r = readings.where(((m == "systeminputpower") | (m == "pdu")) & F.col("ts").between(_ts(start), _ts(end)))
+    e = E.energy_boundary(r, ["hostname", "metric", "fqdd"], start, end)
+    e = e.join(inv, "hostname")
+    per = e.groupBy("rack").agg(
+        F.sum(F.when(F.col("_nt") == "compute", F.col("energy_kwh")).otherwise(0.0)).alias("compute_kwh"),
+        F.sum(F.when(F.col("_nt") == "pdu", F.col("energy_kwh")).otherwise(0.0)).alias("pdu_kwh"),
+        F.countDistinct(F.when(F.col("_nt") == "compute", F.col("hostname"))).alias("compute_nodes"),
+        F.countDistinct(F.when(F.col("_nt") == "pdu", F.col("hostname"))).alias("pdu_nodes"),
+    )
+    est = estimated_energy(spark, start, end)
+    j = est.join(per, "rack", "left").fillna(0.0, subset=["compute_kwh", "pdu_kwh"]).fillna(0, subset=["compute_nodes", "pdu_nodes"])
+    c, p, x = F.col("compute_kwh"), F.col("pdu_kwh"), F.col("estimated_kwh")
+    raw = c - p
+    adj = c + x - p
+    raw_pct = F.when(p > 0, raw / p * 100.0)
+    adj_pct = F.when(p > 0, adj / p * 100.0)
+    used = F.when(F.col("analysis_type") == "accurate", raw_pct).otherwise(adj_pct)
+    return j.select(
+        "rack", "analysis_type", "compute_nodes", "pdu_nodes", "compute_kwh", "pdu_kwh", "estimated_kwh",
+        raw.alias("raw_difference_kwh"), raw_pct.alias("raw_difference_pct"),
+        adj.alias("adjusted_difference_kwh"), adj_pct.alias("adjusted_difference_pct"),
+        rack_verdict(used).alias("verdict"),
+    )
+
+
+def rack_verdict(pct: Column) -> Column:
+    """K9: |%| < 10 GOOD, < 20 ACCEPTABLE, else NEEDS INVESTIGATION (null if no PDU)."""
+    a = F.abs(pct)
+    return (
+        F.when(pct.isNull(), F.lit(None).cast("string"))
+        .when(a < K.RACK_VERDICTS[0][0], K.RACK_VERDICTS[0][1])
+        .when(a < K.RACK_VERDICTS[1][0], K.RACK_VERDICTS[1][1])
+        .otherwise("NEEDS INVESTIGATION")
+    )
+
+
+def rack_power_comparison(spark: SparkSession, readings: DataFrame, start, end) -> DataFrame:
+    """Rows compute, estimated, compute+estimated, PDU with % of PDU
+    (only racks with compute and PDU energy; estimate rows only when > 0)."""
+    v = rack_validation(spark, readings, start, end).where((F.col("compute_kwh") > 0) & (F.col("pdu_kwh") > 0))
+    c, p, x = F.col("compute_kwh"), F.col("pdu_kwh"), F.col("estimated_kwh")
+    rows = F.array(
+        F.struct(F.lit("SystemInputPower (Compute Nodes)").alias("power_source"), c.alias("total_energy_kwh"), F.lit(0).alias("pos")),
+        F.struct(F.lit("Estimated Switch/Unmeasured Components").alias("power_source"), x.alias("total_energy_kwh"), F.lit(1).alias("pos")),
+        F.struct(F.lit("Total Compute + Estimated").alias("power_source"), (c + x).alias("total_energy_kwh"), F.lit(2).alias("pos")),
+        F.struct(F.lit("PDU Nodes").alias("power_source"), p.alias("total_energy_kwh"), F.lit(3).alias("pos")),
+    )
+    out = v.select("rack", "pdu_kwh", "estimated_kwh", F.inline(rows))
+    out = out.where(~F.col("pos").isin(1, 2) | (F.col("estimated_kwh") > 0))
+    return out.select(
+        "rack", "power_source", "total_energy_kwh",
+        F.when(F.col("pos") == 3, F.lit(100.0)).otherwise(F.col("total_energy_kwh") / F.col("pdu_kwh") * 100.0).alias("percentage_of_pdu"),
+    )
+
+
+def rack_summary(spark: SparkSession, readings: DataFrame, start, end) -> DataFrame:
+    """Per rack nodes analysed, total and average energy per node (T9), status."""
+    ne = node_energy(spark, readings, start, end)
+    inv = F.broadcast(dimensions.inventory(spark).select("hostname", "rack"))
+    per_node = ne.groupBy("hostname").agg(F.sum("energy_kwh").alias("energy_kwh")).join(inv, "hostname")
+    return per_node.groupBy("rack").agg(
+        F.count(F.lit(1)).alias("nodes_analyzed"),
+        F.sum("energy_kwh").alias("total_energy_kwh"),
+    ).select(
+        "rack",
+        F.lit("success").alias("status"),
+        "nodes_analyzed",
+        "total_energy_kwh",
+        (F.col("total_energy_kwh") / F.col("nodes_analyzed")).alias("avg_energy_per_node"),
+    )
+
+
+def node_result_summary(spark: SparkSession, readings: DataFrame, start, end) -> DataFrame:
+    """Per host status flags, records, avg/max W, energy summed over metrics."""
+    from ..functions.units import to_watts
+
+    r = readings.where(F.col("ts").between(_ts(start), _ts(end)))
+    p = r.groupBy("hostname").agg(
+        F.count(F.lit(1)).alias("total_records"), F.avg(to_watts()).alias("avg_power_w"), F.max(to_watts()).alias("max_power_w")
+    )
+    ne = node_energy(spark, readings, start, end).groupBy("hostname").agg(F.sum("energy_kwh").alias("total_energy_kwh"))
+    j = p.join(ne, "hostname", "full")
+    return j.select(
+        "hostname",
+        F.when(F.col("total_records").isNotNull(), "success").otherwise("no_data").alias("status"),
+        F.col("total_records").isNotNull().alias("has_power_data"),
+        F.col("total_energy_kwh").isNotNull().alias("has_energy_data"),
+        F.coalesce("total_records", F.lit(0).cast("bigint")).alias("total_records"),
+        "avg_power_w",
+        "max_power_w",
+        F.coalesce("total_energy_kwh", F.lit(0.0)).alias("total_energy_kwh"),
+    )

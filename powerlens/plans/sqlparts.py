@@ -138,3 +138,50 @@ def pue_expr(irc: str, pdu: str) -> str:
 
 def r(x: str, alias: str) -> str:
     return f"round({x}, {P.ROUND}) AS {alias}"
+
+
+def us(t) -> str:
+    return f"epoch_us({ts(t)})"
+
+
+def boundary_energy_ctes(src: str, keys: str, start, end, prefix: str = "b") -> list[str]:
+    """T3 closed form in SQL: lead + trapezoid + tail per series -> {prefix}_e(keys, energy_kwh, n_rows)."""
+    s_us = "NULL" if start is None else us(start)
+    e_us = "NULL" if end is None else us(end)
+    return [
+        pairs_cte(src, f"{prefix}_pr", keys),
+        f"""{prefix}_tr AS (SELECT {keys}, sum((p0 + p1) / 2.0 * ((t1_us - t0_us) / 1e6)) AS trap_j
+            FROM {prefix}_pr GROUP BY {keys})""",
+        f"""{prefix}_ed AS (SELECT {keys}, first(power_w ORDER BY us, event_id) AS first_p,
+              last(power_w ORDER BY us, event_id) AS last_p, min(us) AS first_us, max(us) AS last_us,
+              count(*) AS n_rows, {s_us} AS s_us, {e_us} AS e_us
+            FROM {src} GROUP BY {keys})""",
+        f"""{prefix}_e AS (SELECT {', '.join('d.' + k.strip() for k in keys.split(','))},
+              ((CASE WHEN d.s_us IS NOT NULL AND d.first_us > d.s_us THEN d.first_p * (d.first_us - d.s_us) / 1e6 ELSE 0.0 END)
+               + coalesce(t.trap_j, 0.0)
+               + (CASE WHEN d.e_us IS NOT NULL AND d.last_us < d.e_us THEN d.last_p * (d.e_us - d.last_us) / 1e6 ELSE 0.0 END))
+              / 3600000.0 AS energy_kwh, d.n_rows
+            FROM {prefix}_ed d LEFT JOIN {prefix}_tr t ON {' AND '.join(f'd.{k.strip()} IS NOT DISTINCT FROM t.{k.strip()}' for k in keys.split(','))})""",
+    ]
+
+
+def gap_energy_ctes(src: str, keys: str, max_gap, prefix: str = "g") -> list[str]:
+    """T5 in SQL -> {prefix}_e(keys, energy_kwh)."""
+    gap = str(float(max_gap))
+    return [
+        pairs_cte(src, f"{prefix}_pr", keys),
+        f"""{prefix}_e AS (SELECT {keys}, sum((p0 + p1) / 2.0 * ((t1_us - t0_us) / 1e6)) / 3600000.0 AS energy_kwh
+            FROM {prefix}_pr WHERE t1_us > t0_us AND (t1_us - t0_us) / 1e6 <= {gap} GROUP BY {keys})""",
+    ]
+
+
+def per_fqdd_ctes(src: str, start, end, prefix: str = "f") -> list[str]:
+    """Device series (duplicate timestamps summed), T3 per device, TOTAL per (host, metric)
+    -> {prefix}_all(hostname, metric, fqdd, energy_kwh)."""
+    return [
+        f"""{prefix}_dev AS (SELECT hostname, metric, fqdd, ts, us, sum(power_w) AS power_w, min(event_id) AS event_id
+            FROM {src} GROUP BY hostname, metric, fqdd, ts, us)""",
+        *boundary_energy_ctes(f"{prefix}_dev", "hostname, metric, fqdd", start, end, prefix=f"{prefix}b"),
+        f"""{prefix}_all AS (SELECT hostname, metric, fqdd, energy_kwh FROM {prefix}b_e
+            UNION ALL SELECT hostname, metric, 'TOTAL' AS fqdd, sum(energy_kwh) AS energy_kwh FROM {prefix}b_e GROUP BY hostname, metric)""",
+    ]

@@ -171,3 +171,60 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, lower, upper, partition
         reader = reader.option(k, v)
     df = reader.load()
     return df.withColumnRenamed("timestamp", "ts").withColumn("node_type", N.node_type("hostname")) if "hostname" in df.columns else df
+
+
+# --- raw compute facts with dimension ids (the reference's idrac.<metric> rows)
+
+
+def compute_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(event_id, ts, nodeid, source, fqdd, metric, value)`` with integer
+    source/fqdd ids, i.e. the fact rows before the dimension joins of C1."""
+    r = compute_readings(spark, sf_dir)
+    return r.select(
+        "event_id",
+        "ts",
+        "nodeid",
+        F.lit(1).alias("source"),
+        F.regexp_extract("fqdd", "[0-9]+", 0).try_cast("int").alias("fqdd"),
+        "metric",
+        "value",
+    )
+
+
+def nodes_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``public.nodes(nodeid, hostname)``: one row per node id seen in events."""
+    e = _events(spark, sf_dir).select("user_id").distinct()
+    return e.select(F.col("user_id").alias("nodeid"), _compute_host((F.col("user_id") * 37) % 118).alias("hostname"))
+
+
+def source_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, "iDRAC")], "id int, source string")
+
+
+def fqdd_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, f"dev.{i}") for i in range(1, 5)], "id int, fqdd string")
+
+
+def wide_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy wide table ``idrac_power_metrics`` (FIXTURES 3.5)."""
+    e = _events(spark, sf_dir)
+    return e.select(
+        "event_id",
+        F.col("ts"),
+        F.col("user_id").alias("node_id"),
+        F.col("value").alias("power_consumption_watts"),
+        F.lit(1000.0).alias("power_limit_watts"),
+        (F.lit(20.0) + F.col("value") / 10.0).alias("temperature_celsius"),
+        (F.col("value") % 100).alias("cpu_utilization_percent"),
+        (F.col("event_id") % 100).cast("double").alias("memory_utilization_percent"),
+    )
+
+
+def power_and_temperature(spark: SparkSession, sf_dir: str):
+    """C4 inputs: power = click rows; temperature = view rows and even click rows."""
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("nodeid"), "ts", "value", "event_type", "event_id")
+    power = e.where(F.col("event_type") == "click").select("nodeid", "ts", "value")
+    temp = e.where(
+        (F.col("event_type") == "view") | ((F.col("event_type") == "click") & (F.col("event_id") % 2 == 0))
+    ).select("nodeid", "ts", (F.lit(20.0) + F.col("value") / 10.0).alias("value"))
+    return power, temp
