@@ -27,8 +27,8 @@ def enrich_compute(facts: DataFrame, nodes: DataFrame, source: DataFrame, fqdd:
     d = defs_by_lower_id(defs).select("_mkey", "units")
     return (
         facts.join(F.broadcast(nodes), "nodeid", "left")
-        .join(F.broadcast(source.withColumnRenamed("id", "source").withColumnRenamed("source", "source_name")), "source", "left")
-        .join(F.broadcast(fqdd.withColumnRenamed("id", "fqdd").withColumnRenamed("fqdd", "fqdd_name")), "fqdd", "left")
+        .join(F.broadcast(source.select(F.col("id").alias("source"), F.col("source").alias("source_name"))), "source", "left")
+        .join(F.broadcast(fqdd.select(F.col("id").alias("fqdd"), F.col("fqdd").alias("fqdd_name"))), "fqdd", "left")
         .join(F.broadcast(d), F.lower(F.col("metric")) == F.col("_mkey"), "left")
         .select(
             "event_id",

@@ -58,7 +58,7 @@ def oldest_n(df: DataFrame, n: int) -> DataFrame:
 def recent_n(df: DataFrame, n: int = 100, now=None, hours: float | None = 1.0) -> DataFrame:
     """Newest ``n`` rows within the last ``hours`` before ``now``."""
     if now is not None and hours is not None:
-        lo = F.timestampadd("SECOND", F.lit(int(hours * 3600)) * -1, _ts(now))
+        lo = F.timestamp_add("SECOND", F.lit(int(hours * 3600)) * -1, _ts(now))
         df = df.where((F.col("ts") >= lo) & (F.col("ts") <= _ts(now)))
     return df.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n)
 
@@ -104,7 +104,7 @@ def high_power_events(df: DataFrame, threshold: float = 1000.0, n: int = 10) ->
 
 def nodeid_recent(readings: DataFrame, defs: DataFrame, nodeid: int | None, now, hours: float = 24) -> DataFrame:
     """Power readings (watts) of one nodeid in the last ``hours``, newest first."""
-    lo = F.timestampadd("SECOND", F.lit(-int(hours * 3600)), _ts(now))
+    lo = F.timestamp_add("SECOND", F.lit(-int(hours * 3600)), _ts(now))
     df = readings.where((F.col("ts") >= lo) & (F.col("ts") <= _ts(now)))
     if nodeid is not None:
         df = df.where(F.col("nodeid") == nodeid)

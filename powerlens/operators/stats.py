@@ -24,7 +24,7 @@ def _ts(t) -> Column:
 
 
 def _since(now, hours: float) -> Column:
-    return (F.col("ts") >= F.timestampadd("SECOND", F.lit(-int(hours * 3600)), _ts(now))) & (
+    return (F.col("ts") >= F.timestamp_add("SECOND", F.lit(-int(hours * 3600)), _ts(now))) & (
         F.col("ts") <= _ts(now)
     )
 
@@ -87,7 +87,7 @@ def power_temp_full_join(power: DataFrame, temp: DataFrame, now, hours: float =
     p = power.select(F.col("nodeid").alias("p_nodeid"), F.col("ts").alias("p_ts"), F.col("value").alias("p_value"))
     t = temp.select(F.col("nodeid").alias("t_nodeid"), F.col("ts").alias("t_ts"), F.col("value").alias("t_value"))
     j = p.join(t, (p["p_nodeid"] == t["t_nodeid"]) & (p["p_ts"] == t["t_ts"]), "full")
-    lo = F.timestampadd("SECOND", F.lit(-int(hours * 3600)), _ts(now))
+    lo = F.timestamp_add("SECOND", F.lit(-int(hours * 3600)), _ts(now))
     return j.where((F.col("p_ts") >= lo) | (F.col("t_ts") >= lo))
 
 
