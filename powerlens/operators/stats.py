@@ -185,8 +185,12 @@ def bucket_aggregate(processed: DataFrame, group_by: str = "hostname", bucket: s
             F.min(v).alias("value_min"),
             F.max_by("cumulative_energy_kwh", rowkey).alias("cumulative_energy_kwh_last"),
         )
-        .select(group_by, F.col("w.start").cast("timestamp_ntz").alias("ts"), "*")
-        .drop("w")
+        .select(
+            group_by,
+            F.col("w.start").cast("timestamp_ntz").alias("ts"),
+            "power_w_mean", "power_w_max", "power_w_min", "power_w_std", "power_w_count",
+            "value_mean", "value_max", "value_min", "cumulative_energy_kwh_last",
+        )
     )
 
 
@@ -234,16 +238,15 @@ def _tail(readings: DataFrame, q: float, upper: bool) -> DataFrame:
         F.percentile("value", q).alias("thr"),
         (F.max("value") if upper else F.min("value")).alias("extreme"),
     )
-    cond = [pos[k].eqNullSafe(thr[k]) for k in keys]
-    tailrows = pos.join(thr, cond).select(*[pos[k] for k in keys], "value", "thr")
+    # per-series thresholds are one row per series (bounded by the inventory): joined back by key
+    thr_r = thr.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "thr", "extreme")
+    cond = [pos[k].eqNullSafe(thr_r[f"_t_{k}"]) for k in keys]
+    tailrows = pos.join(thr_r, cond).select(*keys, "value", "thr")
     in_tail = (F.col("value") >= F.col("thr")) if upper else (F.col("value") <= F.col("thr"))
     tail = tailrows.where(in_tail).groupBy(*keys).agg(F.avg("value").alias("tail_mean"), F.count(F.lit(1)).alias("n_tail"))
-    out = units.join(thr, [units[k].eqNullSafe(thr[k]) for k in keys], "left").select(
-        *[units[k] for k in keys], "units", "sample_count", "thr", "extreme"
-    )
-    out = out.join(tail, [out[k].eqNullSafe(tail[k]) for k in keys], "left").select(
-        *[out[k] for k in keys], "units", "sample_count", "thr", "extreme", "tail_mean", "n_tail"
-    )
+    tail_r = tail.select(*[F.col(k).alias(f"_l_{k}") for k in keys], "tail_mean", "n_tail")
+    out = units.join(thr_r, [units[k].eqNullSafe(thr_r[f"_t_{k}"]) for k in keys], "left")
+    out = out.join(tail_r, [out[k].eqNullSafe(tail_r[f"_l_{k}"]) for k in keys], "left")
     z = F.lit(0.0)
     return out.select(
         *keys,
@@ -415,7 +418,8 @@ def clean_readings(df: DataFrame, now, threshold: float = 3.0, remove_outliers:
         st = d.groupBy(*keys).agg(
             F.avg("power_w").alias("_m"), F.stddev_samp("power_w").alias("_s"), F.count(F.lit(1)).alias("_n")
         )
-        j = d.join(st, list(keys))
+        st = st.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_m", "_s", "_n")
+        j = d.join(st, [d[k].eqNullSafe(st[f"_k_{k}"]) for k in keys]).drop(*[f"_k_{k}" for k in keys])
         keep = (F.col("_n") <= 10) | (z(F.col("_m"), F.col("_s")) < threshold)
         return j.where(keep).drop("_m", "_s", "_n")
     # global statistics: three scalars from one aggregate, used as literals

@@ -26,12 +26,16 @@ def query(name: str, oracle: Callable[[], str] | None = None):
     return deco
 
 
-def rounded(df: DataFrame, places: int = P.ROUND) -> DataFrame:
-    """Round every floating column (results are compared to 6 places)."""
+def rounded(df: DataFrame, places: int = P.ROUND, fine: tuple = ()) -> DataFrame:
+    """Round every floating column (results are compared to 6 places).
+
+    ``fine`` columns (interpolated percentiles, whose exact decimal value has
+    seven digits and would sit on a rounding tie at six) are rounded to 9.
+    """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f.name), places).alias(f.name))
+            cols.append(F.round(F.col(f.name), 9 if f.name in fine else places).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
