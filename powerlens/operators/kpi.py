@@ -189,6 +189,7 @@ def metric_energy(readings: DataFrame, start, end) -> DataFrame:
     integrated separately and summed (T11).  Adds ``category`` (B13)."""
     from ..functions.nodes import metric_category
 
+    readings = readings.where(F.col("ts").between(_ts(start), _ts(end)))
     dev = E.energy_per_fqdd(readings, start, end)
     per_metric = dev.where(F.col("fqdd") == "TOTAL").select("hostname", "metric", "energy_kwh")
     return per_metric.withColumn("category", metric_category("metric"))
@@ -254,6 +255,7 @@ def _cat_energy(me: DataFrame, cat: str, total_metric: str | None) -> Column:
 
 def component_totals(readings: DataFrame, start, end) -> DataFrame:
     """Per host: CPU, MEMORY, GPU total, FAN, STORAGE and SystemOutput kWh."""
+    readings = readings.where(F.col("ts").between(_ts(start), _ts(end)))
     me = metric_energy(readings.where(F.col("node_type") == "compute"), start, end)
     dev = E.energy_per_fqdd(readings.where(F.col("metric") == "PowerConsumption"), start, end)
     gpu = dev.where(F.col("fqdd") == "TOTAL").groupBy("hostname").agg(F.sum("energy_kwh").alias("gpu_total"))
@@ -284,7 +286,8 @@ def component_breakdown(readings: DataFrame, start, end) -> DataFrame:
             )
         ),
     )
-    dev = E.energy_per_fqdd(readings.where(F.col("metric") == "PowerConsumption"), start, end)
+    gr = readings.where((F.col("metric") == "PowerConsumption") & F.col("ts").between(_ts(start), _ts(end)))
+    dev = E.energy_per_fqdd(gr, start, end)
     gpu_rows = dev.where(F.col("fqdd") != "TOTAL").select(
         "hostname",
         F.concat(F.lit("GPU (fqdd="), F.col("fqdd"), F.lit(")")).alias("component"),
@@ -316,7 +319,9 @@ def component_share(readings: DataFrame, start, end) -> DataFrame:
 
 def cpu_fqdd_share(readings: DataFrame, start, end) -> DataFrame:
     """CPU energy per device (CPU metrics with devices)."""
-    cpu = readings.where(F.col("metric").isin(K.METRIC_CATEGORIES["CPU"]) & F.col("fqdd").isNotNull())
+    cpu = readings.where(
+        F.col("metric").isin(K.METRIC_CATEGORIES["CPU"]) & F.col("fqdd").isNotNull() & F.col("ts").between(_ts(start), _ts(end))
+    )
     d = E.energy_per_fqdd(cpu, start, end)
     return d.where(F.col("fqdd") != "TOTAL").select("hostname", "metric", "fqdd", "energy_kwh")
 
@@ -381,6 +386,21 @@ def components_vs_system(readings: DataFrame, start, end) -> DataFrame:
 # racks (K8-K10, K20, E16)
 
 
+def estimated_energy_observed(spark: SparkSession, readings: DataFrame) -> DataFrame:
+    """K20 over the data: unmeasured kW x hours spanned by each rack's PDU readings."""
+    from ..functions.nodes import rack_of
+    from ..functions.times import epoch_micros
+
+    span = (
+        readings.where(F.col("node_type") == "pdu")
+        .groupBy(rack_of("hostname").alias("rack"))
+        .agg(((F.max(epoch_micros(F.col("ts"))) - F.min(epoch_micros(F.col("ts")))) / 3.6e9).alias("hours"))
+    )
+    return F.broadcast(dimensions.rack_info(spark)).join(span, "rack").select(
+        "rack", "analysis_type", "estimated_kw", "hours", (F.col("estimated_kw") * F.col("hours")).alias("estimated_kwh")
+    )
+
+
 def estimated_energy(spark: SparkSession, start, end) -> DataFrame:
     """Constant unmeasured kW x window hours per rack."""
     return dimensions.rack_info(spark).select(

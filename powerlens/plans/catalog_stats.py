@@ -93,15 +93,15 @@ def _proc_sql() -> str:
 
 
 @query("power_statistics", lambda: _proc_sql() + f"""
-SELECT {SERIES}, count(*) AS count, {R('avg(power_w)', 'mean_power_w')}, {R('quantile_cont(power_w, 0.5)', 'median_power_w')},
+SELECT {SERIES}, count(*) AS count, {R('avg(power_w)', 'mean_power_w')}, round(quantile_cont(power_w, 0.5), 9) AS median_power_w,
   {R('stddev_samp(power_w)', 'std_power_w')}, {R('min(power_w)', 'min_power_w')}, {R('max(power_w)', 'max_power_w')},
-  {R('quantile_cont(power_w, 0.25)', 'q25_power_w')}, {R('quantile_cont(power_w, 0.75)', 'q75_power_w')},
+  round(quantile_cont(power_w, 0.25), 9) AS q25_power_w, round(quantile_cont(power_w, 0.75), 9) AS q75_power_w,
   {R('last(cumulative_energy_kwh ORDER BY ts, event_id)', 'total_energy_kwh')},
   {R('CASE WHEN count(*) > 1 THEN (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 ELSE 0.0 END', 'time_range_hours')},
   {R('CASE WHEN count(*) > 1 AND max(ts) > min(ts) THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9) ELSE 0.0 END', 'data_points_per_hour')}
 FROM z GROUP BY {SERIES}""")
 def q_power_statistics(spark, sf):
-    return rounded(ST.power_statistics(E.cumulative_energy(CR(spark, sf))))
+    return rounded(ST.power_statistics(E.cumulative_energy(CR(spark, sf))), fine=("median_power_w", "q25_power_w", "q75_power_w"))
 
 
 @query("bucket_aggregate", lambda: _proc_sql() + f"""
@@ -224,12 +224,12 @@ def q_database_comparison(spark, sf):
 
 @query("raw_statistics", lambda: _head(*_all_heads(), S.power_cte("readings", "pw")) + f"""
 SELECT {SERIES}, count(*) AS n_points, {R('min(value)', 'raw_min')}, {R('max(value)', 'raw_max')}, {R('avg(value)', 'raw_mean')},
-  {R('quantile_cont(value, 0.5)', 'raw_median')}, {R('min(power_w)', 'w_min')}, {R('max(power_w)', 'w_max')},
-  {R('avg(power_w)', 'w_mean')}, {R('quantile_cont(power_w, 0.5)', 'w_median')},
+  round(quantile_cont(value, 0.5), 9) AS raw_median, {R('min(power_w)', 'w_min')}, {R('max(power_w)', 'w_max')},
+  {R('avg(power_w)', 'w_mean')}, round(quantile_cont(power_w, 0.5), 9) AS w_median,
   {R('(max(us) - min(us)) / 3.6e9', 'span_hours')}
 FROM pw GROUP BY {SERIES}""")
 def q_raw_statistics(spark, sf):
-    return rounded(ST.raw_statistics(RD(spark, sf)))
+    return rounded(ST.raw_statistics(RD(spark, sf)), fine=("raw_median", "w_median"))
 
 
 @query("definition_counts", lambda: _head(f"defs AS {_defs_values()}", f"inv AS {_inventory_sql()}") + """
