@@ -215,6 +215,35 @@ def _series_edges(df: DataFrame, keys: list[str], extra: Sequence[str] = ()) ->
     )
 
 
+def boundary_parts(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+    """Per series: trapezoid joules over all consecutive pairs plus the first
+    and last reading (time and power) and the row count.  T3/T14/T15 are
+    column arithmetic on this one frame."""
+    keys = _keys(keys)
+    df = prepare(df)
+    pairs = intervals(df, keys, bucket_seconds=bucket_seconds)
+    trap = pairs.groupBy(*keys).agg(F.sum((F.col("p0") + F.col("p1")) / 2.0 * F.col("dt")).alias("_trap_j"))
+    trap = trap.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_trap_j")
+    edges = _series_edges(df, keys)
+    cond = [edges[k].eqNullSafe(trap[f"_t_{k}"]) for k in keys]
+    return (
+        edges.join(trap, cond, "left")
+        .drop(*[f"_t_{k}" for k in keys])
+        .withColumn("_trap_j", F.coalesce(F.col("_trap_j"), F.lit(0.0)))
+    )
+
+
+def boundary_kwh(start_us: Column, end_us: Column) -> Column:
+    """T3 closed form over ``boundary_parts`` columns; null bounds = no extension."""
+    lead = F.when(
+        start_us.isNotNull() & (F.col("first_us") > start_us), F.col("first_p") * (F.col("first_us") - start_us) / US
+    ).otherwise(0.0)
+    tail = F.when(
+        end_us.isNotNull() & (F.col("last_us") < end_us), F.col("last_p") * (end_us - F.col("last_us")) / US
+    ).otherwise(0.0)
+    return (lead + F.col("_trap_j") + tail) / JOULES_PER_KWH
+
+
 def energy_boundary(
     df: DataFrame,
     keys=None,
@@ -228,8 +257,8 @@ def energy_boundary(
     after ``start``, + trapezoid over all consecutive pairs, + last power x
     (end - last) when the data end before ``end``.  A single reading with both
     bounds gives p x (end - start) (D3); one reading without bounds gives 0.
-    ``start``/``end`` are literals, or Columns already present in ``df``
-    (per-window bounds, T14).  Returns ``keys + energy_kwh, n_rows``.
+    ``start``/``end`` are literals, or Columns of ``df`` that are constant per
+    series (per-window bounds, T14).  Returns ``keys + energy_kwh, n_rows``.
     """
     keys = _keys(keys)
     df = prepare(df)
@@ -240,23 +269,8 @@ def energy_boundary(
         else:
             df = df.withColumn(name, epoch_micros(_lit_ts(b)))
         bound_cols.append(name)
-    pairs = intervals(df, keys + bound_cols)
-    trap = pairs.groupBy(*keys, *bound_cols).agg(F.sum((F.col("p0") + F.col("p1")) / 2.0 * F.col("dt")).alias("_trap_j"))
-    edges = _series_edges(df, keys, bound_cols)
-    lead = F.when(
-        F.col("_start_us").isNotNull() & (F.col("first_us") > F.col("_start_us")),
-        F.col("first_p") * (F.col("first_us") - F.col("_start_us")) / US,
-    ).otherwise(0.0)
-    tail = F.when(
-        F.col("_end_us").isNotNull() & (F.col("last_us") < F.col("_end_us")),
-        F.col("last_p") * (F.col("_end_us") - F.col("last_us")) / US,
-    ).otherwise(0.0)
-    cond = [edges[k].eqNullSafe(trap[k]) for k in keys + bound_cols]
-    joined = edges.join(trap, cond, "left").select(
-        *[edges[k] for k in keys + bound_cols], "first_p", "last_p", "first_us", "last_us", "n_rows", "_trap_j"
-    )
-    total = lead + F.coalesce(F.col("_trap_j"), F.lit(0.0)) + tail
-    return joined.select(*keys, (total / JOULES_PER_KWH).alias("energy_kwh"), "n_rows", *bound_cols)
+    parts = boundary_parts(df, keys + bound_cols, bucket_seconds)
+    return parts.select(*keys, boundary_kwh(F.col("_start_us"), F.col("_end_us")).alias("energy_kwh"), "n_rows", *bound_cols)
 
 
 def energy_hold(df: DataFrame, keys=None, start=None, end=None) -> DataFrame:

@@ -221,16 +221,19 @@ def metric_energy_table(readings: DataFrame, start, end) -> DataFrame:
     """The six fixed metrics of every compute host in kWh and Wh plus a
     per-host sum row (ROLLUP).  Bounds are used unless the data start or end
     more than 7200 s inside the window (T15 short form)."""
-    from .windows import boundary_guard
+    from ..functions.times import epoch_micros
+    from .windows import _guard
 
     r = readings.where(F.col("metric").isin(K.NODE_ENERGY_TABLE_METRICS) & F.col("ts").between(_ts(start), _ts(end)))
     r = r.withColumn("start_ts", _ts(start)).withColumn("end_ts", _ts(end))
-    g = boundary_guard(r, ["hostname", "metric"], short=True).select("hostname", "metric", "use_boundaries")
-    r = r.join(g, ["hostname", "metric"])
-    r = r.withColumn("_s", F.when(F.col("use_boundaries"), F.col("start_ts"))).withColumn(
-        "_e", F.when(F.col("use_boundaries"), F.col("end_ts"))
-    )
-    e = E.energy_boundary(r, ["hostname", "metric", "fqdd"], F.col("_s"), F.col("_e"))
+    # guard per (host, metric) from the metric's first/last reading, devices integrated apart
+    parts = E.boundary_parts(r, ["hostname", "metric", "fqdd", "start_ts", "end_ts"])
+    w = Window.partitionBy("hostname", "metric")
+    parts = parts.withColumn("_m0", F.min("first_us").over(w)).withColumn("_m1", F.max("last_us").over(w))
+    g = parts.select("*", *_guard(F.col("_m0"), F.col("_m1"), True))
+    s_us = F.when(F.col("use_boundaries"), epoch_micros(F.col("start_ts")))
+    e_us = F.when(F.col("use_boundaries"), epoch_micros(F.col("end_ts")))
+    e = g.select("hostname", "metric", E.boundary_kwh(s_us, e_us).alias("energy_kwh"))
     per = e.groupBy("hostname", "metric").agg(F.sum("energy_kwh").alias("energy_kwh"))
     roll = per.rollup("hostname", "metric").agg(F.sum("energy_kwh").alias("energy_kwh"), F.grouping_id().alias("_g"))
     roll = roll.where(F.col("_g") < 3)

@@ -70,7 +70,8 @@ def _window_energy_sql() -> str:
     return _head(
         *_win_heads(),
         _guard_sql(),
-        f"mm AS (SELECT m.*, gd.use_b FROM m JOIN gd USING (window_id, hostname, metric, fqdd, start_ts, end_ts))",
+        """mm AS (SELECT m.*, gd.use_b FROM m JOIN gd ON m.window_id = gd.window_id AND m.hostname = gd.hostname
+              AND m.metric = gd.metric AND m.fqdd IS NOT DISTINCT FROM gd.fqdd)""",
         S.pairs_cte("mm", "pr", keys),
         f"tr AS (SELECT {keys}, sum((p0 + p1) / 2.0 * ((t1_us - t0_us) / 1e6)) AS trap_j FROM pr GROUP BY {keys})",
         f"""ed AS (SELECT {keys}, start_ts, end_ts, bool_and(use_b) AS use_b, first(power_w ORDER BY us, event_id) AS first_p,
