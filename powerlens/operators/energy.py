@@ -199,6 +199,41 @@ def cumulative_energy(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECOND
     )
 
 
+def series_prefix(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+    """Every reading with ``_cum_kwh``: the trapezoid energy of its series from
+    the first reading up to this one (T2 on the whole series, computed once).
+
+    The trapezoid over any run of consecutive readings is then
+    ``C(last) - C(first)``: energies over many (possibly overlapping) windows
+    become one hash aggregate of the readings they contain, with no sort per
+    window.
+    """
+    x = cumulative_energy(df, keys, bucket_seconds)
+    return x.withColumnRenamed("cumulative_energy_kwh", "_cum_kwh")
+
+
+def window_parts(rows: DataFrame, group_keys) -> DataFrame:
+    """``boundary_parts`` of window-restricted series from ``series_prefix`` rows.
+
+    One aggregation: first/last reading (time, power, cumulative energy) and
+    the count per group; ``_trap_j`` = (C(last) - C(first)) in joules.
+    """
+    rowkey = F.struct(F.col("_us"), F.col("event_id"))
+    val = F.struct(F.col("_us").alias("us"), F.col("power_w").alias("p"), F.col("_cum_kwh").alias("c"))
+    g = rows.groupBy(*group_keys).agg(
+        F.min_by(val, rowkey).alias("_f"), F.max_by(val, rowkey).alias("_l"), F.count(F.lit(1)).alias("n_rows")
+    )
+    return g.select(
+        *group_keys,
+        F.col("_f.us").alias("first_us"),
+        F.col("_f.p").alias("first_p"),
+        F.col("_l.us").alias("last_us"),
+        F.col("_l.p").alias("last_p"),
+        "n_rows",
+        ((F.col("_l.c") - F.col("_f.c")) * JOULES_PER_KWH).alias("_trap_j"),
+    )
+
+
 # --------------------------------------------------------------------------
 # Boundary-extended trapezoid, closed form
 

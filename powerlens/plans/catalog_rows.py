@@ -298,9 +298,12 @@ def q_epoch_to_ts(spark, sf):
     return o.select("o_orderkey", TM.epoch_to_ts(epoch).alias("job_start"))
 
 
-@query("render_local_time")
+@query("render_local_time", lambda: _head(S.jobs_cte()) + """
+SELECT job_id, start_ts, strftime(l, '%Y-%m-%d %H:%M:%S')
+  || printf('%+03d', CAST(floor((epoch_us(l) - epoch_us(start_ts)) / 3600000000) AS INTEGER)) AS start_local
+FROM (SELECT job_id, start_ts, timezone('America/Chicago', start_ts AT TIME ZONE 'UTC') AS l FROM jobs) x""")
 def q_render_local_time(spark, sf):
-    """B20 (no oracle: DuckDB zone rules need an extension): job start in US Central time."""
+    """Job start rendered in US Central time with its UTC offset."""
     j = J.jobs(spark, sf)
     return j.select("job_id", "start_ts", TM.render_local_time("start_ts", "America/Chicago").alias("start_local"))
 

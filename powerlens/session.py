@@ -41,6 +41,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
     conf = {
         "spark.sql.shuffle.partitions": str(shuffle_partitions or cores),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
