@@ -129,7 +129,12 @@ def with_previous(
     keys = _keys(keys)
     df = _bucketed(prepare(df, power), keys, bucket_seconds)
     w = Window.partitionBy(*keys, "_b").orderBy("_us", "event_id")
-    x = df.withColumn("prev_us", F.lag("_us").over(w)).withColumn("prev_p", F.lag(power).over(w))
+    x = (
+        df.withColumn("prev_us", F.lag("_us").over(w))
+        .withColumn("prev_p", F.lag(power).over(w))
+        # unique, order-preserving long per series: bucket x 2^32 + row in bucket
+        .withColumn("_ord", F.col("_b") * F.lit(4294967296) + F.row_number().over(w))
+    )
     rowkey = F.struct(F.col("_us"), F.col("event_id"))
     summ = x.groupBy(*keys, "_b").agg(
         F.max_by(F.struct(F.col("_us").alias("us"), F.col(power).alias("p")), rowkey).alias("last")
@@ -218,19 +223,20 @@ def window_parts(rows: DataFrame, group_keys) -> DataFrame:
     One aggregation: first/last reading (time, power, cumulative energy) and
     the count per group; ``_trap_j`` = (C(last) - C(first)) in joules.
     """
-    rowkey = F.struct(F.col("_us"), F.col("event_id"))
-    val = F.struct(F.col("_us").alias("us"), F.col("power_w").alias("p"), F.col("_cum_kwh").alias("c"))
+    # primitive (value, long ordinal) buffers keep this a HashAggregate
+    o = F.col("_ord")
     g = rows.groupBy(*group_keys).agg(
-        F.min_by(val, rowkey).alias("_f"), F.max_by(val, rowkey).alias("_l"), F.count(F.lit(1)).alias("n_rows")
+        F.min("_us").alias("first_us"),
+        F.min_by("power_w", o).alias("first_p"),
+        F.min_by("_cum_kwh", o).alias("_fc"),
+        F.max("_us").alias("last_us"),
+        F.max_by("power_w", o).alias("last_p"),
+        F.max_by("_cum_kwh", o).alias("_lc"),
+        F.count(F.lit(1)).alias("n_rows"),
     )
     return g.select(
-        *group_keys,
-        F.col("_f.us").alias("first_us"),
-        F.col("_f.p").alias("first_p"),
-        F.col("_l.us").alias("last_us"),
-        F.col("_l.p").alias("last_p"),
-        "n_rows",
-        ((F.col("_l.c") - F.col("_f.c")) * JOULES_PER_KWH).alias("_trap_j"),
+        *group_keys, "first_us", "first_p", "last_us", "last_p", "n_rows",
+        ((F.col("_lc") - F.col("_fc")) * JOULES_PER_KWH).alias("_trap_j"),
     )
 
 
