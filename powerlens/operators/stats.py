@@ -378,11 +378,20 @@ def definition_counts(defs: DataFrame, inventory: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ W1, Q1, Q3
 
 
-def detect_anomalies(df: DataFrame, window_size: int | None = None, k: float = 2.0, keys=E.SERIES) -> DataFrame:
+def detect_anomalies(
+    df: DataFrame, window_size: int | None = None, k: float = 2.0, keys=E.SERIES, chunk_rows: int = 1 << 20
+) -> DataFrame:
     """Centred rolling mean/std of ``power_w`` per series; anomaly when
     |p - mean| > k x std.  Incomplete windows are not anomalous; a window of
     1 or less flags nothing.  ``window_size`` defaults to min(50, n // 10) of
-    the whole input (one count)."""
+    the whole input (one count).
+
+    Skew: rows get their position in the series (``series_index``), series
+    are cut into chunks of ``chunk_rows`` consecutive rows, and each chunk
+    also receives the few rows before/after it that its frames need (halo).
+    The rolling window is partitioned by (series, chunk), so no task holds
+    more than ``chunk_rows`` + window rows whatever the series length.
+    """
     keys = list(keys)
     if "power_w" not in df.columns:
         df = df.withColumn("power_w", to_watts())
@@ -393,12 +402,28 @@ def detect_anomalies(df: DataFrame, window_size: int | None = None, k: float = 2
         return df.withColumn("power_rolling_mean", F.lit(None).cast("double")).withColumn(
             "power_rolling_std", F.lit(None).cast("double")
         ).withColumn("is_anomaly", F.lit(False))
-    lo, hi = -(w - 1 - (w - 1) // 2), (w - 1) // 2
-    win = Window.partitionBy(*keys).orderBy("ts", "event_id").rowsBetween(lo, hi)
+    lo, hi = w - 1 - (w - 1) // 2, (w - 1) // 2  # rows before / after the centre
+    cols = df.columns
+    x = E.series_index(df, keys).select(*cols, "_idx")
+    c = F.lit(int(max(chunk_rows, w)))  # a halo never reaches past the neighbouring chunk
+    own = F.floor(F.col("_idx") / c)
+    pos = F.col("_idx") % c
+    chunks = F.array_compact(
+        F.array(
+            own,
+            F.when(pos >= c - lo, own + 1),  # last rows: frames at the start of the next chunk look back here
+            F.when(pos < hi, own - 1),  # first rows: frames at the end of the previous chunk look ahead here
+        )
+    )
+    x = x.withColumn("_own", own).withColumn("_chunk", F.explode(chunks))
+    win = Window.partitionBy(*keys, "_chunk").orderBy("_idx").rowsBetween(-lo, hi)
     full = F.count(F.lit(1)).over(win) == w
-    mean = F.when(full, F.avg("power_w").over(win))
-    std = F.when(full, F.stddev_samp("power_w").over(win))
-    out = df.withColumn("power_rolling_mean", mean).withColumn("power_rolling_std", std)
+    out = (
+        x.withColumn("power_rolling_mean", F.when(full, F.avg("power_w").over(win)))
+        .withColumn("power_rolling_std", F.when(full, F.stddev_samp("power_w").over(win)))
+        .where(F.col("_chunk") == F.col("_own"))
+        .drop("_chunk", "_own", "_idx")
+    )
     flag = F.abs(F.col("power_w") - F.col("power_rolling_mean")) > k * F.col("power_rolling_std")
     return out.withColumn("is_anomaly", F.coalesce(flag, F.lit(False)))
 
