@@ -18,8 +18,6 @@ summary back only to the first row of each bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,34 +56,31 @@ def prepare(df: DataFrame, power: str = "power_w") -> DataFrame:
 def dedupe_timestamps(df: DataFrame, keys=None) -> DataFrame:
     """Q2: keep the first row (lowest ``event_id``) per series and timestamp.
 
-    A ``groupBy`` with ``min_by`` (partially aggregated map-side) rather than a
-    window, so a hot series is not sorted in one task.
+    ``row_number`` over (series, timestamp): partitions are as fine as the
+    timestamps, so a long series is spread over many tasks.
     """
     keys = _keys(keys)
-    others = [c for c in df.columns if c not in keys and c != "ts"]
-    first = F.min_by(F.struct(*[F.col(c) for c in others]), F.col("event_id")).alias("_r")
-    return df.groupBy(*keys, "ts").agg(first).select(*keys, "ts", "_r.*").select(*df.columns)
+    w = Window.partitionBy(*keys, "ts").orderBy("event_id")
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def _bucketed(df: DataFrame, keys: list[str], bucket_seconds: int) -> DataFrame:
     return df.withColumn("_b", F.floor(F.col("_us") / F.lit(int(bucket_seconds * US))))
 
 
-def intervals(
-    df: DataFrame,
-    keys=None,
-    power: str = "power_w",
-    bucket_seconds: int = DAY_SECONDS,
-) -> DataFrame:
-    """All consecutive reading pairs of every series.
-
-    Returns ``keys + t0_us, p0, t1_us, p1, dt`` (dt in seconds).  Pairs with
-    equal timestamps are kept (dt = 0); callers decide what to skip.
-    """
-    keys = _keys(keys)
+def _bucket_pairs(df: DataFrame, keys: list[str], power: str, bucket_seconds: int, dedupe: bool):
+    """In-bucket consecutive pairs and the per-bucket summary (first/last
+    reading, row count), both from one sort of (series, bucket)."""
     df = _bucketed(prepare(df, power), keys, bucket_seconds)
-    order = [F.col("_us"), F.col("event_id")]
-    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    w = Window.partitionBy(*keys, "_b").orderBy("_us", "event_id")
+    if dedupe:
+        # equal timestamps are adjacent in the sort; keep the lowest event id.
+        # The filter keeps the ordering, so the second window needs no new sort.
+        df = (
+            df.withColumn("_keep", F.coalesce(F.lag("_us").over(w) != F.col("_us"), F.lit(True)))
+            .where(F.col("_keep"))
+            .drop("_keep")
+        )
     x = df.select(
         *keys,
         "_b",
@@ -93,26 +88,47 @@ def intervals(
         F.lag(power).over(w).alias("p0"),
         F.col("_us").alias("t1_us"),
         F.col(power).alias("p1"),
-        "event_id",
+        F.row_number().over(w).alias("_rn"),
     )
-    inner = x.where(F.col("t0_us").isNotNull()).drop("_b", "event_id")
-
-    # first/last reading per bucket; grouped on the window's partitioning
-    rowkey = F.struct(F.col("t1_us"), F.col("event_id"))
+    inner = x.where(F.col("t0_us").isNotNull()).drop("_b", "_rn")
+    # primitive (value, long ordinal) buffers: a HashAggregate on the window's partitioning
+    o = F.col("_rn")
     summ = x.groupBy(*keys, "_b").agg(
-        F.min_by(F.struct(F.col("t1_us").alias("us"), F.col("p1").alias("p")), rowkey).alias("first"),
-        F.max_by(F.struct(F.col("t1_us").alias("us"), F.col("p1").alias("p")), rowkey).alias("last"),
+        F.min("t1_us").alias("f_us"),
+        F.min_by("p1", o).alias("f_p"),
+        F.max("t1_us").alias("l_us"),
+        F.max_by("p1", o).alias("l_p"),
+        F.count(F.lit(1)).alias("n"),
     )
+    return inner, summ
+
+
+def intervals(
+    df: DataFrame,
+    keys=None,
+    power: str = "power_w",
+    bucket_seconds: int = DAY_SECONDS,
+    dedupe: bool = False,
+    _with_summary: bool = False,
+):
+    """All consecutive reading pairs of every series.
+
+    Returns ``keys + t0_us, p0, t1_us, p1, dt`` (dt in seconds).  Pairs with
+    equal timestamps are kept (dt = 0) unless ``dedupe``; callers decide what
+    to skip.
+    """
+    keys = _keys(keys)
+    inner, summ = _bucket_pairs(df, keys, power, bucket_seconds, dedupe)
     wb = Window.partitionBy(*keys).orderBy("_b")
     border = summ.select(
         *keys,
-        F.lag("last.us").over(wb).alias("t0_us"),
-        F.lag("last.p").over(wb).alias("p0"),
-        F.col("first.us").alias("t1_us"),
-        F.col("first.p").alias("p1"),
+        F.lag("l_us").over(wb).alias("t0_us"),
+        F.lag("l_p").over(wb).alias("p0"),
+        F.col("f_us").alias("t1_us"),
+        F.col("f_p").alias("p1"),
     ).where(F.col("t0_us").isNotNull())
-    pairs = inner.unionByName(border)
-    return pairs.withColumn("dt", (F.col("t1_us") - F.col("t0_us")) / US)
+    pairs = inner.unionByName(border).withColumn("dt", (F.col("t1_us") - F.col("t0_us")) / US)
+    return (pairs, summ) if _with_summary else pairs
 
 
 def with_previous(
@@ -135,16 +151,13 @@ def with_previous(
         # unique, order-preserving long per series: bucket x 2^32 + row in bucket
         .withColumn("_ord", F.col("_b") * F.lit(4294967296) + F.row_number().over(w))
     )
-    rowkey = F.struct(F.col("_us"), F.col("event_id"))
-    summ = x.groupBy(*keys, "_b").agg(
-        F.max_by(F.struct(F.col("_us").alias("us"), F.col(power).alias("p")), rowkey).alias("last")
-    )
+    summ = x.groupBy(*keys, "_b").agg(F.max("_us").alias("_lus"), F.max_by(power, "_ord").alias("_lp"))
     wb = Window.partitionBy(*keys).orderBy("_b")
     summ = summ.select(
         *[F.col(k).alias(f"_s_{k}") for k in keys],
         F.col("_b").alias("_s_b"),
-        F.lag("last.us").over(wb).alias("_bus"),
-        F.lag("last.p").over(wb).alias("_bp"),
+        F.lag("_lus").over(wb).alias("_bus"),
+        F.lag("_lp").over(wb).alias("_bp"),
     )
     heads = x.where(F.col("prev_us").isNull())
     cond = [heads[k].eqNullSafe(summ[f"_s_{k}"]) for k in keys] + [heads["_b"] == summ["_s_b"]]
@@ -270,28 +283,24 @@ def window_parts(rows: DataFrame, group_keys) -> DataFrame:
 # Boundary-extended trapezoid, closed form
 
 
-def _series_edges(df: DataFrame, keys: list[str], extra: Sequence[str] = ()) -> DataFrame:
-    """Per series: first/last reading and row count (one map-side-combined agg)."""
-    rowkey = F.struct(F.col("_us"), F.col("event_id"))
-    return df.groupBy(*keys, *extra).agg(
-        F.min_by(F.col("power_w"), rowkey).alias("first_p"),
-        F.max_by(F.col("power_w"), rowkey).alias("last_p"),
-        F.min("_us").alias("first_us"),
-        F.max("_us").alias("last_us"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )
-
-
 def boundary_parts(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
     """Per series: trapezoid joules over all consecutive pairs plus the first
     and last reading (time and power) and the row count.  T3/T14/T15 are
-    column arithmetic on this one frame."""
+    column arithmetic on this one frame.  Edges come from the per-bucket
+    summary (first bucket's first row, last bucket's last row), so the raw
+    rows are shuffled once."""
     keys = _keys(keys)
-    df = prepare(df)
-    pairs = intervals(df, keys, bucket_seconds=bucket_seconds)
+    pairs, summ = intervals(df, keys, bucket_seconds=bucket_seconds, _with_summary=True)
     trap = pairs.groupBy(*keys).agg(F.sum((F.col("p0") + F.col("p1")) / 2.0 * F.col("dt")).alias("_trap_j"))
     trap = trap.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_trap_j")
-    edges = _series_edges(df, keys)
+    b = F.col("_b")
+    edges = summ.groupBy(*keys).agg(
+        F.min("f_us").alias("first_us"),
+        F.min_by("f_p", b).alias("first_p"),
+        F.max("l_us").alias("last_us"),
+        F.max_by("l_p", b).alias("last_p"),
+        F.sum("n").alias("n_rows"),
+    )
     cond = [edges[k].eqNullSafe(trap[f"_t_{k}"]) for k in keys]
     return (
         edges.join(trap, cond, "left")
@@ -373,10 +382,8 @@ def kept_intervals(df: DataFrame, keys=None, max_gap_seconds=None, start=None, e
         df = df.where(F.col("ts") >= _lit_ts(start))
     if end is not None:
         df = df.where(F.col("ts") <= _lit_ts(end))
-    if dedupe:
-        df = dedupe_timestamps(df, [k for k in keys if k in df.columns])
     df = _gap_limit(df, max_gap_seconds)
-    pairs = intervals(df, keys + ["_max_gap"])
+    pairs = intervals(df, keys + ["_max_gap"], dedupe=dedupe)
     return pairs.where((F.col("dt") > 0) & (F.col("dt") <= F.col("_max_gap")))
 
 
