@@ -150,7 +150,7 @@ def q_job_readings(spark, sf):
 
 @query("job_energy", lambda: _head(*_job_heads()) + f"\nSELECT job_id, metric, {R('e', 'energy_kwh')} FROM je")
 def q_job_energy(spark, sf):
-    return rounded(W.job_energy(CR(spark, sf), J.jobs(spark, sf)))
+    return rounded(W.job_energy(CR(spark, sf), J.jobs(spark, sf)).select("job_id", "metric", "energy_kwh"))
 
 
 @query("job_segments", lambda: _head(*_job_heads()) + f"\nSELECT job_id, seg AS segment, {R('v', 'energy_kwh')} FROM sg")

@@ -33,7 +33,8 @@ def test_g13_job_segments(spark, monkeypatch):
                                 ("SystemOutputPower", 27.0)]],
         "job_id long, metric string, energy_kwh double",
     )
-    jobs = spark.createDataFrame([(1, "rpg-93-1,rpc-91-1")], "job_id long, nodelist string")
+    energy = energy.withColumn("is_h100", F.lit(1))
+    jobs = None
     seg = {r["segment"]: r["energy_kwh"] for r in W.job_segments(None, jobs, energy).collect()}
     assert seg["PSU loss"] == pytest.approx(3.0)
     assert seg["Others"] == pytest.approx(5.0)
