@@ -131,6 +131,59 @@ def intervals(
     return (pairs, summ) if _with_summary else pairs
 
 
+def _walk(df: DataFrame, keys=None, power: str = "power_w", bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+    """Per row: previous reading of the series (``prev_us``, ``prev_p``),
+    trapezoid joules from the series start (``_cum_j``) and a unique
+    order-preserving ordinal (``_ord``).
+
+    Plan: one exchange + sort of (series, bucket) computes lag, row number
+    and the running sum in the bucket; a per-bucket summary (hash aggregate on
+    the same partitioning) gives first/last reading and bucket total; a small
+    window over the buckets of each series gives the border pair and the
+    energy of all earlier buckets; one equi-join on non-null surrogate keys
+    brings both back to the rows.
+    """
+    keys = _keys(keys)
+    df = _bucketed(prepare(df, power), keys, bucket_seconds)
+    sk = [f"_k{i}" for i in range(len(keys))]
+    for name, k in zip(sk, keys):
+        df = df.withColumn(name, F.coalesce(F.col(k).cast("string"), F.lit("\u0001")))
+    w = Window.partitionBy(*sk, "_b").orderBy("_us", "event_id")
+    x = (
+        df.withColumn("_pu", F.lag("_us").over(w))
+        .withColumn("_pp", F.lag(power).over(w))
+        .withColumn("_rn", F.row_number().over(w))
+    )
+    x = x.withColumn(
+        "_e", F.when(F.col("_pu").isNotNull(), (F.col(power) + F.col("_pp")) / 2.0 * ((F.col("_us") - F.col("_pu")) / US)).otherwise(0.0)
+    ).withColumn("_run", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    summ = x.groupBy(*sk, "_b").agg(
+        F.min("_us").alias("_fu"),
+        F.min_by(power, "_rn").alias("_fp"),
+        F.max("_us").alias("_lu"),
+        F.max_by(power, "_rn").alias("_lp"),
+        F.sum("_e").alias("_t"),
+    )
+    wb = Window.partitionBy(*sk).orderBy("_b")
+    bu, bp = F.lag("_lu").over(wb), F.lag("_lp").over(wb)
+    summ = summ.withColumn("_bu", bu).withColumn("_bp", bp)
+    summ = summ.withColumn(
+        "_border", F.when(F.col("_bu").isNotNull(), (F.col("_bp") + F.col("_fp")) / 2.0 * ((F.col("_fu") - F.col("_bu")) / US)).otherwise(0.0)
+    )
+    summ = summ.withColumn(
+        "_off", F.sum(F.col("_t") + F.col("_border")).over(wb.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")
+    ).select(*sk, "_b", "_bu", "_bp", "_off")
+    y = x.join(summ, [*sk, "_b"], "left")
+    head = F.col("_pu").isNull()
+    return (
+        y.withColumn("prev_us", F.when(head, F.col("_bu")).otherwise(F.col("_pu")))
+        .withColumn("prev_p", F.when(head, F.col("_bp")).otherwise(F.col("_pp")))
+        .withColumn("_cum_j", F.col("_off") + F.col("_run"))
+        .withColumn("_ord", F.col("_b") * F.lit(4294967296) + F.col("_rn"))
+        .drop(*sk, "_pu", "_pp", "_rn", "_e", "_run", "_bu", "_bp", "_off")
+    )
+
+
 def with_previous(
     df: DataFrame,
     keys=None,
@@ -142,32 +195,7 @@ def with_previous(
     Rows inside a bucket take ``lag``; the first row of a bucket takes the
     last row of the preceding non-empty bucket from the bucket summary.
     """
-    keys = _keys(keys)
-    df = _bucketed(prepare(df, power), keys, bucket_seconds)
-    w = Window.partitionBy(*keys, "_b").orderBy("_us", "event_id")
-    x = (
-        df.withColumn("prev_us", F.lag("_us").over(w))
-        .withColumn("prev_p", F.lag(power).over(w))
-        # unique, order-preserving long per series: bucket x 2^32 + row in bucket
-        .withColumn("_ord", F.col("_b") * F.lit(4294967296) + F.row_number().over(w))
-    )
-    summ = x.groupBy(*keys, "_b").agg(F.max("_us").alias("_lus"), F.max_by(power, "_ord").alias("_lp"))
-    wb = Window.partitionBy(*keys).orderBy("_b")
-    summ = summ.select(
-        *[F.col(k).alias(f"_s_{k}") for k in keys],
-        F.col("_b").alias("_s_b"),
-        F.lag("_lus").over(wb).alias("_bus"),
-        F.lag("_lp").over(wb).alias("_bp"),
-    )
-    heads = x.where(F.col("prev_us").isNull())
-    cond = [heads[k].eqNullSafe(summ[f"_s_{k}"]) for k in keys] + [heads["_b"] == summ["_s_b"]]
-    heads = (
-        heads.join(summ, cond, "left")
-        .withColumn("prev_us", F.col("_bus"))
-        .withColumn("prev_p", F.col("_bp"))
-        .select(*x.columns)
-    )
-    return x.where(F.col("prev_us").isNotNull()).unionByName(heads)
+    return _walk(df, keys, power, bucket_seconds).drop("_cum_j")
 
 
 def series_index(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
@@ -200,12 +228,12 @@ def series_index(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) ->
 # Per-row interval columns and cumulative energy
 
 
-def power_intervals(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+def power_intervals(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS, _walked: DataFrame | None = None) -> DataFrame:
     """``time_diff_seconds``, ``avg_power_w``, ``energy_interval_kwh`` per row.
 
     The first row of each series has nulls (positional meaning, D2).
     """
-    x = with_previous(df, keys, bucket_seconds=bucket_seconds)
+    x = _walked if _walked is not None else _walk(df, keys, bucket_seconds=bucket_seconds)
     dt = (F.col("_us") - F.col("prev_us")) / US
     avg = (F.col("power_w") + F.col("prev_p")) / 2.0
     return (
@@ -219,28 +247,12 @@ def power_intervals(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS)
 def cumulative_energy(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
     """Running kWh from 0.0 at the first row of each series.
 
-    Running sum inside a bucket plus the total of all earlier buckets (a
-    cumulative sum over the small per-bucket totals), so no window spans a
+    Running sum inside each bucket plus the energy of all earlier buckets and
+    the border pair (from the small per-bucket summary), so no window spans a
     whole series.
     """
-    keys = _keys(keys)
-    x = power_intervals(df, keys, bucket_seconds)
-    e = F.coalesce(F.col("energy_interval_kwh"), F.lit(0.0))
-    w = Window.partitionBy(*keys, "_b").orderBy("_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_run", F.sum(e).over(w))
-    tot = x.groupBy(*keys, "_b").agg(F.sum(e).alias("_bt"))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(
-        *[F.col(k).alias(f"_s_{k}") for k in keys],
-        F.col("_b").alias("_s_b"),
-        F.coalesce(F.sum("_bt").over(wb), F.lit(0.0)).alias("_off"),
-    )
-    cond = [x[k].eqNullSafe(tot[f"_s_{k}"]) for k in keys] + [x["_b"] == tot["_s_b"]]
-    return (
-        x.join(tot, cond, "left")
-        .withColumn("cumulative_energy_kwh", F.col("_off") + F.col("_run"))
-        .drop(*[f"_s_{k}" for k in keys], "_s_b", "_off", "_run", "_bt")
-    )
+    x = power_intervals(df, _walked=_walk(df, keys, bucket_seconds=bucket_seconds))
+    return x.withColumn("cumulative_energy_kwh", F.col("_cum_j") / JOULES_PER_KWH).drop("_cum_j")
 
 
 def series_prefix(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
@@ -252,8 +264,8 @@ def series_prefix(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -
     become one hash aggregate of the readings they contain, with no sort per
     window.
     """
-    x = cumulative_energy(df, keys, bucket_seconds)
-    return x.withColumnRenamed("cumulative_energy_kwh", "_cum_kwh")
+    x = _walk(df, keys, bucket_seconds=bucket_seconds)
+    return x.withColumn("_cum_kwh", F.col("_cum_j") / JOULES_PER_KWH).drop("_cum_j", "prev_us", "prev_p")
 
 
 def window_parts(rows: DataFrame, group_keys) -> DataFrame:
