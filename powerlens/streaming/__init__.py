@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference has no stream processing: every code path is a bounded query
+that exits.  Nothing is built here; all operators are batch DataFrame
+functions.
+"""
