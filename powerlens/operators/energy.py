@@ -131,6 +131,62 @@ def intervals(
     return (pairs, summ) if _with_summary else pairs
 
 
+def _series_totals(
+    df: DataFrame,
+    keys: list[str],
+    bucket_seconds: int = DAY_SECONDS,
+    max_gap: Column | None = None,
+    power: str = "power_w",
+) -> DataFrame:
+    """Per series: trapezoid joules (``_trap_j``), kept-pair count, first and
+    last reading and row count, without materialising the pairs.
+
+    One sort of (series, bucket) gives each in-bucket pair's energy; the
+    per-bucket summary (hash aggregate on that partitioning) sums them; a
+    window over the few buckets of each series adds the border pairs; the
+    final per-series aggregate runs on the same partitioning.  ``max_gap``
+    (a column) keeps only pairs with 0 < dt <= max_gap (T5); without it all
+    pairs count (T3).
+    """
+    df = _bucketed(prepare(df, power), keys, bucket_seconds)
+    w = Window.partitionBy(*keys, "_b").orderBy("_us", "event_id")
+    pu, pp = F.lag("_us").over(w), F.lag(power).over(w)
+    x = df.withColumn("_pu", pu).withColumn("_pp", pp).withColumn("_rn", F.row_number().over(w))
+    dt = (F.col("_us") - F.col("_pu")) / US
+    ok = F.col("_pu").isNotNull()
+    if max_gap is not None:
+        ok = ok & (dt > 0) & (dt <= max_gap)
+    x = x.withColumn("_ok", ok).withColumn("_e", F.when(F.col("_ok"), (F.col(power) + F.col("_pp")) / 2.0 * dt).otherwise(0.0))
+    summ = x.groupBy(*keys, "_b").agg(
+        F.min("_us").alias("_fu"),
+        F.min_by(power, "_rn").alias("_fp"),
+        F.max("_us").alias("_lu"),
+        F.max_by(power, "_rn").alias("_lp"),
+        F.sum("_e").alias("_t"),
+        F.count_if("_ok").alias("_k"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    wb = Window.partitionBy(*keys).orderBy("_b")
+    bu, bp = F.lag("_lu").over(wb), F.lag("_lp").over(wb)
+    summ = summ.withColumn("_bu", bu).withColumn("_bp", bp)
+    bdt = (F.col("_fu") - F.col("_bu")) / US
+    bok = F.col("_bu").isNotNull()
+    if max_gap is not None:
+        bok = bok & (bdt > 0) & (bdt <= max_gap)
+    summ = summ.withColumn("_bok", bok).withColumn(
+        "_be", F.when(F.col("_bok"), (F.col("_bp") + F.col("_fp")) / 2.0 * bdt).otherwise(0.0)
+    )
+    return summ.groupBy(*keys).agg(
+        F.min("_fu").alias("first_us"),
+        F.min_by("_fp", "_b").alias("first_p"),
+        F.max("_lu").alias("last_us"),
+        F.max_by("_lp", "_b").alias("last_p"),
+        F.sum("_n").alias("n_rows"),
+        (F.sum("_k") + F.count_if("_bok")).alias("n_pairs"),
+        F.sum(F.col("_t") + F.col("_be")).alias("_trap_j"),
+    )
+
+
 def _walk(df: DataFrame, keys=None, power: str = "power_w", bucket_seconds: int = DAY_SECONDS) -> DataFrame:
     """Per row: previous reading of the series (``prev_us``, ``prev_p``),
     trapezoid joules from the series start (``_cum_j``) and a unique
@@ -298,27 +354,8 @@ def window_parts(rows: DataFrame, group_keys) -> DataFrame:
 def boundary_parts(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
     """Per series: trapezoid joules over all consecutive pairs plus the first
     and last reading (time and power) and the row count.  T3/T14/T15 are
-    column arithmetic on this one frame.  Edges come from the per-bucket
-    summary (first bucket's first row, last bucket's last row), so the raw
-    rows are shuffled once."""
-    keys = _keys(keys)
-    pairs, summ = intervals(df, keys, bucket_seconds=bucket_seconds, _with_summary=True)
-    trap = pairs.groupBy(*keys).agg(F.sum((F.col("p0") + F.col("p1")) / 2.0 * F.col("dt")).alias("_trap_j"))
-    trap = trap.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_trap_j")
-    b = F.col("_b")
-    edges = summ.groupBy(*keys).agg(
-        F.min("f_us").alias("first_us"),
-        F.min_by("f_p", b).alias("first_p"),
-        F.max("l_us").alias("last_us"),
-        F.max_by("l_p", b).alias("last_p"),
-        F.sum("n").alias("n_rows"),
-    )
-    cond = [edges[k].eqNullSafe(trap[f"_t_{k}"]) for k in keys]
-    return (
-        edges.join(trap, cond, "left")
-        .drop(*[f"_t_{k}" for k in keys])
-        .withColumn("_trap_j", F.coalesce(F.col("_trap_j"), F.lit(0.0)))
-    )
+    column arithmetic on this one frame (see ``_series_totals``)."""
+    return _series_totals(df, _keys(keys), bucket_seconds).drop("n_pairs")
 
 
 def boundary_kwh(start_us: Column, end_us: Column) -> Column:
@@ -400,15 +437,19 @@ def kept_intervals(df: DataFrame, keys=None, max_gap_seconds=None, start=None, e
 
 
 def energy_gap(df: DataFrame, keys=None, max_gap_seconds=None, start=None, end=None) -> DataFrame:
-    """T5: trapezoid skipping intervals longer than the gap limit.
+    """T5: trapezoid skipping intervals longer than the gap limit (and
+    non-increasing time).
 
     Returns ``keys + energy_kwh`` for series with at least one kept interval.
     """
     keys = _keys(keys)
-    pairs = kept_intervals(df, keys, max_gap_seconds, start, end)
-    return pairs.groupBy(*keys).agg(
-        (F.sum((F.col("p0") + F.col("p1")) / 2.0 * F.col("dt")) / JOULES_PER_KWH).alias("energy_kwh")
-    )
+    if start is not None:
+        df = df.where(F.col("ts") >= _lit_ts(start))
+    if end is not None:
+        df = df.where(F.col("ts") <= _lit_ts(end))
+    df = _gap_limit(df, max_gap_seconds)
+    t = _series_totals(df, keys + ["_max_gap"], max_gap=F.col("_max_gap"))
+    return t.where(F.col("n_pairs") > 0).select(*keys, (F.col("_trap_j") / JOULES_PER_KWH).alias("energy_kwh"))
 
 
 def day_pieces(pairs: DataFrame) -> DataFrame:

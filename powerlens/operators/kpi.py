@@ -184,13 +184,18 @@ def rack_cop_daily(spark: SparkSession, readings: DataFrame, start, end, max_gap
 # node / metric energies feeding the component and rack KPIs
 
 
-def metric_energy(readings: DataFrame, start, end) -> DataFrame:
+def device_energy(readings: DataFrame, start, end) -> DataFrame:
+    """T11 over the window: per device T3 energy plus a TOTAL row per (host, metric)."""
+    readings = readings.where(F.col("ts").between(_ts(start), _ts(end)))
+    return E.energy_per_fqdd(readings, start, end)
+
+
+def metric_energy(readings: DataFrame, start, end, dev: DataFrame | None = None) -> DataFrame:
     """Per (host, metric) T3 energy with the query bounds; devices are
     integrated separately and summed (T11).  Adds ``category`` (B13)."""
     from ..functions.nodes import metric_category
 
-    readings = readings.where(F.col("ts").between(_ts(start), _ts(end)))
-    dev = E.energy_per_fqdd(readings, start, end)
+    dev = dev if dev is not None else device_energy(readings, start, end)
     per_metric = dev.where(F.col("fqdd") == "TOTAL").select("hostname", "metric", "energy_kwh")
     return per_metric.withColumn("category", metric_category("metric"))
 
@@ -256,26 +261,25 @@ def _cat_energy(me: DataFrame, cat: str, total_metric: str | None) -> Column:
     return F.coalesce(tot, F.sum(F.when(in_cat, F.col("energy_kwh"))), F.lit(0.0))
 
 
-def component_totals(readings: DataFrame, start, end) -> DataFrame:
+def component_totals(readings: DataFrame, start, end, dev: DataFrame | None = None) -> DataFrame:
     """Per host: CPU, MEMORY, GPU total, FAN, STORAGE and SystemOutput kWh."""
-    readings = readings.where(F.col("ts").between(_ts(start), _ts(end)))
-    me = metric_energy(readings.where(F.col("node_type") == "compute"), start, end)
-    dev = E.energy_per_fqdd(readings.where(F.col("metric") == "PowerConsumption"), start, end)
-    gpu = dev.where(F.col("fqdd") == "TOTAL").groupBy("hostname").agg(F.sum("energy_kwh").alias("gpu_total"))
-    agg = me.groupBy("hostname").agg(
+    dev = dev if dev is not None else device_energy(readings.where(F.col("node_type") == "compute"), start, end)
+    me = metric_energy(readings, start, end, dev)
+    return me.groupBy("hostname").agg(
         _cat_energy(me, "CPU", K.CATEGORY_TOTAL_METRIC["CPU"]).alias("cpu"),
         _cat_energy(me, "MEMORY", K.CATEGORY_TOTAL_METRIC["MEMORY"]).alias("memory"),
         _cat_energy(me, "FAN", K.CATEGORY_TOTAL_METRIC["FAN"]).alias("fan"),
         _cat_energy(me, "STORAGE", K.CATEGORY_TOTAL_METRIC["STORAGE"]).alias("storage"),
         F.coalesce(F.max(F.when(F.col("metric") == "SystemOutputPower", F.col("energy_kwh"))), F.lit(0.0)).alias("system_output"),
+        F.coalesce(F.sum(F.when(F.col("metric") == "PowerConsumption", F.col("energy_kwh"))), F.lit(0.0)).alias("gpu_total"),
     )
-    return agg.join(gpu, "hostname", "left").withColumn("gpu_total", F.coalesce("gpu_total", F.lit(0.0)))
 
 
 def component_breakdown(readings: DataFrame, start, end) -> DataFrame:
     """Per host rows CPU, MEMORY, GPU (fqdd=x)..., GPU Total, FAN,
     STORAGE, SystemOutputPower with an ``order_idx`` (missing -> 0.0)."""
-    t = component_totals(readings, start, end)
+    dev = device_energy(readings.where(F.col("node_type") == "compute"), start, end)
+    t = component_totals(readings, start, end, dev)
     fixed = t.select(
         "hostname",
         F.inline(
@@ -289,9 +293,7 @@ def component_breakdown(readings: DataFrame, start, end) -> DataFrame:
             )
         ),
     )
-    gr = readings.where((F.col("metric") == "PowerConsumption") & F.col("ts").between(_ts(start), _ts(end)))
-    dev = E.energy_per_fqdd(gr, start, end)
-    gpu_rows = dev.where(F.col("fqdd") != "TOTAL").select(
+    gpu_rows = dev.where((F.col("metric") == "PowerConsumption") & (F.col("fqdd") != "TOTAL")).select(
         "hostname",
         F.concat(F.lit("GPU (fqdd="), F.col("fqdd"), F.lit(")")).alias("component"),
         "energy_kwh",
