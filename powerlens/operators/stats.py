@@ -230,32 +230,33 @@ def _tail_series(readings: DataFrame) -> DataFrame:
 
 
 def _tail(readings: DataFrame, q: float, upper: bool) -> DataFrame:
-    s = _tail_series(readings)
-    keys = ["hostname", "metric", "fqdd"]
-    units = s.groupBy(*keys).agg(F.first("units", ignorenulls=True).alias("units"), F.count(F.lit(1)).alias("sample_count"))
-    pos = s.where(F.col("value") > 0)
-    thr = pos.groupBy(*keys).agg(
-        F.percentile("value", q).alias("thr"),
-        (F.max("value") if upper else F.min("value")).alias("extreme"),
+    """Percentile of the non-zero readings per series, then mean and count of
+    the readings beyond it: one statistics aggregate, then the rows joined to
+    their series' threshold (a per-series table, bounded by the inventory)
+    and aggregated once more."""
+    s = _tail_series(readings).withColumn("_g", F.coalesce(F.col("fqdd"), F.lit("\u0001")))
+    keys = ["hostname", "metric", "_g"]
+    pos_v = F.when(F.col("value") > 0, F.col("value"))
+    stats = s.groupBy(*keys).agg(
+        F.first("fqdd").alias("fqdd"),
+        F.first("units", ignorenulls=True).alias("units"),
+        F.count(F.lit(1)).alias("sample_count"),
+        F.percentile(pos_v, q).alias("thr"),
+        (F.max(pos_v) if upper else F.min(pos_v)).alias("extreme"),
+    )
+    beyond = (F.col("value") > 0) & ((F.col("value") >= F.col("thr")) if upper else (F.col("value") <= F.col("thr")))
+    j = s.select(*keys, "value").join(stats, keys)
+    out = j.groupBy(*keys, "fqdd", "units", "sample_count", "thr", "extreme").agg(
+        F.avg(F.when(beyond, F.col("value"))).alias("tail_mean"), F.count_if(beyond).alias("n_tail")
     )
-    # per-series thresholds are one row per series (bounded by the inventory): joined back by key
-    thr_r = thr.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "thr", "extreme")
-    cond = [pos[k].eqNullSafe(thr_r[f"_t_{k}"]) for k in keys]
-    tailrows = pos.join(thr_r, cond).select(*keys, "value", "thr")
-    in_tail = (F.col("value") >= F.col("thr")) if upper else (F.col("value") <= F.col("thr"))
-    tail = tailrows.where(in_tail).groupBy(*keys).agg(F.avg("value").alias("tail_mean"), F.count(F.lit(1)).alias("n_tail"))
-    tail_r = tail.select(*[F.col(k).alias(f"_l_{k}") for k in keys], "tail_mean", "n_tail")
-    out = units.join(thr_r, [units[k].eqNullSafe(thr_r[f"_t_{k}"]) for k in keys], "left")
-    out = out.join(tail_r, [out[k].eqNullSafe(tail_r[f"_l_{k}"]) for k in keys], "left")
     z = F.lit(0.0)
     return out.select(
-        *keys,
-        "units",
+        "hostname", "metric", "fqdd", "units",
         F.coalesce("thr", z).alias("thr"),
         F.coalesce("tail_mean", z).alias("tail_mean"),
         F.coalesce("extreme", z).alias("extreme"),
         "sample_count",
-        F.coalesce("n_tail", F.lit(0).cast("bigint")).alias("n_tail"),
+        F.col("n_tail").cast("bigint").alias("n_tail"),
     )
 
 
