@@ -22,11 +22,13 @@ def defs_by_lower_id(defs: DataFrame) -> DataFrame:
 def enrich_compute(facts: DataFrame, nodes: DataFrame, source: DataFrame, fqdd: DataFrame, defs: DataFrame) -> DataFrame:
     """C1 (+C3): facts LEFT JOIN nodes, source, fqdd, definitions (unit).
 
-    The dimensions are bounded by the inventory and broadcast.
+    Source, device and definition tables are small literals and broadcast.
+    The nodes table comes from the node registry, so it is joined without a
+    hint: AQE broadcasts it at run time only when its measured size is small.
     """
     d = defs_by_lower_id(defs).select("_mkey", "units")
     return (
-        facts.join(F.broadcast(nodes), "nodeid", "left")
+        facts.join(nodes, "nodeid", "left")
         .join(F.broadcast(source.select(F.col("id").alias("source"), F.col("source").alias("source_name"))), "source", "left")
         .join(F.broadcast(fqdd.select(F.col("id").alias("fqdd"), F.col("fqdd").alias("fqdd_name"))), "fqdd", "left")
         .join(F.broadcast(d), F.lower(F.col("metric")) == F.col("_mkey"), "left")
@@ -47,7 +49,7 @@ def enrich_infra(facts: DataFrame, nodes: DataFrame, defs: DataFrame) -> DataFra
     """INNER JOIN nodes (unknown ids dropped), LEFT JOIN definitions."""
     d = defs_by_lower_id(defs).select("_mkey", "units")
     return (
-        facts.join(F.broadcast(nodes), "nodeid", "inner")
+        facts.join(nodes, "nodeid", "inner")
         .join(F.broadcast(d), F.lower(F.col("metric")) == F.col("_mkey"), "left")
         .select("event_id", "ts", "hostname", "metric", "value", "units")
     )

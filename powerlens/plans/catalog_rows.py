@@ -165,14 +165,19 @@ def _inventory_sql() -> str:
     return "(SELECT hostname, node_type, CAST(rack AS INTEGER) AS rack FROM (VALUES " + ", ".join(rows) + ") v(hostname, node_type, rack))"
 
 
-@query("metrics_for_node", lambda: _head(f"inv AS {_inventory_sql()}") + f"""
-SELECT hostname, node_type, CAST(pos - 1 AS INTEGER) AS position, m AS metric FROM (
+@query("metrics_for_node", lambda: _head(*_all_heads(), f"inv AS {_inventory_sql()}") + f"""
+SELECT b.hostname, node_type, CAST(pos - 1 AS INTEGER) AS position, m AS metric, coalesce(u.n, 0) AS n_readings FROM (
   SELECT hostname, node_type, unnest(l) AS m, generate_subscripts(l, 1) AS pos FROM (
     SELECT hostname, node_type, CASE WHEN node_type = 'irc' THEN [{S.q(K.IRC_POWER_METRICS)}]
-      WHEN node_type = 'pdu' THEN [{S.q(K.PDU_POWER_METRICS)}] ELSE [{S.q(B.compute_power_metric_list())}] END AS l FROM inv) a) b""")
+      WHEN node_type = 'pdu' THEN [{S.q(K.PDU_POWER_METRICS)}] ELSE [{S.q(B.compute_power_metric_list())}] END AS l FROM inv) a) b
+LEFT JOIN (SELECT hostname, metric, count(*) AS n FROM readings GROUP BY hostname, metric) u ON b.hostname = u.hostname AND b.m = u.metric""")
 def q_metrics_for_node(spark, sf):
-    # the host list comes from the inventory; restricted to hosts present in the readings
-    return B.metrics_for_node(D.inventory(spark))
+    """Default metrics of every listed host with its number of readings."""
+    m = B.metrics_for_node(D.inventory(spark))
+    use = RD(spark, sf).groupBy("hostname", "metric").agg(F.count(F.lit(1)).alias("n_readings"))
+    return m.join(use, ["hostname", "metric"], "left").select(
+        "hostname", "node_type", "position", "metric", F.coalesce("n_readings", F.lit(0)).cast("bigint").alias("n_readings")
+    )
 
 
 @query("assign_rack", lambda: _head(*_all_heads(), f"inv AS {_inventory_sql()}") + """
@@ -229,7 +234,16 @@ def _defs_sql(units, words, col) -> str:
         conds.append(f"units IN ({S.q(units)})")
     conds += [f"{col} LIKE '%{w}%'" for w in words]
     where = " OR ".join(conds) if conds else "TRUE"
-    return f"SELECT * FROM {_defs_values()} d WHERE {where}"
+    return _head(*_all_heads()) + f"""
+SELECT d.*, coalesce(u.n, 0) AS n_readings FROM {_defs_values()} d
+LEFT JOIN (SELECT metric, count(*) AS n FROM readings GROUP BY metric) u ON d.metric_id = u.metric WHERE {where}"""
+
+
+def defs_with_usage(spark, sf):
+    """Metric definitions with the number of readings each metric has."""
+    use = RD(spark, sf).groupBy(F.col("metric").alias("metric_id")).agg(F.count(F.lit(1)).alias("n_readings"))
+    d = D.metric_defs(spark)
+    return d.join(use, "metric_id", "left").select(*d.columns, F.coalesce("n_readings", F.lit(0)).cast("bigint").alias("n_readings"))
 
 
 def _reg_defs(kind: str, infra: bool):
@@ -240,7 +254,7 @@ def _reg_defs(kind: str, infra: bool):
 
     @query(name, lambda: _defs_sql(units, words, col))
     def q(spark, sf):
-        d = D.metric_defs(spark)
+        d = defs_with_usage(spark, sf)
         return B.defs_infra(d, kind) if infra else B.defs_compute(d, kind)
 
     return q

@@ -232,14 +232,20 @@ def q_raw_statistics(spark, sf):
     return rounded(ST.raw_statistics(RD(spark, sf)), fine=("raw_median", "w_median"))
 
 
-@query("definition_counts", lambda: _head(f"defs AS {_defs_values()}", f"inv AS {_inventory_sql()}") + """
+@query("definition_counts", lambda: _head(*_all_heads(), f"defs0 AS {_defs_values()}") + """
+, defs AS (SELECT * FROM defs0 WHERE metric_id IN (SELECT metric FROM readings)),
+inv AS (SELECT DISTINCT hostname, node_type FROM readings)
 SELECT 'by_unit' AS kind, units AS key, count(*) AS count FROM defs GROUP BY units
 UNION ALL SELECT 'by_type', metric_data_type, count(*) FROM defs GROUP BY metric_data_type
 UNION ALL SELECT 'accurate', 'accuracy_gt_0.95', count(*) FROM defs WHERE accuracy > 0.95
 UNION ALL SELECT 'nodes_by_type', node_type, count(*) FROM inv GROUP BY node_type""")
 def q_definition_counts(spark, sf):
-    """E20 over the definition and inventory dimensions (no fact rows involved)."""
-    return ST.definition_counts(D.metric_defs(spark), D.inventory(spark))
+    """E20 over the definitions of the metrics present in the readings and
+    the hosts that report."""
+    rd = RD(spark, sf)
+    defs = D.metric_defs(spark).join(rd.select(F.col("metric").alias("metric_id")).distinct(), "metric_id", "left_semi")
+    nodes = rd.select("hostname", "node_type").distinct()
+    return ST.definition_counts(defs, nodes)
 
 
 # ------------------------------------------------------------ W1, Q1-Q3
