@@ -74,7 +74,7 @@ def q_recent_n(spark, sf):
 def _topn_sql(where: str, desc: bool, n: int) -> str:
     o = "ts DESC, event_id DESC" if desc else "ts, event_id"
     return _head(*_all_heads()) + f"""
-SELECT {COLS}, rn FROM (
+SELECT {COLS}, CAST(rn AS INTEGER) AS rn FROM (
   SELECT *, row_number() OVER (PARTITION BY hostname, metric ORDER BY {o}) AS rn FROM readings WHERE {where}) x
 WHERE rn <= {n}"""
 

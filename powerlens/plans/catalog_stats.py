@@ -194,9 +194,9 @@ def q_rank_pick(spark, sf):
 
 
 @query("validate_readings", lambda: _head(*_all_heads()) + f"""
-SELECT count(*) AS total_records, {', '.join(f"count_if({c} IS NULL) AS null_{c}" for c in T.COLUMNS)},
-  count_if(TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) IS NULL AND value IS NOT NULL) AS non_numeric,
-  count_if(value < 0) AS negative_values, count_if(value > {K.MAX_NODE_WATTS}) AS over_10kw,
+SELECT count(*) AS total_records, {', '.join(f"CAST(count_if({c} IS NULL) AS BIGINT) AS null_{c}" for c in T.COLUMNS)},
+  CAST(count_if(TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) IS NULL AND value IS NOT NULL) AS BIGINT) AS non_numeric,
+  CAST(count_if(value < 0) AS BIGINT) AS negative_values, CAST(count_if(value > {K.MAX_NODE_WATTS}) AS BIGINT) AS over_10kw,
   count(DISTINCT hostname) AS unique_hostnames,
   {R('CASE WHEN count(*) > 1 THEN (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 ELSE 0.0 END', 'time_range_hours')},
   count(*) > 0 AS is_valid
