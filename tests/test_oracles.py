@@ -44,11 +44,17 @@ def test_entry_smoke(spark):
     assert df.columns == ["date", "irc_energy_kwh", "pdu_energy_kwh", "pue"]
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
     rel = con.sql(ORACLES[name])
+    stypes = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert stypes == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     sc, sr = _canon(df.columns, srows)
     oc, orr = _canon(rel.columns, rel.fetchall())
     assert sc == oc
