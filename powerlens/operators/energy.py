@@ -26,6 +26,7 @@ from ..functions.times import epoch_micros
 from ..functions.units import with_power_w
 
 SERIES = ("hostname", "metric", "fqdd")
+SENTINEL = "\u0001"  # stands for a null key inside surrogate (non-null) partition keys
 DAY_SECONDS = 86400
 US = 1_000_000.0
 
@@ -70,24 +71,29 @@ def _bucketed(df: DataFrame, keys: list[str], bucket_seconds: int) -> DataFrame:
 
 def _bucket_pairs(df: DataFrame, keys: list[str], power: str, bucket_seconds: int, dedupe: bool):
     """In-bucket consecutive pairs and the per-bucket summary (first/last
-    reading, row count), both from one sort of (series, bucket)."""
-    df = _bucketed(prepare(df, power), keys, bucket_seconds)
-    w = Window.partitionBy(*keys, "_b").orderBy("_us", "event_id")
+    reading, row count), both from one sort of (series, bucket).
+
+    Both branches read exactly the same projected columns, so the shuffle of
+    the readings is planned once and reused (ReuseExchange)."""
+    base = _bucketed(prepare(df, power), keys, bucket_seconds).select(
+        *keys, "_b", F.col("_us").alias("t1_us"), F.col(power).alias("p1"), "event_id"
+    )
+    w = Window.partitionBy(*keys, "_b").orderBy("t1_us", "event_id")
     if dedupe:
         # equal timestamps are adjacent in the sort; keep the lowest event id.
         # The filter keeps the ordering, so the second window needs no new sort.
-        df = (
-            df.withColumn("_keep", F.coalesce(F.lag("_us").over(w) != F.col("_us"), F.lit(True)))
+        base = (
+            base.withColumn("_keep", F.coalesce(F.lag("t1_us").over(w) != F.col("t1_us"), F.lit(True)))
             .where(F.col("_keep"))
             .drop("_keep")
         )
-    x = df.select(
+    x = base.select(
         *keys,
         "_b",
-        F.lag("_us").over(w).alias("t0_us"),
-        F.lag(power).over(w).alias("p0"),
-        F.col("_us").alias("t1_us"),
-        F.col(power).alias("p1"),
+        F.lag("t1_us").over(w).alias("t0_us"),
+        F.lag("p1").over(w).alias("p0"),
+        "t1_us",
+        "p1",
         F.row_number().over(w).alias("_rn"),
     )
     inner = x.where(F.col("t0_us").isNotNull()).drop("_b", "_rn")
@@ -187,7 +193,9 @@ def _series_totals(
     )
 
 
-def _walk(df: DataFrame, keys=None, power: str = "power_w", bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+def _walk(
+    df: DataFrame, keys=None, power: str = "power_w", bucket_seconds: int = DAY_SECONDS, narrow: bool = False
+) -> DataFrame:
     """Per row: previous reading of the series (``prev_us``, ``prev_p``),
     trapezoid joules from the series start (``_cum_j``) and a unique
     order-preserving ordinal (``_ord``).
@@ -203,7 +211,11 @@ def _walk(df: DataFrame, keys=None, power: str = "power_w", bucket_seconds: int
     df = _bucketed(prepare(df, power), keys, bucket_seconds)
     sk = [f"_k{i}" for i in range(len(keys))]
     for name, k in zip(sk, keys):
-        df = df.withColumn(name, F.coalesce(F.col(k).cast("string"), F.lit("\u0001")))
+        df = df.withColumn(name, F.coalesce(F.col(k).cast("string"), F.lit(SENTINEL)))
+    if narrow:
+        # only (series, time, power, id): the row branch and the summary
+        # branch then shuffle identical columns and the exchange is reused
+        df = df.select(*sk, "_b", "_us", F.col(power).alias(power), "event_id")
     w = Window.partitionBy(*sk, "_b").orderBy("_us", "event_id")
     x = (
         df.withColumn("_pu", F.lag("_us").over(w))
@@ -231,13 +243,17 @@ def _walk(df: DataFrame, keys=None, power: str = "power_w", bucket_seconds: int
     ).select(*sk, "_b", "_bu", "_bp", "_off")
     y = x.join(summ, [*sk, "_b"], "left")
     head = F.col("_pu").isNull()
-    return (
+    y = (
         y.withColumn("prev_us", F.when(head, F.col("_bu")).otherwise(F.col("_pu")))
         .withColumn("prev_p", F.when(head, F.col("_bp")).otherwise(F.col("_pp")))
         .withColumn("_cum_j", F.col("_off") + F.col("_run"))
         .withColumn("_ord", F.col("_b") * F.lit(4294967296) + F.col("_rn"))
-        .drop(*sk, "_pu", "_pp", "_rn", "_e", "_run", "_bu", "_bp", "_off")
     )
+    if narrow:
+        for name, k in zip(sk, keys):
+            y = y.withColumn(k, F.nullif(F.col(name), F.lit(SENTINEL)))
+        y = y.withColumn("ts", F.timestamp_micros(F.col("_us")).cast("timestamp_ntz"))
+    return y.drop(*sk, "_pu", "_pp", "_rn", "_e", "_run", "_bu", "_bp", "_off")
 
 
 def with_previous(
@@ -320,7 +336,7 @@ def series_prefix(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -
     become one hash aggregate of the readings they contain, with no sort per
     window.
     """
-    x = _walk(df, keys, bucket_seconds=bucket_seconds)
+    x = _walk(df, keys, bucket_seconds=bucket_seconds, narrow=True)
     return x.withColumn("_cum_kwh", F.col("_cum_j") / JOULES_PER_KWH).drop("_cum_j", "prev_us", "prev_p")
 
 
