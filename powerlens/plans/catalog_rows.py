@@ -30,7 +30,7 @@ def _scan_sql(src: str, where: str, units: str = "units") -> str:
 
 @query("scan_readings", lambda: _scan_sql("compute_readings", f"lower(metric) = 'systeminputpower' AND {WIN}"))
 def q_scan_readings(spark, sf):
-    return B.scan(CR(spark, sf), "SystemInputPower", None, P.START, P.END).drop()
+    return B.scan(CR(spark, sf), "SystemInputPower", None, P.START, P.END)
 
 
 @query("scan_irc_readings", lambda: _scan_sql("infra_readings", f"node_type = 'irc' AND lower(metric) = 'compressorpower' AND {WIN}"))
@@ -307,7 +307,7 @@ def q_coerce_timestamps(spark, sf):
 
 @query("epoch_to_ts", lambda: "SELECT o_orderkey, make_timestamp(CAST((1704067200 + (o_orderkey * 7919) % 2500000) AS BIGINT) * 1000000) AS job_start FROM orders")
 def q_epoch_to_ts(spark, sf):
-    o = T.load(spark, sf, "orders") if hasattr(T, "load") else None
+    o = T.load(spark, sf, "orders")
     epoch = F.lit(1704067200) + (F.col("o_orderkey") * 7919) % 2500000
     return o.select("o_orderkey", TM.epoch_to_ts(epoch).alias("job_start"))
 

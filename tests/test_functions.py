@@ -68,3 +68,34 @@ def test_render_local_time(spark):
     df = spark.createDataFrame([("2024-07-01 12:00:00",), ("2024-01-01 12:00:00",)], "ts string").select(F.col("ts").cast("timestamp_ntz").alias("ts"))
     got = [r[0] for r in df.select(TM.render_local_time("ts", "America/Chicago")).collect()]
     assert got == ["2024-07-01 07:00:00-05", "2024-01-01 06:00:00-06"]
+
+
+def test_window_table_requires_columns(spark, tmp_path):
+    from powerlens.sources import sinks as SK
+
+    p = str(tmp_path / "w.csv")
+    spark.createDataFrame([(1, "12/6/25 17:10")], "Rank int, `Start time` string").write.option("header", True).csv(p)
+    with pytest.raises(ValueError):
+        SK.read_window_table(spark, p)
+
+
+def test_window_table_drops_bad_rows(spark, tmp_path):
+    from powerlens.sources import sinks as SK
+
+    p = str(tmp_path / "w2.csv")
+    rows = [(1, "rpc-95-2", "12/6/25 17:10", "12/6/25 17:40"), (2, "rpc-95-2", "junk", "12/6/25 18:00"),
+            (3, "rpc-95-2", "2025-12-06 18:00:00", "12/06/2025 18:30")]
+    spark.createDataFrame(rows, "Rank int, Hostname string, `Start time` string, `End time` string").write.option("header", True).csv(p)
+    got = sorted((r["window_id"], str(r["start_ts"]), str(r["end_ts"])) for r in SK.read_window_table(spark, p).collect())
+    assert got == [(1, "2025-12-06 17:10:00", "2025-12-06 17:40:00"), (3, "2025-12-06 18:00:00", "2025-12-06 18:30:00")]
+
+
+def test_write_report_skips_empty_and_raises_when_nothing(spark, tmp_path):
+    from powerlens.sources import sinks as SK
+
+    full = spark.createDataFrame([(1,)], "a int")
+    empty = full.where("a > 1")
+    out = SK.write_report({"full": full, "empty": empty, "x" * 40: full}, str(tmp_path / "rep"))
+    assert [n for n, _ in out] == ["full", "x" * 31]
+    with pytest.raises(ValueError):
+        SK.write_report({"empty": empty}, str(tmp_path / "rep2"))
