@@ -158,16 +158,12 @@ def defs_infra(defs: DataFrame, kind: str) -> DataFrame:
 
 
 def compute_power_metric_list() -> list[str]:
-    """Compute-node power metrics: definitions with a power unit, minus the
-    excluded headroom metric and the infrastructure metrics (B11)."""
+    """Compute-node power metrics: compute definitions with a power unit
+    (B11); exclusion of the headroom metric applies to charts only (B8)."""
     from ..sources.dimensions import METRIC_DEFS
 
     infra = set(K.IRC_ALL_METRICS + K.PDU_POWER_METRICS)
-    return [
-        d[0]
-        for d in METRIC_DEFS
-        if d[3] in ("mW", "W", "kW") and d[0].lower() not in K.EXCLUDED_METRICS and d[0] not in infra
-    ]
+    return [d[0] for d in METRIC_DEFS if d[3] in ("mW", "W", "kW") and d[0] not in infra]
 
 
 def metrics_for_node(inventory: DataFrame) -> DataFrame:
