@@ -220,11 +220,12 @@ def _tail_series(readings: DataFrame) -> DataFrame:
     # device series: rows with a device; for device metrics the null-device
     # rows are left out of the per-device stats but counted in TOTAL
     dev = r.where((F.col("_hd") == 0) | F.col("fqdd").isNotNull()).select("hostname", "metric", "fqdd", "units", "value")
+    # units of TOTAL rows are filled later from the device series (per-series table)
     tot = (
         r.where(F.col("_hd") == 1)
         .groupBy("hostname", "metric", "ts")
-        .agg(F.sum("value").alias("value"), F.first("units", ignorenulls=True).alias("units"))
-        .select("hostname", "metric", F.lit("TOTAL").alias("fqdd"), "units", "value")
+        .agg(F.sum("value").alias("value"))
+        .select("hostname", "metric", F.lit("TOTAL").alias("fqdd"), F.lit(None).cast("string").alias("units"), "value")
     )
     return dev.unionByName(tot)
 
@@ -244,6 +245,10 @@ def _tail(readings: DataFrame, q: float, upper: bool) -> DataFrame:
         F.percentile(pos_v, q).alias("thr"),
         (F.max(pos_v) if upper else F.min(pos_v)).alias("extreme"),
     )
+    # TOTAL series carry the unit of their metric's devices (window over the small per-series table)
+    stats = stats.withColumn(
+        "units", F.coalesce("units", F.first("units", ignorenulls=True).over(Window.partitionBy("hostname", "metric")))
+    )
     beyond = (F.col("value") > 0) & ((F.col("value") >= F.col("thr")) if upper else (F.col("value") <= F.col("thr")))
     j = s.select(*keys, "value").join(stats, keys)
     out = j.groupBy(*keys, "fqdd", "units", "sample_count", "thr", "extreme").agg(
