@@ -49,9 +49,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events")
 
 
-def infra_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IRC and PDU readings derived from ``events`` (FIXTURES 3.1)."""
-    e = _events(spark, sf_dir)
+def _infra_cols() -> list[Column]:
     slot = (F.col("user_id") % len(INFRA_HOSTS)).cast("int")
     is_irc = slot < len(IRC_NODES)
     et = F.col("event_type")
@@ -64,9 +62,9 @@ def infra_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("TotalSensibleCoolingPower")
     )
     kw = is_irc & (et != "error")
-    return e.select(
-        "event_id",
-        "ts",
+    return [
+        F.col("event_id"),
+        F.col("ts"),
         F.col("user_id").alias("nodeid"),
         F.element_at(F.array(*[F.lit(h) for h in INFRA_HOSTS]), slot + 1).alias("hostname"),
         F.when(is_irc, "irc").otherwise("pdu").alias("node_type"),
@@ -74,7 +72,12 @@ def infra_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         metric.alias("metric"),
         F.when(kw, F.col("value") / 1000.0).otherwise(F.col("value")).alias("value"),
         F.when(kw, "kW").otherwise("W").alias("units"),
-    )
+    ]
+
+
+def infra_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IRC and PDU readings derived from ``events`` (FIXTURES 3.1)."""
+    return _events(spark, sf_dir).select(*_infra_cols())
 
 
 # compute adapter: host slot i = (user_id * 37) % 118 -> host by inventory order
@@ -97,13 +100,11 @@ def _compute_host(i: Column) -> Column:
     return expr
 
 
-def compute_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compute-node (iDRAC) readings derived from ``events`` (FIXTURES 3.2)."""
-    e = _events(spark, sf_dir)
+def _compute_cols() -> list[Column]:
     k = F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
     i = (F.col("user_id") * 37) % 118
     et = F.col("event_type")
-    even = (F.col("_k") % 2) == 0
+    even = (k % 2) == 0
     metric = (
         F.when((et == "click") & even, "TotalCPUPower")
         .when(et == "click", "CPUPower")
@@ -116,30 +117,34 @@ def compute_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(even, "TotalMemoryPower")
         .otherwise("SystemPowerConsumption")
     )
-    m = F.col("metric")
-    return (
-        e.select("event_id", "ts", "user_id", "event_type", "value", k.alias("_k"), i.alias("_i"))
-        .withColumn("metric", metric)
-        .select(
-            "event_id",
-            "ts",
-            F.col("user_id").alias("nodeid"),
-            _compute_host(F.col("_i")).alias("hostname"),
-            F.lit("compute").alias("node_type"),
-            F.when(m.isin("PowerConsumption", "CPUPower"), F.concat(F.lit("dev."), (F.col("_k") % 4 + 1).cast("string"))).alias("fqdd"),
-            "metric",
-            F.when(m == "PowerConsumption", F.col("value") * 1000.0)
-            .when(m == "SystemPowerConsumption", F.col("value") / 1000.0)
-            .otherwise(F.col("value"))
-            .alias("value"),
-            F.when(m == "PowerConsumption", "mW").when(m == "SystemPowerConsumption", "kW").otherwise("W").alias("units"),
-        )
-    )
+    return [
+        F.col("event_id"),
+        F.col("ts"),
+        F.col("user_id").alias("nodeid"),
+        _compute_host(i).alias("hostname"),
+        F.lit("compute").alias("node_type"),
+        F.when(metric.isin("PowerConsumption", "CPUPower"), F.concat(F.lit("dev."), (k % 4 + 1).cast("string"))).alias("fqdd"),
+        metric.alias("metric"),
+        F.when(metric == "PowerConsumption", F.col("value") * 1000.0)
+        .when(metric == "SystemPowerConsumption", F.col("value") / 1000.0)
+        .otherwise(F.col("value"))
+        .alias("value"),
+        F.when(metric == "PowerConsumption", "mW").when(metric == "SystemPowerConsumption", "kW").otherwise("W").alias("units"),
+    ]
+
+
+def compute_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compute-node (iDRAC) readings derived from ``events`` (FIXTURES 3.2)."""
+    return _events(spark, sf_dir).select(*_compute_cols())
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All readings, infra and compute, in one frame (no per-metric loop)."""
-    return infra_readings(spark, sf_dir).unionByName(compute_readings(spark, sf_dir))
+    """All readings, infra and compute, in one frame (no per-metric loop).
+
+    Every event yields one infrastructure and one compute reading; both come
+    from a single scan (``inline`` of two structs)."""
+    both = F.array(F.struct(*_infra_cols()), F.struct(*_compute_cols()))
+    return _events(spark, sf_dir).select(F.inline(both))
 
 
 def parquet_readings(spark: SparkSession, path: str) -> DataFrame:
