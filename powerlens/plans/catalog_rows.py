@@ -399,14 +399,18 @@ t AS (SELECT user_id AS nodeid, ts, 20.0 + value / 10.0 AS value FROM events
 
 
 @query("power_temp_full_join", lambda: "WITH " + _pt_sql() + f"""
-SELECT p.nodeid AS p_nodeid, p.ts AS p_ts, round(p.value, 6) AS p_value, t.nodeid AS t_nodeid, t.ts AS t_ts, round(t.value, 6) AS t_value
+SELECT CAST(p.nodeid AS DOUBLE) AS p_nodeid, p.ts AS p_ts, round(p.value, 6) AS p_value,
+  CAST(t.nodeid AS DOUBLE) AS t_nodeid, t.ts AS t_ts, round(t.value, 6) AS t_value
 FROM p FULL OUTER JOIN t ON p.nodeid = t.nodeid AND p.ts = t.ts
 WHERE p.ts >= {S.ts(P.NOW)} - INTERVAL {HOUR_ALL} HOUR OR t.ts >= {S.ts(P.NOW)} - INTERVAL {HOUR_ALL} HOUR""")
 def q_power_temp_full_join(spark, sf):
     from ..operators import stats as E
 
     p, t = T.power_and_temperature(spark, sf)
-    return rounded(E.power_temp_full_join(p, t, P.NOW, HOUR_ALL))
+    j = E.power_temp_full_join(p, t, P.NOW, HOUR_ALL)
+    # node ids are null on the unmatched side of the full join: doubles on both sides
+    j = j.withColumn("p_nodeid", F.col("p_nodeid").cast("double")).withColumn("t_nodeid", F.col("t_nodeid").cast("double"))
+    return rounded(j)
 
 
 MERGE_METRICS = ["TotalCPUPower", "TotalMemoryPower", "SystemInputPower"]
