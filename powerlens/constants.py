@@ -165,12 +165,3 @@ def pdu_nodes() -> list[str]:
 
 def compute_nodes() -> list[str]:
     return [f"{p}-{r}-{i}" for r, (p, n) in COMPUTE_PER_RACK.items() for i in range(1, n + 1)]
-
-
-def rack_pdus(rack: int) -> list[str]:
-    return [f"pdu-{rack}-{i}" for i in range(1, PDUS_PER_RACK[rack] + 1)]
-
-
-def rack_compute(rack: int) -> list[str]:
-    p, n = COMPUTE_PER_RACK[rack]
-    return [f"{p}-{rack}-{i}" for i in range(1, n + 1)]

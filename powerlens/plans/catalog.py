@@ -80,10 +80,6 @@ def _all_heads() -> list[str]:
     return [S.infra_cte(), S.compute_cte(), S.readings_cte()]
 
 
-def _rcols(df, *extra):
-    return df.select("event_id", "ts", "hostname", "fqdd", "metric", "value", "units", *extra)
-
-
 # ---------------------------------------------------------------- T1-T13
 
 

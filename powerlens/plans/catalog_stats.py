@@ -13,8 +13,8 @@ from ..sources import dimensions as D
 from ..sources import telemetry as T
 from . import params as P
 from . import sqlparts as S
-from .catalog import CR, IR, RD, SERIES, WIN, _all_heads, _head, _sql_power_intervals
-from .catalog_rows import HOUR_ALL, _category_sql, _defs_values, _inventory_sql, _power_ids_sql
+from .catalog import CR, RD, SERIES, WIN, _all_heads, _head, _sql_power_intervals
+from .catalog_rows import HOUR_ALL, _defs_values, _inventory_sql
 from .registry import query, rounded
 
 R = lambda c, a=None: S.r(c, a or c)

@@ -88,12 +88,3 @@ def metric_defs(spark: SparkSession) -> DataFrame:
 
 def display_labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(K.DISPLAY_LABELS.items()), "metric string, label string")
-
-
-def nodes_dim(spark: SparkSession, readings: DataFrame) -> DataFrame:
-    """``nodes(nodeid, hostname)`` as observed in the readings (distinct, tiny)."""
-    return readings.select("nodeid", "hostname").distinct()
-
-
-def inventory_hosts(spark: SparkSession, node_type: str) -> DataFrame:
-    return inventory(spark).where(F.col("node_type") == node_type)

@@ -99,3 +99,20 @@ def test_write_report_skips_empty_and_raises_when_nothing(spark, tmp_path):
     assert [n for n, _ in out] == ["full", "x" * 31]
     with pytest.raises(ValueError):
         SK.write_report({"empty": empty}, str(tmp_path / "rep2"))
+
+
+def test_energy_units(spark):
+    df = spark.createDataFrame([(3600000.0, 2.5)], "j double, kwh double")
+    r = df.select(U.joules_to_kwh("j").alias("a"), U.kwh_to_joules("kwh").alias("b"), U.kwh_to_wh("kwh").alias("c")).collect()[0]
+    assert (r["a"], r["b"], r["c"]) == (1.0, 9000000.0, 2500.0)
+
+
+def test_register_views_adhoc_sql(spark):
+    """Ad-hoc SQL on the registered views (the reference's custom-query path)."""
+    from powerlens.sources.tables import register_views
+
+    register_views(spark, "/root/testdata/sf0.001")
+    n = spark.sql("SELECT count(*) AS n FROM readings r JOIN inventory i USING (hostname) WHERE i.node_type = 'pdu'").collect()[0]["n"]
+    m = spark.sql("SELECT count(*) AS n FROM infra_readings WHERE node_type = 'pdu'").collect()[0]["n"]
+    assert n == m > 0
+    assert spark.sql("SELECT count(*) FROM metric_defs").collect()[0][0] > 0
