@@ -194,7 +194,12 @@ def _series_totals(
 
 
 def _walk(
-    df: DataFrame, keys=None, power: str = "power_w", bucket_seconds: int = DAY_SECONDS, narrow: bool = False
+    df: DataFrame,
+    keys=None,
+    power: str = "power_w",
+    bucket_seconds: int = DAY_SECONDS,
+    narrow: bool = False,
+    sum_duplicates: bool = False,
 ) -> DataFrame:
     """Per row: previous reading of the series (``prev_us``, ``prev_p``),
     trapezoid joules from the series start (``_cum_j``) and a unique
@@ -216,6 +221,15 @@ def _walk(
         # only (series, time, power, id): the row branch and the summary
         # branch then shuffle identical columns and the exchange is reused
         df = df.select(*sk, "_b", "_us", F.col(power).alias(power), "event_id")
+        if sum_duplicates:
+            # readings of one series at one instant (several devices) are summed;
+            # hash-partitioning by (series, bucket) first lets this aggregate and
+            # the window below share one exchange
+            df = (
+                df.repartition(*sk, "_b")
+                .groupBy(*sk, "_b", "_us")
+                .agg(F.sum(power).alias(power), F.min("event_id").alias("event_id"))
+            )
     w = Window.partitionBy(*sk, "_b").orderBy("_us", "event_id")
     x = (
         df.withColumn("_pu", F.lag("_us").over(w))
@@ -327,7 +341,7 @@ def cumulative_energy(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECOND
     return x.withColumn("cumulative_energy_kwh", F.col("_cum_j") / JOULES_PER_KWH).drop("_cum_j")
 
 
-def series_prefix(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+def series_prefix(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS, sum_duplicates: bool = False) -> DataFrame:
     """Every reading with ``_cum_kwh``: the trapezoid energy of its series from
     the first reading up to this one (T2 on the whole series, computed once).
 
@@ -336,7 +350,7 @@ def series_prefix(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -
     become one hash aggregate of the readings they contain, with no sort per
     window.
     """
-    x = _walk(df, keys, bucket_seconds=bucket_seconds, narrow=True)
+    x = _walk(df, keys, bucket_seconds=bucket_seconds, narrow=True, sum_duplicates=sum_duplicates)
     return x.withColumn("_cum_kwh", F.col("_cum_j") / JOULES_PER_KWH).drop("_cum_j", "prev_us", "prev_p")
 
 
