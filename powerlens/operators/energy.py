@@ -354,15 +354,18 @@ def series_prefix(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS, s
     return x.withColumn("_cum_kwh", F.col("_cum_j") / JOULES_PER_KWH).drop("_cum_j", "prev_us", "prev_p")
 
 
-def window_parts(rows: DataFrame, group_keys) -> DataFrame:
+def window_parts(rows: DataFrame, group_keys, carry=()) -> DataFrame:
     """``boundary_parts`` of window-restricted series from ``series_prefix`` rows.
 
     One aggregation: first/last reading (time, power, cumulative energy) and
     the count per group; ``_trap_j`` = (C(last) - C(first)) in joules.
+    ``carry`` columns are constant per group (window bounds, flags): they are
+    carried with ``min`` instead of widening the grouping key.
     """
     # primitive (value, long ordinal) buffers keep this a HashAggregate
     o = F.col("_ord")
     g = rows.groupBy(*group_keys).agg(
+        *[F.min(c).alias(c) for c in carry],
         F.min("_us").alias("first_us"),
         F.min_by("power_w", o).alias("first_p"),
         F.min_by("_cum_kwh", o).alias("_fc"),
@@ -372,7 +375,7 @@ def window_parts(rows: DataFrame, group_keys) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
     )
     return g.select(
-        *group_keys, "first_us", "first_p", "last_us", "last_p", "n_rows",
+        *group_keys, *carry, "first_us", "first_p", "last_us", "last_p", "n_rows",
         ((F.col("_lc") - F.col("_fc")) * JOULES_PER_KWH).alias("_trap_j"),
     )
 
