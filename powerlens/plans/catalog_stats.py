@@ -323,12 +323,20 @@ def q_node_energy(spark, sf):
 
 
 @query("energy_with_totals", lambda: _node_energy_sql(f"""
-SELECT metric, coalesce(hostname, 'TOTAL') AS hostname, {R('sum(energy_kwh)', 'energy_kwh')},
+SELECT 'irc' AS part, metric, coalesce(hostname, 'TOTAL') AS hostname, {R('sum(energy_kwh)', 'energy_kwh')},
   CAST(grouping(metric, hostname) > 0 AS INTEGER) AS is_total
-FROM ne WHERE metric IN ({S.q(K.IRC_POWER_METRICS)}) GROUP BY GROUPING SETS ((metric, hostname), (metric))"""))
+FROM ne WHERE metric IN ({S.q(K.IRC_POWER_METRICS)}) GROUP BY GROUPING SETS ((metric, hostname), (metric))
+UNION ALL
+SELECT 'pdu' AS part, coalesce(metric, 'ALL') AS metric, coalesce(hostname, 'TOTAL') AS hostname, {R('sum(energy_kwh)', 'energy_kwh')},
+  CAST(grouping(metric, hostname) > 0 AS INTEGER) AS is_total
+FROM ne WHERE metric IN ({S.q(K.PDU_POWER_METRICS)}) GROUP BY GROUPING SETS ((metric, hostname), ())"""))
 def q_energy_with_totals(spark, sf):
-    ne = kpi.node_energy(spark, RD(spark, sf), P.START, P.END).where(F.col("metric").isin(K.IRC_POWER_METRICS))
-    return rounded(ST.energy_with_totals(ne, per_metric=True))
+    """IRC energies with a total per metric; PDU energies with a grand total."""
+    ne = kpi.node_energy(spark, RD(spark, sf), P.START, P.END)
+    irc = ST.energy_with_totals(ne.where(F.col("metric").isin(K.IRC_POWER_METRICS)), per_metric=True)
+    pdu = ST.energy_with_totals(ne.where(F.col("metric").isin(K.PDU_POWER_METRICS)), per_metric=False)
+    out = irc.select(F.lit("irc").alias("part"), "*").unionByName(pdu.select(F.lit("pdu").alias("part"), "*"))
+    return rounded(out)
 
 
 @query("rack_summary", lambda: _node_energy_sql(f"""
