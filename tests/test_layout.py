@@ -22,4 +22,5 @@ def test_written_readings_prune_and_roundtrip(spark, tmp_path):
     want = B.scan(rd.where(F.to_date("ts") >= F.lit("2024-01-10").cast("date")), "SystemInputPower", None,
                   "2024-01-10 00:00:00", "2024-01-20 00:00:00")
     cols = ["event_id", "ts", "hostname", "fqdd", "metric", "value", "units"]
+    assert {r["database"] for r in back.select("database").distinct().collect()} == {"infra", "zen4", "h100"}
     assert sorted(map(tuple, q.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
