@@ -295,7 +295,8 @@ def component_breakdown(readings: DataFrame, start, end) -> DataFrame:
     )
     gpu_rows = dev.where((F.col("metric") == "PowerConsumption") & (F.col("fqdd") != "TOTAL")).select(
         "hostname",
-        F.concat(F.lit("GPU (fqdd="), F.col("fqdd"), F.lit(")")).alias("component"),
+        # label: the part of the device id after its last underscore
+        F.concat(F.lit("GPU (fqdd="), F.element_at(F.split(F.col("fqdd"), "_"), -1), F.lit(")")).alias("component"),
         "energy_kwh",
         F.lit(2).alias("order_idx"),
     )

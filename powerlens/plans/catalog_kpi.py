@@ -315,7 +315,8 @@ def _comp_heads() -> list[str]:
   UNION ALL SELECT hostname, 'FAN', fan, 4 FROM ct
   UNION ALL SELECT hostname, 'STORAGE', storage, 5 FROM ct
   UNION ALL SELECT hostname, 'SystemOutputPower', system_output, 6 FROM ct
-  UNION ALL SELECT hostname, concat('GPU (fqdd=', fqdd, ')'), energy_kwh, 2 FROM f_all WHERE metric = 'PowerConsumption' AND fqdd <> 'TOTAL')
+  UNION ALL SELECT hostname, concat('GPU (fqdd=', string_split(fqdd, '_')[-1], ')'), energy_kwh, 2 FROM f_all
+    WHERE metric = 'PowerConsumption' AND fqdd <> 'TOTAL')
 SELECT hostname, component, {R('e', 'energy_kwh')}, CAST(order_idx AS INTEGER) AS order_idx FROM rows""")
 def q_component_breakdown(spark, sf):
     return rounded(kpi.component_breakdown(CR(spark, sf), P.START, P.END))
