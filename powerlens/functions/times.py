@@ -39,5 +39,6 @@ def render_local_time(c, tz: str) -> Column:
     """UTC timestamp -> 'yyyy-MM-dd HH:mm:ss+HH' in zone ``tz``."""
     ts = _c(c).cast("timestamp_ntz")
     local = F.convert_timezone(F.lit("UTC"), F.lit(tz), ts)
-    off = F.floor((epoch_micros(local) - epoch_micros(ts)) / 3_600_000_000)
+    # whole hours of the offset, truncated toward zero (-03:30 -> -03)
+    off = ((epoch_micros(local) - epoch_micros(ts)) / 3_600_000_000).cast("int")
     return F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.format_string("%+03d", off.cast("int")))

@@ -314,7 +314,7 @@ def q_epoch_to_ts(spark, sf):
 
 @query("render_local_time", lambda: _head(S.jobs_cte()) + """
 SELECT job_id, start_ts, strftime(l, '%Y-%m-%d %H:%M:%S')
-  || printf('%+03d', CAST(floor((epoch_us(l) - epoch_us(start_ts)) / 3600000000) AS INTEGER)) AS start_local
+  || printf('%+03d', CAST(trunc((epoch_us(l) - epoch_us(start_ts)) / 3600000000) AS INTEGER)) AS start_local
 FROM (SELECT job_id, start_ts, timezone('America/Chicago', start_ts AT TIME ZONE 'UTC') AS l FROM jobs) x""")
 def q_render_local_time(spark, sf):
     """Job start rendered in US Central time with its UTC offset."""

@@ -68,6 +68,8 @@ def test_render_local_time(spark):
     df = spark.createDataFrame([("2024-07-01 12:00:00",), ("2024-01-01 12:00:00",)], "ts string").select(F.col("ts").cast("timestamp_ntz").alias("ts"))
     got = [r[0] for r in df.select(TM.render_local_time("ts", "America/Chicago")).collect()]
     assert got == ["2024-07-01 07:00:00-05", "2024-01-01 06:00:00-06"]
+    half = [r[0] for r in df.select(TM.render_local_time("ts", "America/St_Johns")).collect()]
+    assert half == ["2024-07-01 09:30:00-02", "2024-01-01 08:30:00-03"]
 
 
 def test_window_table_requires_columns(spark, tmp_path):
