@@ -95,26 +95,22 @@ def metric_category_contains(metric="metric") -> Column:
     return expr.otherwise("Other")
 
 
-def explode_nodelist(df, nodelist="nodelist", out="hostname"):
-    """Expand a scheduler node list into one row per host.
+MAX_BRACKET_GROUPS = 4  # bracket groups expanded per host pattern, e.g. a[1-2]b[3-4]
 
-    Handles comma lists and bracket ranges, e.g. ``rpc-91-[1-3,7],rpg-93-2``
-    -> rpc-91-1, rpc-91-2, rpc-91-3, rpc-91-7, rpg-93-2.  Column expressions
-    only: split on commas outside brackets, explode, expand each range with
-    ``sequence`` (zero padding of the low bound is kept).
-    """
-    item = F.trim(F.col("_item"))
+
+def _expand_first_group(df, col: str):
+    """Expand the first ``[...]`` group of ``col`` (one row per number)."""
+    item = F.col(col)
     has_br = item.contains("[")
     prefix = F.regexp_extract(item, r"^([^\[]*)\[", 1)
-    body = F.regexp_extract(item, r"\[([^\]]*)\]", 1)
-    suffix = F.regexp_extract(item, r"\](.*)$", 1)
+    body = F.regexp_extract(item, r"^[^\[]*\[([^\]]*)\]", 1)
+    rest = F.regexp_extract(item, r"^[^\[]*\[[^\]]*\](.*)$", 1)
     lo = F.split(F.col("_r"), "-").getItem(0)
     hi = F.coalesce(F.get(F.split(F.col("_r"), "-"), 1), lo)
     num = F.col("_num").cast("string")
     padded = F.when(F.substring(lo, 1, 1) == "0", F.lpad(num, F.length(lo), "0")).otherwise(num)
     return (
-        df.withColumn("_item", F.explode(F.split(_c(nodelist), r",(?![^\[]*\])")))
-        .withColumn("_r", F.explode(F.when(has_br, F.split(body, ",")).otherwise(F.array(F.lit("")))))
+        df.withColumn("_r", F.explode(F.when(has_br, F.split(body, ",")).otherwise(F.array(F.lit("")))))
         .withColumn(
             "_num",
             F.explode(
@@ -123,7 +119,22 @@ def explode_nodelist(df, nodelist="nodelist", out="hostname"):
                 )
             ),
         )
-        .withColumn(out, F.when(has_br, F.concat(prefix, padded, suffix)).otherwise(item))
-        .drop("_item", "_r", "_num")
-        .where(F.col(out) != "")
+        .withColumn(col, F.when(has_br, F.concat(prefix, padded, rest)).otherwise(item))
+        .drop("_r", "_num")
     )
+
+
+def explode_nodelist(df, nodelist="nodelist", out="hostname"):
+    """Expand a scheduler node list into one row per host.
+
+    Handles comma lists and bracket ranges, e.g. ``rpc-91-[1-3,7],rpg-93-2``
+    -> rpc-91-1, rpc-91-2, rpc-91-3, rpc-91-7, rpg-93-2; several groups in one
+    pattern expand to their product (``a[1-2]b[3-4]`` -> a1b3, a1b4, a2b3,
+    a2b4).  Column expressions only: split on commas outside brackets,
+    explode, then expand one bracket group per step with ``sequence`` (zero
+    padding of the low bound is kept).
+    """
+    x = df.withColumn(out, F.explode(F.split(_c(nodelist), r",(?![^\[]*\])"))).withColumn(out, F.trim(F.col(out)))
+    for _ in range(MAX_BRACKET_GROUPS):
+        x = _expand_first_group(x, out)
+    return x.where(F.col(out) != "")

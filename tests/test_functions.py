@@ -43,6 +43,12 @@ def test_g21_nodelist(spark):
     assert [h for j, h in got if j == 2] == ["rpc-95-08", "rpc-95-09", "rpc-95-10"]
 
 
+def test_nodelist_several_groups_and_suffix(spark):
+    df = spark.createDataFrame([(1, "a[1-2]b[3-4],rpg-93-[1-2]-ib, ,x")], "job_id long, nodelist string")
+    got = [r["hostname"] for r in N.explode_nodelist(df).collect()]
+    assert got == ["a1b3", "a1b4", "a2b3", "a2b4", "rpg-93-1-ib", "rpg-93-2-ib", "x"]
+
+
 def test_g22_end_without_start(spark):
     df = spark.createDataFrame([("2025-01-01 00:00:00",)], "ts string")
     with pytest.raises(ValueError):
