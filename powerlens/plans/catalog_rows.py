@@ -370,7 +370,7 @@ def q_enrich_compute(spark, sf):
 @query("enrich_infra", lambda: _head(*_all_heads(), f"defs AS {_defs_values()}") + f"""
 SELECT r.event_id, r.ts, n.hostname, r.metric, r.value, d.units
 FROM infra_readings r
-JOIN (SELECT DISTINCT user_id AS nodeid, ([{S.q(S.HOSTS)}])[CAST(user_id % 30 AS INT) + 1] AS hostname FROM events WHERE user_id % 30 < 30) n
+JOIN (SELECT DISTINCT user_id AS nodeid, ([{S.q(S.HOSTS)}])[CAST(user_id % 30 AS INT) + 1] AS hostname FROM events) n
   ON r.nodeid = n.nodeid
 LEFT JOIN (SELECT lower(metric_id) AS k, first(units ORDER BY metric_id) AS units FROM defs GROUP BY lower(metric_id)) d ON lower(r.metric) = d.k""")
 def q_enrich_infra(spark, sf):
