@@ -395,7 +395,7 @@ def q_join_units_ci(spark, sf):
 def _pt_sql() -> str:
     return """p AS (SELECT user_id AS nodeid, ts, value FROM events WHERE event_type = 'click'),
 t AS (SELECT user_id AS nodeid, ts, 20.0 + value / 10.0 AS value FROM events
-      WHERE event_type = 'view' OR (event_type = 'click' AND event_id % 2 = 0))"""
+      WHERE event_type = 'view' OR (event_type = 'click' AND value >= 100.0))"""
 
 
 @query("power_temp_full_join", lambda: "WITH " + _pt_sql() + f"""

@@ -57,7 +57,7 @@ def q_metric_summary(spark, sf):
 
 @query("power_temp_cluster_summary", lambda: """WITH p AS (SELECT user_id AS nodeid, ts, value FROM events WHERE event_type = 'click'),
 t AS (SELECT user_id AS nodeid, ts, 20.0 + value / 10.0 AS value FROM events
-      WHERE event_type = 'view' OR (event_type = 'click' AND event_id % 2 = 0)),
+      WHERE event_type = 'view' OR (event_type = 'click' AND value >= 100.0)),
 j AS (SELECT p.nodeid AS p_nodeid, p.value AS p_value, t.value AS t_value
       FROM p FULL OUTER JOIN t ON p.nodeid = t.nodeid AND p.ts = t.ts""" + f"""
       WHERE p.ts >= {S.ts(P.NOW)} - INTERVAL {HOUR_ALL} HOUR OR t.ts >= {S.ts(P.NOW)} - INTERVAL {HOUR_ALL} HOUR)

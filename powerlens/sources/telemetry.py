@@ -228,10 +228,12 @@ def wide_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def power_and_temperature(spark: SparkSession, sf_dir: str):
-    """C4 inputs: power = click rows; temperature = view rows and even click rows."""
+    """C4 inputs: power = click rows; temperature = view rows and the click
+    rows of 100 W or more (so the full join has matched, power-only and
+    temperature-only rows)."""
     e = _events(spark, sf_dir).select(F.col("user_id").alias("nodeid"), "ts", "value", "event_type", "event_id")
     power = e.where(F.col("event_type") == "click").select("nodeid", "ts", "value")
     temp = e.where(
-        (F.col("event_type") == "view") | ((F.col("event_type") == "click") & (F.col("event_id") % 2 == 0))
+        (F.col("event_type") == "view") | ((F.col("event_type") == "click") & (F.col("value") >= 100.0))
     ).select("nodeid", "ts", (F.lit(20.0) + F.col("value") / 10.0).alias("value"))
     return power, temp
