@@ -436,11 +436,15 @@ def q_write_report(spark, sf):
     Parquet directory each; returns the row count read back per dataset."""
     from functools import reduce
 
-    ir = IR(spark, sf)
+    from ..operators import stats as ST
+    from ..session import materialize
+
+    # the readings feed every dataset of the report: checkpointed once in the shared folder
+    ir = materialize(IR(spark, sf))
     sets = {
-        "pue_daily": q_pue_daily(spark, sf),
+        "pue_daily": rounded(kpi.pue_daily(spark, ir, P.START, P.END, P.MAX_GAP)),
         "pdu_readings": ir.where(F.col("node_type") == "pdu"),
-        "unit_mismatches": __import__("powerlens.operators.stats", fromlist=["x"]).check_metric_units(ir),
+        "unit_mismatches": ST.check_metric_units(ir),
     }
     written = SK.write_report(sets, _scratch(spark, "report"))
     parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("rows_written")).select(F.lit(n).alias("dataset"), "rows_written")

@@ -78,3 +78,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df, spark: SparkSession | None = None):
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared
+    ``spark.checkpoint.dir`` (never a local checkpoint).
+
+    Use it for an intermediate read by several outputs (a multi-dataset
+    report): it is computed once, and a lost executor later re-reads the
+    checkpoint files instead of recomputing the whole plan.
+    """
+    checkpoint_dir(spark or df.sparkSession)
+    return df.checkpoint(eager=True)
