@@ -289,29 +289,20 @@ def series_index(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) ->
 
     Row number inside each (series, bucket) plus the number of rows in all
     earlier buckets of the series (a running sum over the small per-bucket
-    counts), so no window spans a whole series.
+    counts), so no window spans a whole series.  The counts come back by an
+    equi-join on non-null surrogate keys, which keeps the rows' partitioning.
     """
     keys = _keys(keys)
     df = _bucketed(prepare(df), keys, bucket_seconds)
-    w = Window.partitionBy(*keys, "_b").orderBy("_us", "event_id")
+    sk = [f"_k{i}" for i in range(len(keys))]
+    for name, k in zip(sk, keys):
+        df = df.withColumn(name, F.coalesce(F.col(k).cast("string"), F.lit(SENTINEL)))
+    w = Window.partitionBy(*sk, "_b").orderBy("_us", "event_id")
     x = df.withColumn("_rn", F.row_number().over(w) - 1)
-    cnt = x.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cnt = cnt.select(
-        *[F.col(k).alias(f"_s_{k}") for k in keys],
-        F.col("_b").alias("_s_b"),
-        F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_off"),
-    )
-    cond = [x[k].eqNullSafe(cnt[f"_s_{k}"]) for k in keys] + [x["_b"] == cnt["_s_b"]]
-    return (
-        x.join(cnt, cond, "left")
-        .withColumn("_idx", F.col("_off") + F.col("_rn"))
-        .drop(*[f"_s_{k}" for k in keys], "_s_b", "_off", "_rn")
-    )
-
-
-# --------------------------------------------------------------------------
-# Per-row interval columns and cumulative energy
+    cnt = x.groupBy(*sk, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy(*sk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cnt = cnt.select(*sk, "_b", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_off"))
+    return x.join(cnt, [*sk, "_b"], "left").withColumn("_idx", F.col("_off") + F.col("_rn")).drop(*sk, "_off", "_rn")
 
 
 def power_intervals(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS, _walked: DataFrame | None = None) -> DataFrame:
