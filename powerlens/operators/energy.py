@@ -10,10 +10,20 @@ window partitioned by the series alone would put a whole series into one task,
 and one series may hold a large share of all rows.  So the window is
 partitioned by ``(series, time bucket)`` (default one UTC day) and the pair
 that crosses a bucket border is rebuilt from a per-bucket summary (first and
-last reading of every bucket, a map-side-combined ``groupBy``).  The summary
-has one row per series-bucket, so its own window is tiny.  No join of the big
-side is needed for the aggregating operators; per-row outputs (T1/T2) join the
-summary back only to the first row of each bucket.
+last reading, row count and in-bucket energy of every bucket: a hash
+aggregate on the window's own partitioning).  The summary has one row per
+series-bucket, so its window over the buckets of a series is tiny.
+
+* totals (T3, T5: ``_series_totals``) need no join at all;
+* pairs (T6: ``intervals``) are the in-bucket pairs plus one border pair per
+  bucket;
+* per-row outputs (T1, T2, prefix sums: ``_walk``) join the bucket offsets
+  back on non-null surrogate keys, so the rows keep their partitioning;
+* window energies (T14, K17) are prefix-sum differences over the readings a
+  window contains (``series_prefix`` + ``window_parts``).
+
+Both branches of a plan read the same projected columns below the shuffle,
+so Spark reuses one exchange of the readings.
 """
 
 from __future__ import annotations
@@ -115,8 +125,7 @@ def intervals(
     power: str = "power_w",
     bucket_seconds: int = DAY_SECONDS,
     dedupe: bool = False,
-    _with_summary: bool = False,
-):
+) -> DataFrame:
     """All consecutive reading pairs of every series.
 
     Returns ``keys + t0_us, p0, t1_us, p1, dt`` (dt in seconds).  Pairs with
@@ -134,7 +143,7 @@ def intervals(
         F.col("f_p").alias("p1"),
     ).where(F.col("t0_us").isNotNull())
     pairs = inner.unionByName(border).withColumn("dt", (F.col("t1_us") - F.col("t0_us")) / US)
-    return (pairs, summ) if _with_summary else pairs
+    return pairs
 
 
 def _series_totals(
