@@ -97,3 +97,19 @@ def test_window_guard(spark):
     out = W.window_energy(r, win).collect()[0]
     assert out["use_boundaries"] is False  # data start 4 h after the window start
     assert out["energy_kwh"] == pytest.approx(0.1)
+
+
+def test_empty_window(spark):
+    r = frame(spark, [(0, "pdu-91-1", "pdu", "pdu", 1000.0, "W", None)]).where("false")
+    s, e = "2025-01-01 00:00:00", "2025-01-03 00:00:00"
+    p = kpi.pue(spark, r, s, e).collect()[0]
+    assert (p["pue"], p["band"], p["status"]) == (0.0, "down", "success")
+    daily = kpi.pue_daily(spark, r, s, e).collect()
+    assert len(daily) == 3 and all(x["pue"] == 0.0 for x in daily)
+    assert all(x["cop"] is None for x in kpi.rack_cop(spark, r, s, e).collect())
+    assert kpi.rack_validation(spark, r, s, e).where("verdict IS NOT NULL").count() == 0
+    from powerlens.operators import stats as ST
+
+    assert ST.idle_power(r).count() == 0
+    v = ST.validate_readings(r).collect()[0]
+    assert (v["total_records"], v["is_valid"]) == (0, False)
