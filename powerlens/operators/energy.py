@@ -152,10 +152,15 @@ def _series_totals(
     bucket_seconds: int = DAY_SECONDS,
     max_gap: Column | None = None,
     power: str = "power_w",
+    sum_duplicates: bool = False,
 ) -> DataFrame:
     """Per series: trapezoid joules (``_trap_j``), kept-pair count, first and
     last reading and row count, without materialising the pairs.
 
+    ``sum_duplicates`` first sums the readings of a series at one instant
+    (devices of a host): the rows are hash-partitioned by (series, bucket)
+    once, and that sum and the window below both use this partitioning.
+
     One sort of (series, bucket) gives each in-bucket pair's energy; the
     per-bucket summary (hash aggregate on that partitioning) sums them; a
     window over the few buckets of each series adds the border pairs; the
@@ -164,6 +169,13 @@ def _series_totals(
     pairs count (T3).
     """
     df = _bucketed(prepare(df, power), keys, bucket_seconds)
+    if sum_duplicates:
+        extra = [F.first(c).alias(c) for c in ("_max_gap",) if c in df.columns and c not in keys]
+        df = (
+            df.repartition(*keys, "_b")
+            .groupBy(*keys, "_b", "_us")
+            .agg(F.sum(power).alias(power), F.min("event_id").alias("event_id"), *extra)
+        )
     w = Window.partitionBy(*keys, "_b").orderBy("_us", "event_id")
     pu, pp = F.lag("_us").over(w), F.lag(power).over(w)
     x = df.withColumn("_pu", pu).withColumn("_pp", pp).withColumn("_rn", F.row_number().over(w))
@@ -384,11 +396,11 @@ def window_parts(rows: DataFrame, group_keys, carry=()) -> DataFrame:
 # Boundary-extended trapezoid, closed form
 
 
-def boundary_parts(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+def boundary_parts(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS, sum_duplicates: bool = False) -> DataFrame:
     """Per series: trapezoid joules over all consecutive pairs plus the first
     and last reading (time and power) and the row count.  T3/T14/T15 are
     column arithmetic on this one frame (see ``_series_totals``)."""
-    return _series_totals(df, _keys(keys), bucket_seconds).drop("n_pairs")
+    return _series_totals(df, _keys(keys), bucket_seconds, sum_duplicates=sum_duplicates).drop("n_pairs")
 
 
 def boundary_kwh(start_us: Column, end_us: Column) -> Column:
@@ -408,6 +420,7 @@ def energy_boundary(
     start=None,
     end=None,
     bucket_seconds: int = DAY_SECONDS,
+    sum_duplicates: bool = False,
 ) -> DataFrame:
     """Trapezoid with synthetic boundary rows at the query bounds.
 
@@ -420,15 +433,20 @@ def energy_boundary(
     """
     keys = _keys(keys)
     df = prepare(df)
-    bound_cols = []
-    for name, b in (("_start_us", start), ("_end_us", end)):
-        if b is None:
-            df = df.withColumn(name, F.lit(None).cast("bigint"))
-        else:
-            df = df.withColumn(name, epoch_micros(_lit_ts(b)))
-        bound_cols.append(name)
-    parts = boundary_parts(df, keys + bound_cols, bucket_seconds)
-    return parts.select(*keys, boundary_kwh(F.col("_start_us"), F.col("_end_us")).alias("energy_kwh"), "n_rows", *bound_cols)
+    if isinstance(start, Column) or isinstance(end, Column):
+        # per-row bounds: they become part of the series key
+        bound_cols = []
+        for name, b in (("_start_us", start), ("_end_us", end)):
+            df = df.withColumn(name, F.lit(None).cast("bigint") if b is None else epoch_micros(_lit_ts(b)))
+            bound_cols.append(name)
+        parts = boundary_parts(df, keys + bound_cols, bucket_seconds, sum_duplicates)
+        e = boundary_kwh(F.col("_start_us"), F.col("_end_us"))
+        return parts.select(*keys, e.alias("energy_kwh"), "n_rows", *bound_cols)
+    # literal bounds: constants applied after the per-series aggregate
+    s_us = F.lit(None).cast("bigint") if start is None else epoch_micros(_lit_ts(start))
+    e_us = F.lit(None).cast("bigint") if end is None else epoch_micros(_lit_ts(end))
+    parts = boundary_parts(df, keys, bucket_seconds, sum_duplicates)
+    return parts.select(*keys, boundary_kwh(s_us, e_us).alias("energy_kwh"), "n_rows", s_us.alias("_start_us"), e_us.alias("_end_us"))
 
 
 def energy_hold(df: DataFrame, keys=None, start=None, end=None) -> DataFrame:
@@ -564,12 +582,7 @@ def energy_per_fqdd(df: DataFrame, start=None, end=None, keys=("hostname", "metr
     """Energy per device (duplicate timestamps of a device summed first),
     plus a ``TOTAL`` row per (host, metric) = sum of the device energies."""
     keys = list(keys)
-    df = prepare(df)
-    dev = (
-        df.groupBy(*keys, "fqdd", "ts", "_us")
-        .agg(F.sum("power_w").alias("power_w"), F.min("event_id").alias("event_id"))
-    )
-    per_dev = energy_boundary(dev, keys + ["fqdd"], start, end).select(*keys, "fqdd", "energy_kwh")
+    per_dev = energy_boundary(df, keys + ["fqdd"], start, end, sum_duplicates=True).select(*keys, "fqdd", "energy_kwh")
     total = per_dev.groupBy(*keys).agg(F.sum("energy_kwh").alias("energy_kwh")).withColumn("fqdd", F.lit("TOTAL"))
     return per_dev.unionByName(total)
 
