@@ -137,15 +137,28 @@ def nodeid_summary(readings: DataFrame, metric: str, start, end) -> DataFrame:
     )
 
 
-def power_statistics(processed: DataFrame, keys=E.SERIES) -> DataFrame:
+def _series_energy(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Total trapezoid kWh of every series (= its last cumulative value), from
+    the bucket summaries; surrogate join keys so null devices match."""
+    t = E._series_totals(E.prepare(df), keys)
+    return t.select(*[F.col(k).alias(f"_e_{k}") for k in keys], (F.col("_trap_j") / K.JOULES_PER_KWH).alias("total_energy_kwh"))
+
+
+def power_statistics(df: DataFrame, keys=E.SERIES) -> DataFrame:
     """Per series count, mean, median, std, min, max, q25, q75, final
-    cumulative energy, span hours, points per hour (from T2 rows)."""
+    cumulative energy, span hours, points per hour.
+
+    Reads raw readings: the statistics are one partially aggregated pass; the
+    final cumulative energy equals the series' total trapezoid, taken from the
+    bucket summaries instead of materialising per-row cumulative values.
+    """
     keys = list(keys)
-    rowkey = F.struct(F.col("ts"), F.col("event_id"))
+    if "power_w" not in df.columns:
+        df = df.withColumn("power_w", to_watts())
     p = F.col("power_w")
     span = span_hours()
     n = F.count(F.lit(1))
-    return processed.groupBy(*keys).agg(
+    st = df.groupBy(*keys).agg(
         n.alias("count"),
         F.avg(p).alias("mean_power_w"),
         F.percentile(p, 0.5).alias("median_power_w"),
@@ -154,10 +167,16 @@ def power_statistics(processed: DataFrame, keys=E.SERIES) -> DataFrame:
         F.max(p).alias("max_power_w"),
         F.percentile(p, 0.25).alias("q25_power_w"),
         F.percentile(p, 0.75).alias("q75_power_w"),
-        F.max_by("cumulative_energy_kwh", rowkey).alias("total_energy_kwh"),
         F.when(n > 1, span).otherwise(F.lit(0.0)).alias("time_range_hours"),
         F.when((n > 1) & (span > 0), n / span).otherwise(F.lit(0.0)).alias("data_points_per_hour"),
     )
+    en = _series_energy(df, keys)
+    j = st.join(en, [st[k].eqNullSafe(en[f"_e_{k}"]) for k in keys], "left")
+    return j.select(
+        *keys, "count", "mean_power_w", "median_power_w", "std_power_w", "min_power_w", "max_power_w",
+        "q25_power_w", "q75_power_w", F.coalesce("total_energy_kwh", F.lit(0.0)).alias("total_energy_kwh"),
+        "time_range_hours", "data_points_per_hour",
+    )
 
 
 def bucket_aggregate(processed: DataFrame, group_by: str = "hostname", bucket: str = "1 hour") -> DataFrame:
@@ -194,19 +213,24 @@ def bucket_aggregate(processed: DataFrame, group_by: str = "hostname", bucket: s
     )
 
 
-def power_summary(processed: DataFrame) -> DataFrame:
+def power_summary(df: DataFrame) -> DataFrame:
     """Per host records, span hours, sorted metric list, avg/max/min W,
     energy (sum of the final cumulative energy of each of its series)."""
+    if "power_w" not in df.columns:
+        df = df.withColumn("power_w", to_watts())
     n = F.count(F.lit(1))
-    return processed.groupBy("hostname").agg(
+    st = df.groupBy("hostname").agg(
         n.alias("total_records"),
         F.when(n > 1, span_hours()).otherwise(F.lit(0.0)).alias("time_range_hours"),
         F.concat_ws(",", F.array_sort(F.collect_set("metric"))).alias("metrics"),
         F.avg("power_w").alias("avg_power_w"),
         F.max("power_w").alias("max_power_w"),
         F.min("power_w").alias("min_power_w"),
-        F.sum(F.coalesce("energy_interval_kwh", F.lit(0.0))).alias("total_energy_kwh"),
     )
+    en = _series_energy(df, list(E.SERIES)).groupBy(F.col("_e_hostname").alias("hostname")).agg(
+        F.sum("total_energy_kwh").alias("total_energy_kwh")
+    )
+    return st.join(en, "hostname", "left").withColumn("total_energy_kwh", F.coalesce("total_energy_kwh", F.lit(0.0)))
 
 
 # ------------------------------------------------------------ E10-E12 tails

@@ -101,7 +101,7 @@ SELECT {SERIES}, count(*) AS count, {R('avg(power_w)', 'mean_power_w')}, round(q
   {R('CASE WHEN count(*) > 1 AND max(ts) > min(ts) THEN count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9) ELSE 0.0 END', 'data_points_per_hour')}
 FROM z GROUP BY {SERIES}""")
 def q_power_statistics(spark, sf):
-    return rounded(ST.power_statistics(E.cumulative_energy(CR(spark, sf))), fine=("median_power_w", "q25_power_w", "q75_power_w"))
+    return rounded(ST.power_statistics(CR(spark, sf)), fine=("median_power_w", "q25_power_w", "q75_power_w"))
 
 
 @query("bucket_aggregate", lambda: _proc_sql() + f"""
@@ -122,7 +122,7 @@ SELECT hostname, count(*) AS total_records,
   {R('sum(coalesce(energy_interval_kwh, 0.0))', 'total_energy_kwh')}
 FROM z GROUP BY hostname""")
 def q_power_summary(spark, sf):
-    return rounded(ST.power_summary(E.power_intervals(CR(spark, sf))))
+    return rounded(ST.power_summary(CR(spark, sf)))
 
 
 def _tail_sql(q: float, upper: bool) -> str:

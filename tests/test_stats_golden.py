@@ -76,7 +76,7 @@ def test_power_statistics_quartiles(spark):
     from powerlens.operators import energy as E
 
     df = _series(spark, [1, 2, 3, 4])
-    r = ST.power_statistics(E.cumulative_energy(df)).collect()[0]
+    r = ST.power_statistics(df).collect()[0]
     assert (r["median_power_w"], r["q25_power_w"], r["q75_power_w"]) == (2.5, 1.75, 3.25)
 
 
