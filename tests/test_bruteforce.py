@@ -139,3 +139,69 @@ def test_boundary_and_cumulative(data, bucket):
     for k, v in ser.items():
         allpairs = sum((a[2] + b[2]) / 2 * secs(a[0], b[0]) for a, b in zip(v, v[1:])) / 3.6e6
         assert last[k] == pytest.approx(allpairs, rel=1e-9, abs=1e-12)
+
+
+def _expand(pattern):
+    """Plain-Python reference expansion of one host pattern."""
+    import re as _re
+
+    m = _re.search(r"\[([^\]]*)\]", pattern)
+    if not m:
+        return [pattern]
+    head, tail = pattern[: m.start()], pattern[m.end():]
+    out = []
+    for part in m.group(1).split(","):
+        lo, _, hi = part.partition("-")
+        hi = hi or lo
+        for n in range(int(lo), int(hi) + 1):
+            num = str(n).rjust(len(lo), "0") if lo.startswith("0") else str(n)
+            out += _expand(head + num + tail)
+    return out
+
+
+def test_nodelist_random(spark):
+    from powerlens.functions import nodes as N
+
+    rnd = random.Random(5)
+    lists = []
+    for j in range(40):
+        pats = []
+        for _ in range(rnd.randint(1, 3)):
+            groups = []
+            for _ in range(rnd.randint(0, 2)):
+                ranges = []
+                for _ in range(rnd.randint(1, 3)):
+                    a = rnd.randint(0, 12)
+                    b = a + rnd.randint(0, 3)
+                    w = rnd.choice([1, 2])
+                    ranges.append(f"{a:0{w}d}-{b:0{w}d}" if rnd.random() < 0.6 else f"{a:0{w}d}")
+                groups.append("[" + ",".join(ranges) + "]")
+            pats.append(rnd.choice(["rpc-9", "rpg-", "n"]) + "x".join(groups) + rnd.choice(["", "-ib"]))
+        lists.append((j, ",".join(pats)))
+    df = spark.createDataFrame(lists, "job_id long, nodelist string")
+    got = {}
+    for r in N.explode_nodelist(df).collect():
+        got.setdefault(r["job_id"], []).append(r["hostname"])
+    for j, nl in lists:
+        import re as _re
+
+        want = [h for p in _re.split(r",(?![^\[]*\])", nl) for h in _expand(p.strip())]
+        assert sorted(got.get(j, [])) == sorted(want), nl
+
+
+def test_window_time_formats_random(spark):
+    from powerlens.functions import times as TM
+
+    rnd = random.Random(9)
+    rows = []
+    for i in range(60):
+        t = datetime(2020, 1, 1) + timedelta(seconds=rnd.randint(0, 10 ** 8))
+        fmt = rnd.choice(["%m/%d/%y %H:%M", "%m/%d/%y %H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%m/%d/%Y %H:%M", "%m/%d/%Y %H:%M:%S"])
+        text = t.strftime(fmt)
+        if fmt.startswith("%m") and rnd.random() < 0.5:  # unpadded month/day/hour as exported by spreadsheets
+            text = text.lstrip("0").replace("/0", "/").replace(" 0", " ")
+        want = t if "%S" in fmt else t.replace(second=0)
+        rows.append((i, text, want))
+    df = spark.createDataFrame(rows, "i long, s string, want timestamp_ntz")
+    for r in df.select("i", TM.parse_window_time("s").alias("got"), "want").collect():
+        assert r["got"] == r["want"], r
