@@ -102,11 +102,17 @@ def pue(spark: SparkSession, readings: DataFrame, start, end, max_gap_seconds=No
 
 def pue_daily(spark: SparkSession, readings: DataFrame, start, end, max_gap_seconds=None) -> DataFrame:
     """K4: per UTC date IRC and PDU kWh and PUE over the full date spine."""
-    daily = E.energy_daily(pue_inputs(readings), INFRA_KEYS, max_gap_seconds, start, end, dedupe=True)
+    # interval pieces straight to per-day sums (one map-side-combined aggregate)
+    pairs = E.kept_intervals(pue_inputs(readings), INFRA_KEYS, max_gap_seconds, start, end, dedupe=True)
     nt = F.col("node_type")
-    per_day = daily.groupBy("date").agg(
-        F.sum(F.when(nt == "irc", F.col("energy_kwh")).otherwise(0.0)).alias("irc_energy_kwh"),
-        F.sum(F.when(nt == "pdu", F.col("energy_kwh")).otherwise(0.0)).alias("pdu_energy_kwh"),
+    per_day = (
+        E.day_pieces(pairs)
+        .groupBy("day")
+        .agg(
+            (F.sum(F.when(nt == "irc", F.col("piece_j")).otherwise(0.0)) / K.JOULES_PER_KWH).alias("irc_energy_kwh"),
+            (F.sum(F.when(nt == "pdu", F.col("piece_j")).otherwise(0.0)) / K.JOULES_PER_KWH).alias("pdu_energy_kwh"),
+        )
+        .select(F.date_format("day", "yyyy-MM-dd").alias("date"), "irc_energy_kwh", "pdu_energy_kwh")
     )
     out = date_spine(spark, start, end).join(per_day, "date", "left")
     irc = F.coalesce(F.col("irc_energy_kwh"), F.lit(0.0))
@@ -163,10 +169,13 @@ def rack_cop_summary(spark: SparkSession, readings: DataFrame, start, end, max_g
 def rack_cop_daily(spark: SparkSession, readings: DataFrame, start, end, max_gap_minutes: float = 10) -> DataFrame:
     """K7: date x rack (91-96) grid with the K5 columns; no timestamp dedupe
     (zero-length intervals are skipped anyway, D7)."""
-    daily = E.energy_daily(
-        _cop_inputs(readings), ["hostname", "metric"], max_gap_minutes * 60.0, start, end, dedupe=False
+    pairs = E.kept_intervals(_cop_inputs(readings), ["hostname", "metric"], max_gap_minutes * 60.0, start, end, dedupe=False)
+    m = F.col("metric")
+    piv = (
+        E.day_pieces(pairs)
+        .groupBy("hostname", F.date_format("day", "yyyy-MM-dd").alias("date"))
+        .agg(*[(F.sum(F.when(m == x, F.col("piece_j"))) / K.JOULES_PER_KWH).alias(x) for x in K.COP_METRICS])
     )
-    piv = daily.groupBy("hostname", "date").pivot("metric", K.COP_METRICS).agg(F.first("energy_kwh"))
     # days x racks grid by explode over the 6-row rack literal (no join)
     grid = (
         dimensions.rack_info(spark)
