@@ -339,6 +339,15 @@ def validate_readings(df: DataFrame) -> DataFrame:
     )
 
 
+def validate_readings_long(df: DataFrame) -> DataFrame:
+    """E13 long form: one ``(check, value)`` row per figure of the report
+    (``stack`` over the single wide row)."""
+    wide = validate_readings(df)
+    cols = [c for c in wide.columns if c != "is_valid"]
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    return wide.selectExpr(f"stack({len(cols)}, {pairs}) AS (check, value)", "is_valid")
+
+
 def system_overview(readings: DataFrame, start, end) -> DataFrame:
     """Records, distinct metrics, window hours, healthy/no_data (one row)."""
     df = readings.where(F.col("ts").between(_ts(start), _ts(end)))

@@ -111,3 +111,10 @@ def test_series_index_across_buckets(spark):
     df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     idx = sorted((r["event_id"], r["_idx"]) for r in E.series_index(df, bucket_seconds=3600).collect())
     assert [i for _, i in idx] == list(range(23))
+
+
+def test_validate_long_form(spark):
+    df = _series(spark, [5, -1, 20000])
+    rows = {r["check"]: r["value"] for r in ST.validate_readings_long(df).collect()}
+    assert rows["total_records"] == 3.0 and rows["negative_values"] == 1.0 and rows["over_10kw"] == 1.0
+    assert rows["null_fqdd"] == 3.0
