@@ -138,3 +138,15 @@ def explode_nodelist(df, nodelist="nodelist", out="hostname"):
     for _ in range(MAX_BRACKET_GROUPS):
         x = _expand_first_group(x, out)
     return x.where(F.col(out) != "")
+
+
+def check_known_hosts(df, hostname="hostname", examples: int = 10):
+    """B10 strict variant: raise when the frame holds hosts of unknown type.
+
+    One distinct-host query; at most ``examples`` names reach the driver for
+    the message.  Returns ``df`` with ``node_type`` added when all are known.
+    """
+    bad = df.where(~known_host(hostname)).select(_c(hostname).alias("h")).distinct().limit(examples).collect()
+    if bad:
+        raise ValueError(f"unknown host type: {sorted(r['h'] for r in bad)}")
+    return df.withColumn("node_type", node_type(hostname))

@@ -124,3 +124,10 @@ def test_register_views_adhoc_sql(spark):
     m = spark.sql("SELECT count(*) AS n FROM infra_readings WHERE node_type = 'pdu'").collect()[0]["n"]
     assert n == m > 0
     assert spark.sql("SELECT count(*) FROM metric_defs").collect()[0][0] > 0
+
+
+def test_strict_host_check(spark):
+    ok = spark.createDataFrame([("rpc-91-1",), ("irc-91-5",)], "hostname string")
+    assert [r["node_type"] for r in N.check_known_hosts(ok).collect()] == ["compute", "irc"]
+    with pytest.raises(ValueError, match="foo-1"):
+        N.check_known_hosts(ok.union(spark.createDataFrame([("foo-1",)], "hostname string")))
