@@ -164,12 +164,13 @@ def q_energy_gap(spark, sf):
     return rounded(E.energy_gap(RD(spark, sf), list(E.SERIES), P.MAX_GAP, P.START, P.END))
 
 
-@query("energy_units", lambda: _sql_gap(", round(energy_kwh * 3600000.0, 6) AS energy_j, round(energy_kwh * 1000.0, 6) AS energy_wh"))
+@query("energy_units", lambda: _sql_gap(", round(energy_kwh * 3600000.0 + 1e-09, 3) AS energy_j, round(energy_kwh * 1000.0, 6) AS energy_wh"))
 def q_energy_units(spark, sf):
     from ..functions.units import kwh_to_joules, kwh_to_wh
 
     e = E.energy_gap(RD(spark, sf), list(E.SERIES), P.MAX_GAP, P.START, P.END)
-    return rounded(e.select(*E.SERIES, "energy_kwh", kwh_to_joules("energy_kwh").alias("energy_j"), kwh_to_wh("energy_kwh").alias("energy_wh")))
+    out = e.select(*E.SERIES, "energy_kwh", kwh_to_joules("energy_kwh").alias("energy_j"), kwh_to_wh("energy_kwh").alias("energy_wh"))
+    return rounded(out, coarse=("energy_j",))
 
 
 def _hours_sql() -> str:

@@ -55,17 +55,21 @@ def nudge_rounding(sql: str, places: int = P.ROUND) -> str:
         i = k + 1
 
 
-def rounded(df: DataFrame, places: int = P.ROUND, fine: tuple = ()) -> DataFrame:
+def rounded(df: DataFrame, places: int = P.ROUND, fine: tuple = (), coarse: tuple = ()) -> DataFrame:
     """Round every floating column (results are compared to 6 places).
 
     ``fine`` columns (interpolated percentiles, whose exact decimal value has
-    seven digits and would sit on a rounding tie at six) are rounded to 9.
+    seven digits and would sit on a rounding tie at six) are rounded to 9;
+    ``coarse`` columns (magnitudes near 1e8, e.g. joules, where summation order
+    moves the sixth decimal) are rounded to 3.
     """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
             if f.name in fine:
                 cols.append(F.round(F.col(f.name), 9).alias(f.name))
+            elif f.name in coarse:
+                cols.append(F.round(F.col(f.name) + NUDGE, 3).alias(f.name))
             else:
                 cols.append(F.round(F.col(f.name) + NUDGE, places).alias(f.name))
         else:
