@@ -10,8 +10,8 @@ then read from the table backwards.
 
 Texts are cut into chunks where no merge can cross: before a run of the
 word mark, and around line feeds; both conditions are checked against the
-vocabulary when the model is loaded.  Short chunks are kept in a bounded cache
-in the Python worker.
+vocabulary when the model is loaded.  The ids of short words are kept in a
+bounded cache in the Python worker.
 
 Defined results: null and empty texts give no ids; no ids decode to an empty
 text; a null id list decodes to an empty text.  Extra columns pass through; a
@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import functools
 import re
-from itertools import chain
+from array import array
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import column, small_batches, without
 
 MARK = "▁"
-CACHED_CHUNKS = 400_000
+CACHED_WORDS = 600_000
 CACHED_PAIRS = 1_000_000
 LONGEST_CACHED = 48
 
@@ -67,8 +68,8 @@ class PieceModel:
         if not any(self.byte) or any(MARK in p.lstrip(MARK) or "\n" in p for p in self.id):
             raise ValueError("a BPE model with byte fallback, the word mark only in front and no line feed in pieces is needed")
         self.id_pairs: dict[int | tuple[str, str], bool] = {}
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
             if self.merge(p) == [p]:  # pieces that BPE can make
@@ -99,7 +100,7 @@ class PieceModel:
         """A character that no other piece ends with; id -1 if it is written as bytes."""
         return char, 1, self.id.get(char, -1)
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
+    def encode_chunk(self, chunk: str) -> list[int]:
         last: list[tuple[str, int, int] | None] = [None] * (len(chunk) + 1)
         pairs = self.id_pairs
         for end, found in self.automaton.iter(chunk):  # by end; all matches of a prefix come before later ends
@@ -123,30 +124,39 @@ class PieceModel:
             if i >= 0:
                 ids.append(i)
             else:
-                ids.extend(self.byte[b] for b in reversed(piece.encode()))
-        return tuple(reversed(ids))
+                ids.extend([self.byte[b] for b in reversed(piece.encode())])
+        ids.reverse()
+        return ids
 
-    def encode(self, text: str) -> list[tuple[int, ...]]:
-        """Ids of the whole text, chunk by chunk."""
+    def encode_word(self, word: str) -> bytes:
+        """Ids, as 32-bit numbers, of a word and the mark before it."""
+        return array("i", [i for c in CHUNK.findall(MARK + word) for i in self.encode_chunk(c)]).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of the whole text."""
         if not text:
-            return []
-        out = []
+            return np.empty(0, np.int32)
+        if text[0] == " " or "  " in text or MARK in text:  # runs of marks go with the word behind
+            words = [c[1:] if c[0] == MARK else c for c in WORDS.findall(MARK + text.replace(" ", MARK))]
+        else:
+            words = text.split(" ")
         young, old = self.young, self.old
-        for c in CHUNK.findall(MARK + text.replace(" ", MARK)):
-            ids = young.get(c)
-            if ids is None:
-                ids = old.get(c) or self.encode_chunk(c)
-                if len(c) <= LONGEST_CACHED:
-                    if len(young) >= CACHED_CHUNKS:  # what was not used since the last turn is forgotten
-                        self.old = old = young
-                        self.young = young = {}
-                    young[c] = ids
-            out.append(ids)
-        return out
+        out = list(map(young.get, words))
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None:
+                    w = words[k]
+                    ids = young.get(w) or old.get(w) or self.encode_word(w)
+                    if len(w) <= LONGEST_CACHED:
+                        young[w] = ids
+                    out[k] = ids
+            if len(young) >= CACHED_WORDS:  # what is not used until the next turn is forgotten
+                self.old, self.young = young, {}
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         shown = self.shown
-        raw = b"".join([shown[i] for i in ids])
+        raw = b"".join(map(shown.__getitem__, ids))
         try:
             text = raw.decode()
         except UnicodeDecodeError:
@@ -178,6 +188,7 @@ class PieceModel:
 
 
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 @functools.cache
@@ -195,7 +206,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
         model = load(model_path)
         flat, ends = [], [0]
         for t in texts.to_pylist():
-            row = np.fromiter(chain.from_iterable(model.encode(t or "")), np.int32)
+            row = model.encode(t or "")
             flat.append(row)
             ends.append(ends[-1] + len(row))
         values = np.concatenate(flat) if flat else np.empty(0, np.int32)
@@ -211,6 +222,11 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
     @F.arrow_udf("string")
     def to_text(lists: pa.Array) -> pa.Array:
         model = load(model_path)
-        return pa.array([model.decode(x.values.to_pylist()) if x.is_valid else "" for x in lists], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+        flat, out, at = lists.flatten().to_numpy(zero_copy_only=False).tolist(), [], 0
+        for n in sizes:
+            out.append(model.decode(flat[at:at + n]))
+            at += n
+        return pa.array(out, pa.string())
 
     return without(df, *([text] if text.lower() != ids.lower() else [])).withColumn(text, to_text(column(ids)))
