@@ -25,22 +25,25 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, shared_path, small_batches, stored
+from .common import column, shared_path, small_batches, stored, word_ids
 
 MAGIC = b"BITPLANE"
 BLOCK_IDS = 65_536
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
+BATCH = 2048
 MANIFEST = "file int, path string, n_docs bigint, n_ids bigint"
 
 
@@ -159,29 +162,86 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Latin-1 letters that normalisation leaves alone but for case, then marks that make one token of their own run.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!#-&(-/:;=?@[-`{-~]*)")
+PARTING = "0"  # a digit is a token by itself and is in no plain part
+
+
 class WordEncoder:
     """Ids of whole texts.  Spaces and line feeds always part tokens and give none,
-    so the text is cut there and each word's ids are kept in a bounded cache."""
+    so the text is cut there.  Most words are letters and then marks: these two
+    parts have their own ids, many new ones are encoded in one call, and what
+    was used lately is kept.  All other words are encoded as they are."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.parting = self.tokenizer.encode(PARTING, add_special_tokens=False).ids
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
+    def _new_parts(self, parts: list[str]) -> None:
+        """Encode many plain parts in one call, parted by a token that they can't have."""
+        if not parts:
+            return
+        ids = np.array(self.tokenizer.encode(f" {PARTING} ".join(parts), add_special_tokens=False).ids, "<u4")
+        ends = np.nonzero(ids == self.parting[0])[0].tolist()
+        if len(self.parting) != 1 or len(ends) != len(parts) - 1:
+            raise ValueError("the tokenizer doesn't part words at white space and digits")
+        for part, start, end in zip(parts, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
+            self.parts[part] = ids[start:end].tobytes()
+
+    def _new_words(self, words: list[str]) -> list[bytes]:
+        parts, old_parts = self.parts, self.old_parts
+        pairs, odd, new = [], [], set()
+        for w in words:
+            m = PLAIN.fullmatch(w)
+            if m is None:
+                odd.append(w)
+                pairs.append(None)
+                continue
+            letters, marks = m.groups()
+            letters = letters.lower()
+            pairs.append((letters, marks))
+            for x in (letters, marks):
+                if x not in parts:
+                    if x in old_parts:
+                        parts[x] = old_parts[x]
+                    else:
+                        new.add(x)
+        if new:
+            self._new_parts(sorted(new - {""}))
+            parts[""] = b""
+        coded = iter(self.tokenizer.encode_batch(odd, add_special_tokens=False) if odd else ())
+        return [np.array(next(coded).ids, "<u4").tobytes() if p is None else parts[p[0]] + parts[p[1]] for p in pairs]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
         young, old = self.young, self.old
-        missing = {w for w in words if w not in young}
-        if missing:
-            again = {w: old[w] for w in missing if w in old}
-            young.update(again)
-            new = [w for w in missing if w not in again]
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                young[w] = np.array(e.ids, "<u4").tobytes()
-        ids = np.frombuffer(b"".join([young[w] for w in words]), "<u4")
-        if len(young) >= CACHED_WORDS:
+        out = list(map(young.get, words))
+        new = []
+        for k, ids in enumerate(out):
+            if ids is None:
+                known = old.get(words[k])
+                if known is None:
+                    new.append(k)
+                else:
+                    young[words[k]] = out[k] = known
+        if new:
+            for k, ids in zip(new, self._new_words([words[k] for k in new]), strict=True):
+                young[words[k]] = out[k] = ids
+        if len(young) >= CACHED_WORDS:  # what is not used until the next turn is forgotten
             self.old, self.young = young, {}
-        return ids
+        if len(self.parts) >= CACHED_WORDS:
+            self.old_parts, self.parts = self.parts, {}
+        return out
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the texts' offsets in them."""
+        return word_ids(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), self.encode_words)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch(pa.array([text], pa.string()))[0]
 
 
 @functools.cache
@@ -208,7 +268,7 @@ def write_ids(
     if planes not in ("byte", "bit"):
         raise ValueError("planes is byte or bit")
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
@@ -217,15 +277,16 @@ def write_ids(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = _encoder(tokenizer_path), None
         number = TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], np.int32)
         fs, folder = _fs(path)
         for batch in batches:
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids, at = encoder.encode_batch(batch.column("text"))
+            for k, d in enumerate(batch.column("doc_id").to_pylist()):
                 if writer is None:
                     fs.create_dir(folder, recursive=True)
                     unfinished = f"{folder}/.{number:06d}-{uuid.uuid4().hex}"
                     writer = Writer(fs.open_output_stream(unfinished), planes, block_ids)
-                writer.add(d, np.concatenate([encoder.encode(t or ""), end]))
+                writer.add(d, np.concatenate([ids[at[k]:at[k + 1]], end]))
         if writer is not None:
             writer.close()
             name = f"{folder}/{number:06d}.ids"

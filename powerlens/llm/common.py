@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
 BATCH_ROWS = 512
+BATCH_BYTES = 16 * 2**20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that Python tasks hold: texts may be long."""
+    """Bound the Arrow batches that Python tasks hold, in rows and, as texts may be long, in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def word_ids(texts: pa.Array, encode_words: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts whose words, parted by single spaces, are encoded each by itself.
+
+    Each different word of the batch is encoded once (``encode_words`` gives 32-bit
+    ids as bytes).  Returns all ids and the texts' offsets in them."""
+    lists = pc.split_pattern(texts, " ")
+    words = lists.flatten().dictionary_encode()
+    if not len(words):
+        return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    one = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
+    coded = encode_words(pc.binary_join(one, " ")[0].as_py().split(" "))  # faster than one object at a time
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    ids = np.frombuffer(b"".join(coded), np.int32)
+    at = words.indices.to_numpy(zero_copy_only=False)
+    n = sizes[at]
+    ends = np.cumsum(n)
+    shift = (np.cumsum(sizes) - sizes)[at] - (ends - n)  # from a word's place in the result to its place in ids
+    out = ids[np.repeat(shift, n) + np.arange(ends[-1])]
+    stops = np.concatenate([[0], ends])
+    return out, stops[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

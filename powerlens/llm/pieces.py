@@ -32,10 +32,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, small_batches, without
+from .common import column, small_batches, without, word_ids
 
 MARK = "▁"
 CACHED_WORDS = 600_000
+BATCH = 2048  # rows; a batch's words are encoded once
 CACHED_PAIRS = 1_000_000
 LONGEST_CACHED = 48
 
@@ -132,27 +133,45 @@ class PieceModel:
         """Ids, as 32-bit numbers, of a word and the mark before it."""
         return array("i", [i for c in CHUNK.findall(MARK + word) for i in self.encode_chunk(c)]).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of the whole text."""
-        if not text:
-            return np.empty(0, np.int32)
-        if text[0] == " " or "  " in text or MARK in text:  # runs of marks go with the word behind
-            words = [c[1:] if c[0] == MARK else c for c in WORDS.findall(MARK + text.replace(" ", MARK))]
-        else:
-            words = text.split(" ")
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with a mark before it."""
         young, old = self.young, self.old
         out = list(map(young.get, words))
-        if None in out:
-            for k, ids in enumerate(out):
+        for k, ids in enumerate(out):
+            if ids is None:
+                w = words[k]
+                ids = old.get(w)
                 if ids is None:
-                    w = words[k]
-                    ids = young.get(w) or old.get(w) or self.encode_word(w)
-                    if len(w) <= LONGEST_CACHED:
-                        young[w] = ids
-                    out[k] = ids
-            if len(young) >= CACHED_WORDS:  # what is not used until the next turn is forgotten
-                self.old, self.young = young, {}
-        return np.frombuffer(b"".join(out), np.int32)
+                    ids = self.encode_word(w)
+                if len(w) <= LONGEST_CACHED:
+                    young[w] = ids
+                out[k] = ids
+        if len(young) >= CACHED_WORDS:  # what is not used until the next turn is forgotten
+            self.old, self.young = young, {}
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of any whole text; runs of marks go with the word behind."""
+        if not text:
+            return np.empty(0, np.int32)
+        words = [c[1:] for c in WORDS.findall(MARK + text.replace(" ", MARK))]
+        return np.frombuffer(b"".join(self.encode_words(words)), np.int32)
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the texts' offsets in them."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, f"^ |  |{MARK}|^$")  # more than single spaces between words
+        if not pc.any(odd).as_py():
+            return word_ids(texts, self.encode_words)
+        ids, at = word_ids(texts.filter(pc.invert(odd)), self.encode_words)
+        parts, plain = [], 0
+        for text, is_odd in zip(texts.to_pylist(), odd.to_pylist(), strict=True):
+            if is_odd:
+                parts.append(self.encode(text))
+            else:
+                parts.append(ids[at[plain]:at[plain + 1]])
+                plain += 1
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
     def decode(self, ids: list[int]) -> str:
         shown = self.shown
@@ -199,25 +218,19 @@ def load(path: str) -> PieceModel:
 
 def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids`` (array<int>): the BPE ids of the whole ``text``, no begin or end ids."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, BATCH)
 
     @F.arrow_udf("array<int>")
     def to_ids(texts: pa.Array) -> pa.Array:
-        model = load(model_path)
-        flat, ends = [], [0]
-        for t in texts.to_pylist():
-            row = model.encode(t or "")
-            flat.append(row)
-            ends.append(ends[-1] + len(row))
-        values = np.concatenate(flat) if flat else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+        values, at = load(model_path).encode_batch(texts)
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
 
     return without(df, *([ids] if ids.lower() != text.lower() else [])).withColumn(ids, to_ids(column(text)))
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add ``text``: the decoded ``ids``."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, BATCH)
 
     @F.arrow_udf("string")
     def to_text(lists: pa.Array) -> pa.Array:

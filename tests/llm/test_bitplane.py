@@ -43,7 +43,8 @@ def test_incomplete_file_is_refused():
 
 def test_words_equal_the_library():
     library, own = Tokenizer.from_file(PATH), bitplane.WordEncoder(PATH)
-    for text in ("It's  the\nEND.\t<|endoftext|>x", " a　b ", "é é ΣΑΣ ok", "<|startoftext|> 12 3", "", "\x1c\x85a", "don't we'LL"):
+    for text in ("It's  the\nEND.\t<|endoftext|>x", " a　b ", "é é ΣΑΣ ok", "<|startoftext|> 12 3", "", "\x1c\x85a", "don't we'LL",
+                 "a.b a,. ,a <|endoftext|> 0 0. x0 ªº ÿß ÀÉ! É́ é \x00 a\x00 ~~`` '' a' a-b a--  (x) x) %%% &&& ÷×", "naïve!!! Straße, ÆON;"):
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
@@ -67,3 +68,14 @@ def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     manifest = bitplane.write_ids(df, PATH, f"file://{tmp_path}/ids", end_id=2, files=2)
     assert bitplane.read_ids(spark, manifest).count() == 0
+
+
+def test_random_words_equal_the_library(monkeypatch):
+    import random
+
+    monkeypatch.setattr(bitplane, "CACHED_WORDS", 50)
+    library, own, rng = Tokenizer.from_file(PATH), bitplane.WordEncoder(PATH), random.Random(5)
+    signs = "aAzZéÉßÿ×÷.,!?;:#%$&*\"'()-<>|_`~^0 \n\t 9xyèñ́ªΣ"
+    for _ in range(4000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(60)))
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
