@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, pieces
+from . import bitplane, embed, html_text, iblt, mix, pieces, pii, simhash, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,15 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+MIX = {"target_entropy": 0.9, "max_repeats": 4.0}
+
+
+@query("op1_temperature_mix")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedule that mixes the sources of all documents."""
+    return mix.schedule(table(spark, sf_dir, "documents"), **MIX).drop("row_key")
+
+
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
@@ -39,6 +48,72 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_main_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_iblt_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likenesses."""
+    return iblt.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def joined_spans(spans: str):
+    """kind:start:end, joined by commas."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+@query("op5_pii_disclosure")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of the personal-data spans of every document."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined_spans("base").cast("binary"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
+
+
+SIMHASH_SHINGLE = 3
+SIMHASH_DISTANCE = 2
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), SIMHASH_SHINGLE, SIMHASH_DISTANCE)
+
+
+@query("op7_embedding_links")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.9."""
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+URL_RULES = [
+    urls.Rule("org", "/", "allow"),
+    urls.Rule("example.org", "/es/", "block"),
+    urls.Rule("example.org", "/en/1", "block"),
+    urls.Rule("com", "/fr/", "allow"),
+    urls.Rule("com", "/de/", "block"),
+]
+
+
+@query("op8_host_reputation", urls.oracle(URL_RULES))
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document and whether it is rejected."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", "severity", F.round("severity").cast("int").alias("grade"), (F.col("severity") >= toxicity.REJECT_AT).alias("toxic"))
+
+
 @query("op10_bitplane_ids")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Id files of all documents, read back: place, length and checksum of each."""
