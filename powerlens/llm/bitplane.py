@@ -42,8 +42,8 @@ from .common import column, shared_path, small_batches, stored, word_ids
 
 MAGIC = b"BITPLANE"
 BLOCK_IDS = 65_536
-CACHED_WORDS = 500_000
-BATCH = 2048
+CACHED_WORDS = 250_000
+BATCH = 1024
 MANIFEST = "file int, path string, n_docs bigint, n_ids bigint"
 
 
@@ -162,83 +162,75 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Latin-1 letters that normalisation leaves alone but for case, then marks that make one token of their own run.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!#-&(-/:;=?@[-`{-~]*)")
-PARTING = "0"  # a digit is a token by itself and is in no plain part
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!#-&(-/:;=?@\[-`{-~"
+#: Between a Latin-1 letter, which normalisation leaves alone but for case, and a mark ends a token.
+BOUNDARY = f"([{LETTERS}])([{MARKS}])"
+PLAIN = re.compile(f"[{LETTERS}]+|[{MARKS}]+")
+PARTING = "0"  # a digit is a token by itself and is in no plain word
 
 
 class WordEncoder:
-    """Ids of whole texts.  Spaces and line feeds always part tokens and give none,
-    so the text is cut there.  Most words are letters and then marks: these two
-    parts have their own ids, many new ones are encoded in one call, and what
-    was used lately is kept.  All other words are encoded as they are."""
+    """Ids of whole texts.  Spaces and line feeds always part tokens and give none, and
+    marks behind a letter begin a token; texts are cut there, and each word's ids
+    are kept in a bounded cache.  New words of one kind of sign need no
+    normalisation: many are encoded in one call, by the same model behind a plain
+    split.  All other words are encoded by the tokenizer as they are."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        config = json.loads(self.tokenizer.to_str())
+        config |= {"normalizer": None, "added_tokens": []}
+        split = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        config["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [split, config["pre_tokenizer"]["pretokenizers"][-1]]}
+        self.model = type(self.tokenizer).from_str(json.dumps(config))
+        self.special = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
         self.parting = self.tokenizer.encode(PARTING, add_special_tokens=False).ids
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
 
-    def _new_parts(self, parts: list[str]) -> None:
-        """Encode many plain parts in one call, parted by a token that they can't have."""
-        if not parts:
-            return
-        ids = np.array(self.tokenizer.encode(f" {PARTING} ".join(parts), add_special_tokens=False).ids, "<u4")
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Encode many plain words in one call, parted by a token that they can't have."""
+        ids = np.array(self.model.encode_batch_fast([f" {PARTING} ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.nonzero(ids == self.parting[0])[0].tolist()
-        if len(self.parting) != 1 or len(ends) != len(parts) - 1:
+        if len(self.parting) != 1 or len(ends) != len(words) - 1:
             raise ValueError("the tokenizer doesn't part words at white space and digits")
-        for part, start, end in zip(parts, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
-            self.parts[part] = ids[start:end].tobytes()
-
-    def _new_words(self, words: list[str]) -> list[bytes]:
-        parts, old_parts = self.parts, self.old_parts
-        pairs, odd, new = [], [], set()
-        for w in words:
-            m = PLAIN.fullmatch(w)
-            if m is None:
-                odd.append(w)
-                pairs.append(None)
-                continue
-            letters, marks = m.groups()
-            letters = letters.lower()
-            pairs.append((letters, marks))
-            for x in (letters, marks):
-                if x not in parts:
-                    if x in old_parts:
-                        parts[x] = old_parts[x]
-                    else:
-                        new.add(x)
-        if new:
-            self._new_parts(sorted(new - {""}))
-            parts[""] = b""
-        coded = iter(self.tokenizer.encode_batch(odd, add_special_tokens=False) if odd else ())
-        return [np.array(next(coded).ids, "<u4").tobytes() if p is None else parts[p[0]] + parts[p[1]] for p in pairs]
+        return [ids[start:end].tobytes() for start, end in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         young, old = self.young, self.old
         out = list(map(young.get, words))
-        new = []
+        plain, odd = [], []
         for k, ids in enumerate(out):
             if ids is None:
-                known = old.get(words[k])
-                if known is None:
-                    new.append(k)
+                w = words[k]
+                known = old.get(w)
+                if known is not None:
+                    young[w] = out[k] = known
+                elif PLAIN.fullmatch(w):
+                    plain.append((w.lower(), k))
                 else:
-                    young[words[k]] = out[k] = known
-        if new:
-            for k, ids in zip(new, self._new_words([words[k] for k in new]), strict=True):
-                young[words[k]] = out[k] = ids
+                    odd.append((w, k))
+        if plain:
+            plain.sort()
+            alike = sorted({w for w, _ in plain})
+            coded = dict(zip(alike, self._plain(alike), strict=True))
+            for w, k in plain:
+                young[words[k]] = out[k] = coded[w]
+        if odd:
+            for (w, k), e in zip(odd, self.tokenizer.encode_batch([w for w, _ in odd], add_special_tokens=False), strict=True):
+                young[w] = out[k] = np.array(e.ids, "<u4").tobytes()
         if len(young) >= CACHED_WORDS:  # what is not used until the next turn is forgotten
             self.old, self.young = young, {}
-        if len(self.parts) >= CACHED_WORDS:
-            self.old_parts, self.parts = self.parts, {}
         return out
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the texts' offsets in them."""
-        return word_ids(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), self.encode_words)
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        lower = pc.ascii_lower(texts)
+        cut = pc.replace_substring_regex(lower, BOUNDARY, r"\1 \2")
+        for s in self.special:  # these are tokens across such a boundary, in this case only
+            cut = pc.if_else(pc.match_substring(lower, s), texts, cut)
+        return word_ids(cut, self.encode_words)
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch(pa.array([text], pa.string()))[0]

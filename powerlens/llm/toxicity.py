@@ -3,11 +3,11 @@
 Model: P(grade <= k) = sigmoid(theta_k - w.x), one weight vector for all ordered
 thresholds theta_0 < theta_1 < ...; the output is the expected grade.
 
-Features are sparse: one for each vocabulary word that a text has (letters
-only, lower case).  The vocabulary is learned: a word enters when its share of
+Features are sparse: how often a text has each vocabulary word (letters only,
+lower case; ``MOST_REPEATS`` at most).  The vocabulary is learned: a word enters when its share of
 toxic texts among the labelled ones cannot be chance (binomial tail under the
-overall share, divided by the number of words tried).  The number of such
-words in a labelled toxic text gives its severity grade (grade 0: not toxic;
+overall share, divided by the number of words tried).  How many of them a
+labelled toxic text has gives its severity grade (grade 0: not toxic;
 1, 2, 3: up to ``GRADE_ENDS`` words).
 
 The classifier is fitted on at most ``max_labelled`` labelled rows (those with
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +36,7 @@ from .common import column, free_name, small_batches, stored, without
 
 MAX_LABELLED = 20_000
 MAX_WORDS = 5_000
+MOST_REPEATS = 4
 CHANCE = 0.01  # expected number of words that enter by chance
 REJECT_AT = 0.5  # expected grade from which a text is rejected
 GRADE_ENDS = (2, 4)  # words of grade 1 and of grade 2, at most
@@ -50,11 +52,16 @@ class Model:
         """Expected grade: the sum over k of P(grade > k)."""
         if not self.thresholds:
             return 0.0
-        x = sum(self.words[w] for w in self.words.keys() & set(WORD.findall((text or "").lower())))
+        found = WORD.findall((text or "").lower())
+        x = 0.0
+        hits = self.words.keys() & set(found)
+        if hits:
+            times = Counter(w for w in found if w in hits)
+            x = sum(self.words[w] * min(times[w], MOST_REPEATS) for w in sorted(hits))
         return sum(1 / (1 + math.exp(min(700.0, t - x))) for t in self.thresholds)
 
 
-def fit_ordinal(x: list[np.ndarray], grade: np.ndarray, n_features: int, ridge: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: list[np.ndarray], grade: np.ndarray, n_features: int, ridge: float = 0.1, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds of the cumulative-link model.
 
     Penalised likelihood by gradient descent with adaptive steps (Adam).
@@ -112,14 +119,15 @@ def fit(
 
     @F.arrow_udf("array<string>")
     def words(texts: pa.Array) -> pa.Array:
-        return pa.array([list(set(WORD.findall((t or "").lower()))) for t in texts.to_pylist()], pa.list_(pa.string()))
+        rows = (Counter(WORD.findall((t or "").lower())) for t in texts.to_pylist())
+        return pa.array([[w for w, n in c.items() for _ in range(min(n, MOST_REPEATS))] for c in rows], pa.list_(pa.string()))
 
     rows = docs.select(column("doc_id").alias("doc_id"), column(text).alias("text")).join(F.broadcast(known), "doc_id")  # max_labelled rows
     rows = stored(rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), words("text").alias("words")), "labelled")
     n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
         return Model({}, [])
-    counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
+    counts = rows.select("toxic", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits"))
     counts = stored(counts, "label-words")
     tried = counts.count()
@@ -133,9 +141,13 @@ def fit(
     number = {w: k for k, w in enumerate(found)}
     if not number:
         return Model({}, [])
-    chosen = F.array_intersect("words", F.array(*map(F.lit, found)))
-    sample = rows.select("toxic", chosen.alias("words")).collect()  # max_labelled rows of vocabulary words
-    x = [np.array(sorted(number[w] for w in r["words"]), np.int64) for r in sample]
+
+    @F.arrow_udf("array<int>")
+    def numbered(lists: pa.Array) -> pa.Array:
+        return pa.array([[number[w] for w in x if w in number] for x in lists.to_pylist()], pa.list_(pa.int32()))
+
+    sample = rows.select("toxic", numbered("words").alias("words")).collect()  # max_labelled rows of vocabulary words
+    x = [np.array(sorted(r["words"]), np.int64) for r in sample]
     count = np.array([len(f) for f in x])
     grade = np.where([r["toxic"] for r in sample], 1 + sum((count > e).astype(int) for e in GRADE_ENDS), 0)
     present = np.unique(grade)

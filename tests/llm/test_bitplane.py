@@ -44,7 +44,7 @@ def test_incomplete_file_is_refused():
 def test_words_equal_the_library():
     library, own = Tokenizer.from_file(PATH), bitplane.WordEncoder(PATH)
     for text in ("It's  the\nEND.\t<|endoftext|>x", " a　b ", "é é ΣΑΣ ok", "<|startoftext|> 12 3", "", "\x1c\x85a", "don't we'LL",
-                 "a.b a,. ,a <|endoftext|> 0 0. x0 ªº ÿß ÀÉ! É́ é \x00 a\x00 ~~`` '' a' a-b a--  (x) x) %%% &&& ÷×", "naïve!!! Straße, ÆON;"):
+                 "a.b a,. ,a <|endoftext|> 0 0. x0 ªº ÿß ÀÉ! É́ é \x00 a\x00 ~~`` '' a' a-b a--  (x) x) %%% &&& ÷×", "naïve!!! Straße, ÆON;", "<|ENDOFTEXT|> x<|endoftext|>,Y"):
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 

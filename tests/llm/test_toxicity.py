@@ -51,7 +51,7 @@ def test_gradient_descent_finds_the_optimum():
         score = np.array([w[f].sum() for f in x])
         cdf = np.hstack([np.zeros((600, 1)), 1 / (1 + np.exp(score[:, None] - theta[None, :])), np.ones((600, 1))])
         at = np.arange(600)
-        return -np.log(cdf[at, grade + 1] - cdf[at, grade]).sum() + 0.5 * (w**2).sum()
+        return -np.log(cdf[at, grade + 1] - cdf[at, grade]).sum() + 0.05 * (w**2).sum()
 
     best = loss(w, theta)
     assert theta[0] < theta[1] and w[0] > w[1] > w[3]
