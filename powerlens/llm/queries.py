@@ -69,9 +69,12 @@ def joined_spans(spans: str):
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and list of the personal-data spans of every document."""
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *counts, F.sha2(joined_spans("base").cast("binary"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
+        "doc_id", *map(number, pii.KINDS), F.sha2(joined_spans("base").cast("binary"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
 
 
 SIMHASH_SHINGLE = 3
