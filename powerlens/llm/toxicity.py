@@ -3,16 +3,18 @@
 Model: P(grade <= k) = sigmoid(theta_k - w.x), one weight vector for all ordered
 thresholds theta_0 < theta_1 < ...; the output is the expected grade.
 
-Features are sparse: how often a text has each vocabulary word (letters only,
-lower case; ``MOST_REPEATS`` at most).  The vocabulary is learned: a word enters when its share of
+Features are sparse: how often a text has each vocabulary entry, a word (letters
+only, lower case) or a beginning of words (written ``abcd*``); ``MOST_REPEATS`` at
+most.  The vocabulary is learned: a word enters when its share of
 toxic texts among the labelled ones cannot be chance (binomial tail under the
 overall share, divided by the number of words tried).  How many of them a
 labelled toxic text has gives its severity grade (grade 0: not toxic;
 1, 2, 3: up to ``GRADE_ENDS`` words).
 
 The classifier is fitted on at most ``max_labelled`` labelled rows (those with
-the smallest hash of their id), a documented bound; scoring reads every text
-whole.  The driver holds the vocabulary (at most ``max_words``) and the fitting
+the smallest hash of their id), a documented bound; of those that share their
+beginning, middle or end with another one only one counts, so that copies
+prove nothing.  Scoring reads every text whole.  The driver holds the vocabulary (at most ``max_words``) and the fitting
 rows' word numbers.
 
 Defined results: null and empty texts have no words and get the intercept's
@@ -29,7 +31,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, free_name, small_batches, stored, without
@@ -40,24 +43,40 @@ MOST_REPEATS = 4
 CHANCE = 0.01  # expected number of words that enter by chance
 REJECT_AT = 0.5  # expected grade from which a text is rejected
 GRADE_ENDS = (2, 4)  # words of grade 1 and of grade 2, at most
+STEMS = (4, 5, 6)  # letters of the beginnings of words that are features
+SHARED = 12  # words at a text's beginning, middle and end by which copies are known
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def features(words: list[str]) -> Counter:
+    """How often each word and each beginning of words occurs."""
+    times = Counter(words)
+    for w, n in list(times.items()):
+        for k in STEMS:
+            if len(w) > k:
+                times[w[:k] + "*"] += n
+    return times
+
+
 @dataclass
 class Model:
     words: dict[str, float]
     thresholds: list[float]
 
+    def __post_init__(self):
+        self.stems = {w[:STEMS[0]] for w in self.words if w.endswith("*")}
+
     def severity(self, text: str | None) -> float:
         """Expected grade: the sum over k of P(grade > k)."""
         if not self.thresholds:
             return 0.0
-        found = WORD.findall((text or "").lower())
+        times = Counter(WORD.findall((text or "").lower()))
+        words, stems = self.words, self.stems
+        hits = {w for w in times if w in words or w[:STEMS[0]] in stems}
         x = 0.0
-        hits = self.words.keys() & set(found)
         if hits:
-            times = Counter(w for w in found if w in hits)
-            x = sum(self.words[w] * min(times[w], MOST_REPEATS) for w in sorted(hits))
+            found = features([w for w in hits for _ in range(times[w])])
+            x = sum(words[w] * min(n, MOST_REPEATS) for w, n in sorted(found.items()) if w in words)
         return sum(1 / (1 + math.exp(min(700.0, t - x))) for t in self.thresholds)
 
 
@@ -117,13 +136,23 @@ def fit(
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # repeated labels: the worst
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
-    @F.arrow_udf("array<string>")
-    def words(texts: pa.Array) -> pa.Array:
-        rows = (Counter(WORD.findall((t or "").lower())) for t in texts.to_pylist())
-        return pa.array([[w for w, n in c.items() for _ in range(min(n, MOST_REPEATS))] for c in rows], pa.list_(pa.string()))
+    @F.arrow_udf("struct<words:array<string>,shared:array<bigint>>")
+    def read(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            words = WORD.findall((t or "").lower())
+            middle = max(0, len(words) - SHARED) // 2
+            ends = (words[:SHARED], words[middle:middle + SHARED], words[-SHARED:])
+            repeated = [w for w, n in features(words).items() for _ in range(min(n, MOST_REPEATS))]
+            out.append({"words": repeated, "shared": [xxhash.xxh64_intdigest(" ".join(e), k) - 2**63 for k, e in enumerate(ends)]})
+        return pa.array(out, pa.struct([("words", pa.list_(pa.string())), ("shared", pa.list_(pa.int64()))]))
 
     rows = docs.select(column("doc_id").alias("doc_id"), column(text).alias("text")).join(F.broadcast(known), "doc_id")  # max_labelled rows
-    rows = stored(rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), words("text").alias("words")), "labelled")
+    rows = rows.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), read("text").alias("read"))
+    rows = stored(rows.select("toxic", "read.*", F.xxhash64("doc_id", "read").alias("row")), "labelled")
+    least_row = [F.min("row").over(Window.partitionBy(F.col("shared")[k])) for k in range(3)]
+    rows = stored(rows.withColumns({f"least{k}": w for k, w in enumerate(least_row)}).where(
+        (F.col("row") == F.col("least0")) & (F.col("row") == F.col("least1")) & (F.col("row") == F.col("least2"))).select("toxic", "words"), "labelled")
     n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
         return Model({}, [])
