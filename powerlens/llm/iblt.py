@@ -116,7 +116,7 @@ def differences(pairs: DataFrame, start_full: int = FULL) -> DataFrame:
     n = F.size("a") + F.size("b")
     wanted = F.pow(F.lit(4.0), F.greatest(F.lit(0.0), F.ceil(F.log(n / F.lit(float(start_full))) / F.log(F.lit(4.0))))).cast("int")
     parts = F.when(n <= start_full, 1).otherwise(F.least(F.lit(FIRST_SPLITS), wanted))
-    todo, done = pairs.withColumn("parts", parts), None
+    todo, done = pairs.withColumns({c: F.coalesce(F.col(c), F.array().cast("array<bigint>")) for c in ("a", "b")}).withColumn("parts", parts), None
     for level in range(LEVELS):
         seed = F.lit(level)
         rows = todo.withColumn("number", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -169,7 +169,9 @@ def with_next(docs: DataFrame, per_bucket: int) -> DataFrame:
     rows = docs.select(own.alias("own"), F.col("doc_id"), F.xxhash64("text").alias("tie"), bucket.alias("bucket"))
     rows = rows.select("own", "doc_id", "tie", F.inline(places))
     order = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), "tie")
-    return rows.withColumn("next", F.lead("own").over(order)).where(~F.col("guest")).select("own.*", "next")
+    # without any id there is no guest: then the first row follows the last one itself
+    following = F.coalesce(F.lead("own").over(order), F.first("own").over(order))
+    return rows.withColumn("next", following).where(~F.col("guest")).select("own.*", "next")
 
 
 def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
