@@ -165,3 +165,22 @@ def pdu_nodes() -> list[str]:
 
 def compute_nodes() -> list[str]:
     return [f"{p}-{r}-{i}" for r, (p, n) in COMPUTE_PER_RACK.items() for i in range(1, n + 1)]
+
+# Units and words of the definition filters (units in the list, or a word in the name).
+COMPUTE_DEF_RULES = {
+    "all": ([], []),
+    "power": (["mW", "W", "kW"], ["Power"]),
+    "power_units": (["mW", "W", "kW"], []),
+    "temperature": (["C", "F", "K"], ["Temperature", "Temp"]),
+}
+
+INFRA_DEF_RULES = {
+    "all": ([], []),
+    "power": (["kW", "W", "mW"], ["Power"]),
+    "temperature": (["C", "F", "K"], ["Temperature"]),
+    "compressor": ([], ["Compressor"]),
+    "air": ([], ["Air", "Filter", "Flow"]),
+    "run_hours": ([], ["Run", "Hours"]),
+    "humidity": ([], ["Humidity", "RH"]),
+    "pressure": (["Pa", "kPa", "bar", "psi"], ["Pressure"]),
+}

@@ -95,49 +95,50 @@ def metric_category_contains(metric="metric") -> Column:
     return expr.otherwise("Other")
 
 
-MAX_BRACKET_GROUPS = 4  # bracket groups expanded per host pattern, e.g. a[1-2]b[3-4]
-
-
-def _expand_first_group(df, col: str):
-    """Expand the first ``[...]`` group of ``col`` (one row per number)."""
-    item = F.col(col)
-    has_br = item.contains("[")
-    prefix = F.regexp_extract(item, r"^([^\[]*)\[", 1)
-    body = F.regexp_extract(item, r"^[^\[]*\[([^\]]*)\]", 1)
-    rest = F.regexp_extract(item, r"^[^\[]*\[[^\]]*\](.*)$", 1)
-    lo = F.split(F.col("_r"), "-").getItem(0)
-    hi = F.coalesce(F.get(F.split(F.col("_r"), "-"), 1), lo)
-    num = F.col("_num").cast("string")
-    padded = F.when(F.substring(lo, 1, 1) == "0", F.lpad(num, F.length(lo), "0")).otherwise(num)
-    return (
-        df.withColumn("_r", F.explode(F.when(has_br, F.split(body, ",")).otherwise(F.array(F.lit("")))))
-        .withColumn(
-            "_num",
-            F.explode(
-                F.when(has_br, F.sequence(lo.try_cast("int"), hi.try_cast("int"))).otherwise(
-                    F.array(F.lit(None).cast("int"))
-                )
-            ),
-        )
-        .withColumn(col, F.when(has_br, F.concat(prefix, padded, rest)).otherwise(item))
-        .drop("_r", "_num")
-    )
+HOST_PATTERN = r"^(?:[^\[\],]+|\[\s*\d+(?:-\d+)?(?:\s*,\s*\d+(?:-\d+)?)*\s*\])+$"
+
+
+def _numbers(body: Column) -> Column:
+    """Names in a bracket group such as ``1-3,07``: array of strings, zero padding of the low bound kept."""
+
+    def one(part: Column) -> Column:
+        ends = F.split(F.trim(part), "-")
+        lo, hi = ends.getItem(0), F.coalesce(F.get(ends, 1), ends.getItem(0))
+        low, high = lo.cast("bigint"), hi.cast("bigint")
+        up = F.when(low <= high, F.sequence(low, high)).otherwise(
+            F.raise_error(F.concat(F.lit("reversed range in a node list: "), part)))
+        pad = F.when(lo.startswith("0"), F.length(lo)).otherwise(1)
+        return F.transform(up, lambda n: F.lpad(n.cast("string"), F.greatest(pad, F.length(n.cast("string"))), F.lit("0")))
+
+    return F.flatten(F.transform(F.split(body, ","), one))
+
+
+def _hosts(item: Column) -> Column:
+    """All hosts of one pattern: a fold over its (text, bracket group) parts, however many."""
+    texts = F.regexp_extract_all(item, F.lit(r"([^\[\]]*)(?:\[([^\]]*)\])?"), F.lit(1))
+    bodies = F.regexp_extract_all(item, F.lit(r"([^\[\]]*)(?:\[([^\]]*)\])?"), F.lit(2))
+    parts = F.arrays_zip(texts.alias("text"), bodies.alias("body"))
+
+    def grow(done: Column, part: Column) -> Column:
+        tails = F.when(part["body"] == "", F.array(F.lit(""))).otherwise(_numbers(part["body"]))
+        return F.flatten(F.transform(done, lambda d: F.transform(tails, lambda t: F.concat(d, part["text"], t))))
+
+    hosts = F.aggregate(parts, F.array(F.lit("")), grow)
+    return F.when(item.rlike(HOST_PATTERN), hosts).otherwise(
+        F.raise_error(F.concat(F.lit("node list can't be read: "), item)))
 
 
 def explode_nodelist(df, nodelist="nodelist", out="hostname"):
     """Expand a scheduler node list into one row per host.
 
     Handles comma lists and bracket ranges, e.g. ``rpc-91-[1-3,7],rpg-93-2``
-    -> rpc-91-1, rpc-91-2, rpc-91-3, rpc-91-7, rpg-93-2; several groups in one
-    pattern expand to their product (``a[1-2]b[3-4]`` -> a1b3, a1b4, a2b3,
-    a2b4).  Column expressions only: split on commas outside brackets,
-    explode, then expand one bracket group per step with ``sequence`` (zero
-    padding of the low bound is kept).
+    -> rpc-91-1, rpc-91-2, rpc-91-3, rpc-91-7, rpg-93-2; any number of groups
+    in one pattern expands to their product (``a[1-2]b[3-4]`` -> a1b3, a1b4,
+    a2b3, a2b4).  Column expressions only.  A pattern that can't be read and a
+    reversed range raise an error; null and empty lists give no row.
     """
-    x = df.withColumn(out, F.explode(F.split(_c(nodelist), r",(?![^\[]*\])"))).withColumn(out, F.trim(F.col(out)))
-    for _ in range(MAX_BRACKET_GROUPS):
-        x = _expand_first_group(x, out)
-    return x.where(F.col(out) != "")
+    items = F.filter(F.transform(F.split(_c(nodelist), r",(?![^\[]*\])"), lambda x: F.trim(x)), lambda x: x != "")
+    return df.withColumn(out, F.explode(F.flatten(F.transform(items, _hosts))))
 
 
 def check_known_hosts(df, hostname="hostname", examples: int = 10):

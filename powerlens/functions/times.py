@@ -1,8 +1,8 @@
-"""Time parsing and formatting expressions."""
+"""Time parsing, formatting and filtering."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import WINDOW_TIME_FORMATS
@@ -12,17 +12,54 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: A time of day followed by a zone: Z, UTC or an offset.
+ZONED = r"\d:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{1,2}(?::?\d{2})?)$"
+
+
+def generic_timestamp(c) -> Column:
+    """ISO text -> UTC wall clock; text with a zone or offset is converted to UTC."""
+    s = F.trim(_c(c))
+    zoned = F.regexp_replace(s, r"\s+([+-]\d|Z|UTC)", "$1")
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), zoned.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(s.rlike(ZONED), utc).otherwise(s.try_cast("timestamp_ntz"))
+
+
 def parse_window_time(c) -> Column:
-    """First matching window-table format, then a generic ISO parse; null if none."""
+    """First matching window-table format, then a generic ISO parse
+    (offsets are converted to UTC); null if none."""
     s = F.trim(_c(c))
-    tries = [F.try_to_timestamp(s, F.lit(f)) for f in WINDOW_TIME_FORMATS]
-    tries.append(s.try_cast("timestamp_ntz"))
-    return F.coalesce(*[t.cast("timestamp_ntz") for t in tries])
+    tries = [F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in WINDOW_TIME_FORMATS]
+    return F.coalesce(*tries, generic_timestamp(s))
 
 
 def coerce_timestamp(c) -> Column:
-    """Bad timestamps become null (rows are then dropped by the caller)."""
-    return _c(c).try_cast("timestamp_ntz")
+    """Bad timestamps become null (rows are then dropped by the caller);
+    offsets in the text are converted to UTC."""
+    return generic_timestamp(c)
+
+
+def local_to_utc(c, tz: str) -> Column:
+    """Inverse of B20: wall clock of zone ``tz`` -> UTC wall clock."""
+    return F.convert_timezone(F.lit(tz), F.lit("UTC"), _c(c).cast("timestamp_ntz"))
+
+
+def within(df: DataFrame, start=None, end=None, ts: str = "ts") -> DataFrame:
+    """Rows with ``start <= ts <= end`` (a missing bound is open).
+
+    When the table is partitioned by UTC ``date``, the same bounds are put on
+    it too, so that only the folders of these days are listed and read."""
+    def lit(t):
+        return F.lit(str(t)).cast("timestamp_ntz")
+
+    for bound, op in ((start, "ge"), (end, "le")):
+        if bound is None:
+            continue
+        at = bound if isinstance(bound, Column) else lit(bound)
+        df = df.where(F.col(ts) >= at if op == "ge" else F.col(ts) <= at)
+        if dict(df.dtypes).get("date") == "date":
+            day = at.cast("date")
+            df = df.where(F.col("date") >= day if op == "ge" else F.col("date") <= day)
+    return df
 
 
 def epoch_to_ts(c) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import JOULES_PER_KWH
-from ..functions.times import epoch_micros
+from ..functions.times import epoch_micros, within
 from ..functions.units import with_power_w
 
 SERIES = ("hostname", "metric", "fqdd")
@@ -257,8 +257,10 @@ def _walk(
         .withColumn("_pp", F.lag(power).over(w))
         .withColumn("_rn", F.row_number().over(w))
     )
+    # in prefix sums a NaN interval counts nothing: ``window_parts`` marks the windows that hold it
+    clean = (lambda e: F.nanvl(e, F.lit(0.0))) if narrow else (lambda e: e)
     x = x.withColumn(
-        "_e", F.when(F.col("_pu").isNotNull(), (F.col(power) + F.col("_pp")) / 2.0 * ((F.col("_us") - F.col("_pu")) / US)).otherwise(0.0)
+        "_e", F.when(F.col("_pu").isNotNull(), clean((F.col(power) + F.col("_pp")) / 2.0 * ((F.col("_us") - F.col("_pu")) / US))).otherwise(0.0)
     ).withColumn("_run", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     summ = x.groupBy(*sk, "_b").agg(
         F.min("_us").alias("_fu"),
@@ -271,7 +273,7 @@ def _walk(
     bu, bp = F.lag("_lu").over(wb), F.lag("_lp").over(wb)
     summ = summ.withColumn("_bu", bu).withColumn("_bp", bp)
     summ = summ.withColumn(
-        "_border", F.when(F.col("_bu").isNotNull(), (F.col("_bp") + F.col("_fp")) / 2.0 * ((F.col("_fu") - F.col("_bu")) / US)).otherwise(0.0)
+        "_border", F.when(F.col("_bu").isNotNull(), clean((F.col("_bp") + F.col("_fp")) / 2.0 * ((F.col("_fu") - F.col("_bu")) / US))).otherwise(0.0)
     )
     summ = summ.withColumn(
         "_off", F.sum(F.col("_t") + F.col("_border")).over(wb.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")
@@ -385,10 +387,12 @@ def window_parts(rows: DataFrame, group_keys, carry=()) -> DataFrame:
         F.max_by("power_w", o).alias("last_p"),
         F.max_by("_cum_kwh", o).alias("_lc"),
         F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.isnan("power_w")).alias("_n_nan"),
     )
+    trap = (F.col("_lc") - F.col("_fc")) * JOULES_PER_KWH
     return g.select(
         *group_keys, *carry, "first_us", "first_p", "last_us", "last_p", "n_rows",
-        ((F.col("_lc") - F.col("_fc")) * JOULES_PER_KWH).alias("_trap_j"),
+        F.when((F.col("_n_nan") > 0) & (F.col("n_rows") > 1), F.lit(float("nan"))).otherwise(trap).alias("_trap_j"),
     )
 
 
@@ -478,11 +482,7 @@ def kept_intervals(df: DataFrame, keys=None, max_gap_seconds=None, start=None, e
     """Intervals of T5/T6: readings clipped to [start, end], optional dedupe,
     then only pairs with 0 < dt <= max gap (strict ``>`` skips)."""
     keys = _keys(keys)
-    if start is not None:
-        df = df.where(F.col("ts") >= _lit_ts(start))
-    if end is not None:
-        df = df.where(F.col("ts") <= _lit_ts(end))
-    df = _gap_limit(df, max_gap_seconds)
+    df = _gap_limit(within(df, start, end), max_gap_seconds)
     pairs = intervals(df, keys + ["_max_gap"], dedupe=dedupe)
     return pairs.where((F.col("dt") > 0) & (F.col("dt") <= F.col("_max_gap")))
 
@@ -494,11 +494,7 @@ def energy_gap(df: DataFrame, keys=None, max_gap_seconds=None, start=None, end=N
     Returns ``keys + energy_kwh`` for series with at least one kept interval.
     """
     keys = _keys(keys)
-    if start is not None:
-        df = df.where(F.col("ts") >= _lit_ts(start))
-    if end is not None:
-        df = df.where(F.col("ts") <= _lit_ts(end))
-    df = _gap_limit(df, max_gap_seconds)
+    df = _gap_limit(within(df, start, end), max_gap_seconds)
     t = _series_totals(df, keys + ["_max_gap"], max_gap=F.col("_max_gap"))
     return t.where(F.col("n_pairs") > 0).select(*keys, (F.col("_trap_j") / JOULES_PER_KWH).alias("energy_kwh"))
 

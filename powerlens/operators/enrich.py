@@ -22,16 +22,15 @@ def defs_by_lower_id(defs: DataFrame) -> DataFrame:
 def enrich_compute(facts: DataFrame, nodes: DataFrame, source: DataFrame, fqdd: DataFrame, defs: DataFrame) -> DataFrame:
     """C1 (+C3): facts LEFT JOIN nodes, source, fqdd, definitions (unit).
 
-    Source, device and definition tables are small literals and broadcast.
-    The nodes table comes from the node registry, so it is joined without a
-    hint: AQE broadcasts it at run time only when its measured size is small.
+    All dimensions come from the caller and are joined without a hint: AQE
+    broadcasts one at run time only when its measured size is small.
     """
     d = defs_by_lower_id(defs).select("_mkey", "units")
     return (
         facts.join(nodes, "nodeid", "left")
-        .join(F.broadcast(source.select(F.col("id").alias("source"), F.col("source").alias("source_name"))), "source", "left")
-        .join(F.broadcast(fqdd.select(F.col("id").alias("fqdd"), F.col("fqdd").alias("fqdd_name"))), "fqdd", "left")
-        .join(F.broadcast(d), F.lower(F.col("metric")) == F.col("_mkey"), "left")
+        .join(source.select(F.col("id").alias("source"), F.col("source").alias("source_name")), "source", "left")
+        .join(fqdd.select(F.col("id").alias("fqdd"), F.col("fqdd").alias("fqdd_name")), "fqdd", "left")
+        .join(d, F.lower(F.col("metric")) == F.col("_mkey"), "left")
         .select(
             "event_id",
             "ts",
@@ -50,16 +49,17 @@ def enrich_infra(facts: DataFrame, nodes: DataFrame, defs: DataFrame) -> DataFra
     d = defs_by_lower_id(defs).select("_mkey", "units")
     return (
         facts.join(nodes, "nodeid", "inner")
-        .join(F.broadcast(d), F.lower(F.col("metric")) == F.col("_mkey"), "left")
+        .join(d, F.lower(F.col("metric")) == F.col("_mkey"), "left")
         .select("event_id", "ts", "hostname", "metric", "value", "units")
     )
 
 
 def merge_series(frames: list[DataFrame], on=("ts", "hostname")) -> DataFrame:
-    """N-way full outer join on ``on``; empty inputs are skipped and
-    colliding value columns of later frames get a ``_y`` suffix."""
+    """N-way full outer join on ``on``; inputs that are None or have no value
+    column are skipped (no job looks into them), and colliding value columns of
+    later frames get a ``_y`` suffix."""
     on = list(on)
-    frames = [f for f in frames if not f.isEmpty()] if len(frames) > 1 else frames
+    frames = [f for f in frames if f is not None and set(f.columns) - set(on)]
     if not frames:
         raise ValueError("no frames to merge")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import nodes as N
+from ..functions.times import within
 from ..functions.units import to_watts
 
 
@@ -19,23 +20,22 @@ def filter_host(df: DataFrame, hostname: str | None) -> DataFrame:
     return df if hostname is None else df.where(F.col("hostname") == hostname)
 
 
-def filter_time(df: DataFrame, start=None, end=None, limit: int = 100) -> DataFrame:
+def filter_time(df: DataFrame, start=None, end=None, limit: int | None = None) -> DataFrame:
     """B2 (+S1/D9): both bounds -> inclusive BETWEEN; start only -> ``>=``;
-    end only -> ValueError; neither -> the ``limit`` oldest rows."""
+    end only -> ValueError; neither -> all rows, or the ``limit`` oldest when
+    one is asked for."""
     if start is None and end is not None:
         raise ValueError("end_time cannot be specified without start_time")
-    if start is not None and end is not None:
-        return df.where(F.col("ts").between(_ts(start), _ts(end)))
     if start is not None:
-        return df.where(F.col("ts") >= _ts(start))
-    return oldest_n(df, limit)
+        return within(df, start, end)
+    return df if limit is None else oldest_n(df, limit)
 
 
-def scan(readings: DataFrame, metric: str, hostname=None, start=None, end=None, limit: int = 100) -> DataFrame:
+def scan(readings: DataFrame, metric: str, hostname=None, start=None, end=None, limit: int | None = None) -> DataFrame:
     """A1-A3: readings of one metric (case-insensitive), host/time filtered.
 
-    Output columns ``ts, hostname, fqdd, value, units`` (+ metric), ascending.
-    On a partitioned table the metric predicate prunes partitions and the
+    Output columns ``ts, hostname, fqdd, value, units`` (+ metric), unordered.
+    On a partitioned table the metric and the days prune partitions and the
     time predicate reaches the Parquet scan as a pushed filter.
     """
     df = readings.where(F.lower(F.col("metric")) == metric.lower())
@@ -43,7 +43,7 @@ def scan(readings: DataFrame, metric: str, hostname=None, start=None, end=None,
     return df.select("event_id", "ts", "hostname", "fqdd", "metric", "value", "units")
 
 
-def scan_pdu(readings: DataFrame, hostname=None, start=None, end=None, limit: int = 100) -> DataFrame:
+def scan_pdu(readings: DataFrame, hostname=None, start=None, end=None, limit: int | None = None) -> DataFrame:
     """A3: the single PDU table, unit constant 'W'."""
     return scan(readings.where(F.col("node_type") == "pdu"), "pdu", hostname, start, end, limit).withColumn(
         "units", F.lit("W")
@@ -59,7 +59,7 @@ def recent_n(df: DataFrame, n: int = 100, now=None, hours: float | None = 1.0) -
     """Newest ``n`` rows within the last ``hours`` before ``now``."""
     if now is not None and hours is not None:
         lo = F.timestamp_add("SECOND", F.lit(int(hours * 3600)) * -1, _ts(now))
-        df = df.where((F.col("ts") >= lo) & (F.col("ts") <= _ts(now)))
+        df = within(df, lo, now)
     return df.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n)
 
 
@@ -82,7 +82,7 @@ def power_metric_ids(defs: DataFrame) -> DataFrame:
 def oldest_n_per_metric(readings: DataFrame, defs: DataFrame, hostname: str | None, n: int) -> DataFrame:
     """First ``n`` readings of every power metric (definitions semi-join)."""
     df = filter_host(readings, hostname)
-    df = df.join(F.broadcast(power_metric_ids(defs)), "metric", "left_semi")
+    df = df.join(power_metric_ids(defs), "metric", "left_semi")
     return top_n_per(df, ["hostname", "metric"], n, newest=False)
 
 
@@ -103,37 +103,18 @@ def high_power_events(df: DataFrame, threshold: float = 1000.0, n: int = 10) ->
 
 
 def nodeid_recent(readings: DataFrame, defs: DataFrame, nodeid: int | None, now, hours: float = 24) -> DataFrame:
-    """Power readings (watts) of one nodeid in the last ``hours``, newest first."""
+    """Power readings (watts) of one nodeid in the last ``hours``, unordered."""
     lo = F.timestamp_add("SECOND", F.lit(-int(hours * 3600)), _ts(now))
-    df = readings.where((F.col("ts") >= lo) & (F.col("ts") <= _ts(now)))
+    df = within(readings, lo, now)
     if nodeid is not None:
         df = df.where(F.col("nodeid") == nodeid)
-    df = df.join(F.broadcast(power_metric_ids(defs)), "metric", "left_semi")
+    df = df.join(power_metric_ids(defs), "metric", "left_semi")
     return df.select("event_id", "ts", "nodeid", "hostname", "metric", "fqdd", to_watts().alias("value"))
 
 
 # --------------------------------------------------------------------------
 # definition filters
 
-COMPUTE_DEF_RULES = {
-    "all": ([], []),
-    "power": (["mW", "W", "kW"], ["Power"]),
-    "power_units": (["mW", "W", "kW"], []),
-    "temperature": (["C", "F", "K"], ["Temperature", "Temp"]),
-}
-
-INFRA_DEF_RULES = {
-    "all": ([], []),
-    "power": (["kW", "W", "mW"], ["Power"]),
-    "temperature": (["C", "F", "K"], ["Temperature"]),
-    "compressor": ([], ["Compressor"]),
-    "air": ([], ["Air", "Filter", "Flow"]),
-    "run_hours": ([], ["Run", "Hours"]),
-    "humidity": ([], ["Humidity", "RH"]),
-    "pressure": (["Pa", "kPa", "bar", "psi"], ["Pressure"]),
-}
-
-
 def _def_filter(defs: DataFrame, units, words, name_col: str) -> DataFrame:
     if not units and not words:
         return defs
@@ -146,14 +127,14 @@ def _def_filter(defs: DataFrame, units, words, name_col: str) -> DataFrame:
 
 
 def defs_compute(defs: DataFrame, kind: str) -> DataFrame:
-    """Compute definition filters (``LIKE '%x%'`` on metric_name), by metric_name."""
-    units, words = COMPUTE_DEF_RULES[kind]
+    """Compute definition filters (``LIKE '%x%'`` on metric_name)."""
+    units, words = K.COMPUTE_DEF_RULES[kind]
     return _def_filter(defs, units, words, "metric_name")
 
 
 def defs_infra(defs: DataFrame, kind: str) -> DataFrame:
-    """Infra definition filters on metric_id, by metric_id."""
-    units, words = INFRA_DEF_RULES[kind]
+    """Infra definition filters on metric_id."""
+    units, words = K.INFRA_DEF_RULES[kind]
     return _def_filter(defs, units, words, "metric_id")
 
 

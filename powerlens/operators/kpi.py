@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.times import within
 from ..sources import dimensions
 from . import energy as E
 
@@ -195,7 +196,7 @@ def rack_cop_daily(spark: SparkSession, readings: DataFrame, start, end, max_gap
 
 def device_energy(readings: DataFrame, start, end) -> DataFrame:
     """T11 over the window: per device T3 energy plus a TOTAL row per (host, metric)."""
-    readings = readings.where(F.col("ts").between(_ts(start), _ts(end)))
+    readings = within(readings, start, end)
     return E.energy_per_fqdd(readings, start, end)
 
 
@@ -214,7 +215,7 @@ def node_energy(spark: SparkSession, readings: DataFrame, start, end) -> DataFra
     from .filters import metrics_for_node
 
     wanted = F.broadcast(metrics_for_node(dimensions.inventory(spark)).select("hostname", "metric"))
-    r = readings.where(F.col("ts").between(_ts(start), _ts(end))).join(wanted, ["hostname", "metric"], "left_semi")
+    r = within(readings, start, end).join(wanted, ["hostname", "metric"], "left_semi")
     return E.energy_hold(r, ["hostname", "metric", "fqdd"], start, end).groupBy("hostname", "metric").agg(
         F.sum("energy_kwh").alias("energy_kwh")
     )
@@ -224,7 +225,7 @@ def multi_node_energy(readings: DataFrame, start, end) -> DataFrame:
     """T3 energy for every host and metric, with its database."""
     from ..functions.nodes import node_database
 
-    r = readings.where(F.col("ts").between(_ts(start), _ts(end)))
+    r = within(readings, start, end)
     e = E.energy_boundary(r, ["hostname", "metric", "fqdd"], start, end)
     return e.groupBy("hostname", "metric").agg(F.sum("energy_kwh").alias("energy_kwh")).withColumn(
         "database", node_database("hostname")
@@ -238,7 +239,7 @@ def metric_energy_table(readings: DataFrame, start, end) -> DataFrame:
     from ..functions.times import epoch_micros
     from .windows import _guard
 
-    r = readings.where(F.col("metric").isin(K.NODE_ENERGY_TABLE_METRICS) & F.col("ts").between(_ts(start), _ts(end)))
+    r = within(readings, start, end).where(F.col("metric").isin(K.NODE_ENERGY_TABLE_METRICS))
     r = r.withColumn("start_ts", _ts(start)).withColumn("end_ts", _ts(end))
     # guard per (host, metric) from the metric's first/last reading, devices integrated apart
     parts = E.boundary_parts(r, ["hostname", "metric", "fqdd", "start_ts", "end_ts"])
@@ -334,9 +335,7 @@ def component_share(readings: DataFrame, start, end) -> DataFrame:
 
 def cpu_fqdd_share(readings: DataFrame, start, end) -> DataFrame:
     """CPU energy per device (CPU metrics with devices)."""
-    cpu = readings.where(
-        F.col("metric").isin(K.METRIC_CATEGORIES["CPU"]) & F.col("fqdd").isNotNull() & F.col("ts").between(_ts(start), _ts(end))
-    )
+    cpu = within(readings, start, end).where(F.col("metric").isin(K.METRIC_CATEGORIES["CPU"]) & F.col("fqdd").isNotNull())
     d = E.energy_per_fqdd(cpu, start, end)
     return d.where(F.col("fqdd") != "TOTAL").select("hostname", "metric", "fqdd", "energy_kwh")
 
@@ -428,7 +427,7 @@ def rack_validation(spark: SparkSession, readings: DataFrame, start, end) -> Dat
     bounds), estimate, raw and adjusted differences, verdict."""
     inv = F.broadcast(dimensions.inventory(spark).select("hostname", "rack", F.col("node_type").alias("_nt")))
     m = F.lower(F.col("metric"))
-    r = readings.where(((m == "systeminputpower") | (m == "pdu")) & F.col("ts").between(_ts(start), _ts(end)))
+    r = within(readings, start, end).where((m == "systeminputpower") | (m == "pdu"))
     e = E.energy_boundary(r, ["hostname", "metric", "fqdd"], start, end)
     e = e.join(inv, "hostname")
     per = e.groupBy("rack").agg(
@@ -504,7 +503,7 @@ def node_result_summary(spark: SparkSession, readings: DataFrame, start, end) ->
     """Per host status flags, records, avg/max W, energy summed over metrics."""
     from ..functions.units import to_watts
 
-    r = readings.where(F.col("ts").between(_ts(start), _ts(end)))
+    r = within(readings, start, end)
     p = r.groupBy("hostname").agg(
         F.count(F.lit(1)).alias("total_records"), F.avg(to_watts()).alias("avg_power_w"), F.max(to_watts()).alias("max_power_w")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.times import epoch_micros
+from ..functions.times import epoch_micros, within
 from ..functions.units import to_watts
 from . import energy as E
 
@@ -86,9 +86,10 @@ def power_temp_full_join(power: DataFrame, temp: DataFrame, now, hours: float =
     """C4: FULL OUTER JOIN power x temperature on (nodeid, ts), either side recent."""
     p = power.select(F.col("nodeid").alias("p_nodeid"), F.col("ts").alias("p_ts"), F.col("value").alias("p_value"))
     t = temp.select(F.col("nodeid").alias("t_nodeid"), F.col("ts").alias("t_ts"), F.col("value").alias("t_value"))
-    j = p.join(t, (p["p_nodeid"] == t["t_nodeid"]) & (p["p_ts"] == t["t_ts"]), "full")
     lo = F.timestamp_add("SECOND", F.lit(-int(hours * 3600)), _ts(now))
-    return j.where((F.col("p_ts") >= lo) | (F.col("t_ts") >= lo))
+    # the time is a join key, so rows that are too old match none that isn't: both scans are cut
+    p, t = p.where(F.col("p_ts") >= lo), t.where(F.col("t_ts") >= lo)
+    return p.join(t, (p["p_nodeid"] == t["t_nodeid"]) & (p["p_ts"] == t["t_ts"]), "full")
 
 
 def power_temp_cluster_summary(power: DataFrame, temp: DataFrame, now, hours: float = 1) -> DataFrame:
@@ -123,7 +124,7 @@ def host_summary(readings: DataFrame, with_std: bool = True) -> DataFrame:
 
 def nodeid_summary(readings: DataFrame, metric: str, start, end) -> DataFrame:
     """Per nodeid AVG/MIN/MAX/COUNT/STDDEV of one metric, by avg desc."""
-    df = readings.where((F.lower("metric") == metric.lower()) & F.col("ts").between(_ts(start), _ts(end)))
+    df = within(readings, start, end).where(F.lower("metric") == metric.lower())
     return (
         df.groupBy("nodeid")
         .agg(
@@ -350,7 +351,7 @@ def validate_readings_long(df: DataFrame) -> DataFrame:
 
 def system_overview(readings: DataFrame, start, end) -> DataFrame:
     """Records, distinct metrics, window hours, healthy/no_data (one row)."""
-    df = readings.where(F.col("ts").between(_ts(start), _ts(end)))
+    df = within(readings, start, end)
     hours = (epoch_micros(_ts(end)) - epoch_micros(_ts(start))) / 3.6e9
     return df.agg(F.count(F.lit(1)).alias("total_records"), F.countDistinct("metric").alias("metrics_count")).select(
         F.when(F.col("total_records") > 0, "healthy").otherwise("no_data").alias("status"),
@@ -418,12 +419,11 @@ def definition_counts(defs: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def detect_anomalies(
-    df: DataFrame, window_size: int | None = None, k: float = 2.0, keys=E.SERIES, chunk_rows: int = 1 << 20
+    df: DataFrame, window_size: int, k: float = 2.0, keys=E.SERIES, chunk_rows: int = 1 << 20
 ) -> DataFrame:
     """Centred rolling mean/std of ``power_w`` per series; anomaly when
     |p - mean| > k x std.  Incomplete windows are not anomalous; a window of
-    1 or less flags nothing.  ``window_size`` defaults to min(50, n // 10) of
-    the whole input (one count).
+    1 or less flags nothing.
 
     Skew: rows get their position in the series (``series_index``), series
     are cut into chunks of ``chunk_rows`` consecutive rows, and each chunk
@@ -434,8 +434,6 @@ def detect_anomalies(
     keys = list(keys)
     if "power_w" not in df.columns:
         df = df.withColumn("power_w", to_watts())
-    if window_size is None:
-        window_size = min(50, df.count() // 10)
     w = int(window_size)
     if w <= 1:
         return df.withColumn("power_rolling_mean", F.lit(None).cast("double")).withColumn(
@@ -467,13 +465,18 @@ def detect_anomalies(
     return out.withColumn("is_anomaly", F.coalesce(flag, F.lit(False)))
 
 
-def clean_readings(df: DataFrame, now, threshold: float = 3.0, remove_outliers: bool = True, keys=None) -> DataFrame:
-    """Q1: keep 0 <= W <= 10 kW and non-null, non-future timestamps; then,
-    when more than 10 rows remain, |z| < threshold.  Zero variance -> z = 0
-    (rows kept, D10).  ``keys`` = per-series statistics instead of global."""
+def clean_readings(
+    df: DataFrame, now, max_watts: float | None, min_rows: int, threshold: float = 3.0, remove_outliers: bool = True, keys=None
+) -> DataFrame:
+    """Q1: keep 0 <= W <= ``max_watts`` (None: no upper bound) and non-null,
+    non-future timestamps; then |z| < threshold in groups of more than
+    ``min_rows`` rows.  Zero variance -> z = 0 (rows kept, D10).  ``keys`` =
+    per-series statistics instead of global."""
     if "power_w" not in df.columns:
         df = df.withColumn("power_w", to_watts())
-    d = df.where((F.col("power_w") >= 0) & (F.col("power_w") <= K.MAX_NODE_WATTS))
+    d = df.where(F.col("power_w") >= 0)
+    if max_watts is not None:
+        d = d.where(F.col("power_w") <= max_watts)
     d = d.where(F.col("ts").isNotNull() & (F.col("ts") <= _ts(now)))
     if not remove_outliers:
         return d
@@ -484,11 +487,11 @@ def clean_readings(df: DataFrame, now, threshold: float = 3.0, remove_outliers:
         )
         st = st.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_m", "_s", "_n")
         j = d.join(st, [d[k].eqNullSafe(st[f"_k_{k}"]) for k in keys]).drop(*[f"_k_{k}" for k in keys])
-        keep = (F.col("_n") <= 10) | (z(F.col("_m"), F.col("_s")) < threshold)
+        keep = (F.col("_n") <= min_rows) | (z(F.col("_m"), F.col("_s")) < threshold)
         return j.where(keep).drop("_m", "_s", "_n")
     # global statistics: three scalars from one aggregate, used as literals
     row = d.agg(F.count(F.lit(1)).alias("n"), F.avg("power_w").alias("m"), F.stddev_samp("power_w").alias("s")).first()
-    if row["n"] <= 10:
+    if row["n"] <= min_rows:
         return d
     m = F.lit(row["m"]).cast("double")
     s = F.lit(row["s"]).cast("double")

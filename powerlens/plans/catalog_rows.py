@@ -247,7 +247,7 @@ def defs_with_usage(spark, sf):
 
 
 def _reg_defs(kind: str, infra: bool):
-    rules = B.INFRA_DEF_RULES if infra else B.COMPUTE_DEF_RULES
+    rules = K.INFRA_DEF_RULES if infra else K.COMPUTE_DEF_RULES
     units, words = rules[kind]
     col = "metric_id" if infra else "metric_name"
     name = f"defs_infra_{kind}" if infra else f"defs_{kind}"
@@ -260,9 +260,9 @@ def _reg_defs(kind: str, infra: bool):
     return q
 
 
-for _k in B.COMPUTE_DEF_RULES:
+for _k in K.COMPUTE_DEF_RULES:
     _reg_defs(_k, False)
-for _k in B.INFRA_DEF_RULES:
+for _k in K.INFRA_DEF_RULES:
     _reg_defs(_k, True)
 
 

@@ -281,7 +281,7 @@ SELECT c.event_id, c.ts, c.hostname, c.fqdd, c.metric, c.value, c.units, {R('c.p
 FROM c JOIN st ON c.hostname = st.hostname AND c.metric = st.metric AND c.fqdd IS NOT DISTINCT FROM st.fqdd
 WHERE st.n <= 10 OR coalesce(abs(c.power_w - st.m) / nullif(st.s, 0), 0.0) < 3.0""")
 def q_clean_readings(spark, sf):
-    c = ST.clean_readings(CR(spark, sf), P.NOW, 3.0, True, keys=list(E.SERIES))
+    c = ST.clean_readings(CR(spark, sf), P.NOW, K.MAX_NODE_WATTS, 10, keys=list(E.SERIES))
     return rounded(c.select("event_id", "ts", "hostname", "fqdd", "metric", "value", "units", "power_w"))
 
 

@@ -54,8 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session (or the context's
-    checkpoint directory).  Only when neither is set (local tests) a scratch
-    folder is created and registered.
+    checkpoint directory).  When neither is set, a run in one process (tests)
+    gets a scratch folder; on a cluster, where executors would each write to
+    their own disk, this is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -65,6 +66,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001  (no context available, e.g. a remote session)
         sc = None
     if not d:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="powerlens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

@@ -191,7 +191,7 @@ def compute_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         "ts",
         "nodeid",
-        F.lit(1).alias("source"),
+        F.when(F.col("event_id").isNotNull(), 1).alias("source"),  # a column, so the join on it stays an equi-join
         F.regexp_extract("fqdd", "[0-9]+", 0).try_cast("int").alias("fqdd"),
         "metric",
         "value",

@@ -55,27 +55,27 @@ def loop_gap(pts, gap):
 
 
 def loop_daily(pts, gap):
-    out = {}
-    dedup, seen = [], set()
-    for t, eid, p in pts:
-        if t not in seen:
-            seen.add(t)
-            dedup.append((t, eid, p))
-    for (t0, _, p0), (t1, _, p1) in zip(dedup, dedup[1:]):
-        dt = secs(t0, t1)
-        if not (0 < dt <= gap):
+    """Each kept pair is a line p(t); every day that it touches gets the area under its own part,
+    mean of the line's two end values there times their distance."""
+    firsts = {}
+    for t, eid, p in sorted(pts, key=lambda x: (x[0], x[1]), reverse=True):
+        firsts[t] = p  # of equal times the smallest id stays
+    line = sorted(firsts.items())
+    area = {}
+    for (a, pa), (b, pb) in zip(line, line[1:]):
+        if secs(a, b) > gap:
             continue
-        cur_t, cur_p = t0, p0
-        nxt = datetime(t0.year, t0.month, t0.day) + timedelta(days=1)
-        while nxt < t1:
-            pb = p0 + (p1 - p0) * secs(t0, nxt) / dt
-            k = cur_t.date().isoformat()
-            out[k] = out.get(k, 0.0) + (cur_p + pb) / 2 * secs(cur_t, nxt)
-            cur_t, cur_p = nxt, pb
-            nxt += timedelta(days=1)
-        k = cur_t.date().isoformat()
-        out[k] = out.get(k, 0.0) + (cur_p + p1) / 2 * secs(cur_t, t1)
-    return {k: v / 3.6e6 for k, v in out.items()}
+
+        def power(t):
+            return pa + (pb - pa) * secs(a, t) / secs(a, b)
+
+        for n in range((b.date() - a.date()).days + 1):
+            midnight = datetime.combine(a.date() + timedelta(days=n), datetime.min.time())
+            lo, hi = max(a, midnight), min(b, midnight + timedelta(days=1))
+            if lo < hi:
+                day = midnight.date().isoformat()
+                area[day] = area.get(day, 0.0) + 0.5 * (power(lo) + power(hi)) * secs(lo, hi)
+    return {k: v / 3.6e6 for k, v in area.items()}
 
 
 def loop_boundary(pts, s, e):

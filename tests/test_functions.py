@@ -104,7 +104,7 @@ def test_write_report_skips_empty_and_raises_when_nothing(spark, tmp_path):
     full = spark.createDataFrame([(1,)], "a int")
     empty = full.where("a > 1")
     out = SK.write_report({"full": full, "empty": empty, "x" * 40: full}, str(tmp_path / "rep"))
-    assert [n for n, _ in out] == ["full", "x" * 31]
+    assert [n for n, _ in out] == ["full", "x" * 40]
     with pytest.raises(ValueError):
         SK.write_report({"empty": empty}, str(tmp_path / "rep2"))
 
@@ -131,3 +131,46 @@ def test_strict_host_check(spark):
     assert [r["node_type"] for r in N.check_known_hosts(ok).collect()] == ["compute", "irc"]
     with pytest.raises(ValueError, match="foo-1"):
         N.check_known_hosts(ok.union(spark.createDataFrame([("foo-1",)], "hostname string")))
+
+
+def test_node_lists_of_any_depth(spark):
+    def hosts(text):
+        return [r["hostname"] for r in N.explode_nodelist(spark.createDataFrame([(text,)], "nodelist string")).collect()]
+
+    assert hosts("a[1-2]b[1]c[1]d[1]e[1-2]") == ["a1b1c1d1e1", "a1b1c1d1e2", "a2b1c1d1e1", "a2b1c1d1e2"]
+    assert hosts("n[08-10,3]x, m ,") == ["n08x", "n09x", "n10x", "n3x", "m"]
+    assert hosts(None) == hosts("") == []
+    for bad in ("n[x-2]", "n[2-1]", "n[1", "n]1["):
+        with pytest.raises(Exception, match="node list"):
+            hosts(bad)
+
+
+def test_offsets_become_utc(spark):
+    df = spark.createDataFrame([("2025-12-06 17:10:00-05:00",), ("2025-12-06T17:10:00Z",), ("2025-12-06 17:10:00 +0530",), ("2025-12-06 17:10:00",),
+                                ("12/06/25 17:10",), ("2025-12-06",), ("17:10-05",), ("bad",), (None,)], "s string")
+    want = ["2025-12-06 22:10:00", "2025-12-06 17:10:00", "2025-12-06 11:40:00", "2025-12-06 17:10:00", "2025-12-06 17:10:00", "2025-12-06 00:00:00"]
+    got = [str(r["t"]) if r["t"] else None for r in df.select(TM.parse_window_time("s").alias("t")).collect()]
+    assert got[:6] == want and got[7:] == [None, None]
+    got = [str(r["t"]) if r["t"] else None for r in df.select(TM.coerce_timestamp("s").alias("t")).collect()]
+    assert got[:4] == want[:4] and got[4] is None
+    back = df.limit(1).select(TM.local_to_utc(F.lit("2025-07-01 12:00:00"), "America/Chicago").alias("t")).first()["t"]
+    assert str(back) == "2025-07-01 17:00:00"
+
+
+def test_skipped_window_rows_are_counted(spark, tmp_path):
+    from powerlens.sources import sinks as SK
+
+    p = str(tmp_path / "w.csv")
+    spark.createDataFrame([(1, "2025-01-01 00:00", "2025-01-02 00:00"), (2, "?", "2025-01-02 00:00")], "Rank int, `Start time` string, `End time` string").write.option("header", True).csv(p)
+    assert tuple(SK.skipped_windows(spark, p).first()) == (2, 1)
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error(monkeypatch):
+    from types import SimpleNamespace
+
+    from powerlens.session import checkpoint_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session)

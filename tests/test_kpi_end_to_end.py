@@ -113,3 +113,27 @@ def test_empty_window(spark):
     assert ST.idle_power(r).count() == 0
     v = ST.validate_readings(r).collect()[0]
     assert (v["total_records"], v["is_valid"]) == (0, False)
+
+
+def test_nan_reading_spoils_only_its_own_window(spark, readings):
+    from powerlens.operators import windows as W
+
+    rows = [(f"2025-01-0{d} 0{h}:00:00", float("nan") if (d, h) == (1, 1) else 100.0) for d in (1, 2, 3) for h in range(4)]
+    df = readings(rows, hostname="rpc-91-1", metric="SystemInputPower")
+    win = spark.createDataFrame([(d, "rpc-91-1", f"2025-01-0{d} 00:00:00", f"2025-01-0{d} 03:00:00") for d in (1, 2, 3)],
+                                "window_id long, hostname string, start_ts string, end_ts string")
+    win = win.select("window_id", "hostname", F.col("start_ts").cast("timestamp_ntz"), F.col("end_ts").cast("timestamp_ntz"))
+    got = {r["window_id"]: r["energy_kwh"] for r in W.window_energy(df, win).collect()}
+    assert got[1] != got[1] and got[2] == pytest.approx(0.3) and got[3] == pytest.approx(0.3)
+
+
+def test_gpu_rows_without_a_device_are_skipped(spark, readings):
+    from powerlens.operators import windows as W
+
+    rows = [(f"2025-01-01 0{h}:00:00", 100.0) for h in range(4)]
+    a = readings(rows, hostname="rpg-93-1", metric="PowerConsumption", fqdd="gpu.1")
+    b = readings(rows, hostname="rpg-93-1", metric="PowerConsumption")
+    job = spark.createDataFrame([(1, "u", "rpg-93-1", "2025-01-01 00:00:00", "2025-01-01 03:00:00")],
+                                "job_id long, job_user string, nodelist string, start_ts string, end_ts string")
+    job = job.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
+    assert [r["energy_kwh"] for r in W.job_energy(a.unionByName(b), job).collect()] == [pytest.approx(0.3)]

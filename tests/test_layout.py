@@ -1,8 +1,7 @@
 """Production layout: partition pruning and pushed filters on the readings table."""
 
-from pyspark.sql import functions as F
-
 from powerlens.operators import filters as B
+from powerlens.operators import kpi
 from powerlens.sources import sinks as SK
 from powerlens.sources import telemetry as T
 
@@ -12,15 +11,27 @@ SF = "/root/testdata/sf0.001"
 def test_written_readings_prune_and_roundtrip(spark, tmp_path):
     path = str(tmp_path / "readings")
     rd = T.readings(spark, SF)
-    SK.write_readings(rd, path, files_per_partition=2)
+    SK.write_readings(rd, path)
     back = T.parquet_readings(spark, path)
-    q = B.scan(back.where(F.col("date") >= F.lit("2024-01-10").cast("date")), "SystemInputPower", None,
-               "2024-01-10 00:00:00", "2024-01-20 00:00:00")
+    q = B.scan(back, "SystemInputPower", None, "2024-01-10 00:00:00", "2024-01-20 00:00:00")
     plan = q._jdf.queryExecution().executedPlan().toString()
+    days = plan.split("PartitionFilters")[1].split("]")[0]
+    assert "date" in days and "2024-01-10" in days and "2024-01-20" in days
     assert "PartitionFilters" in plan and "metric" in plan.split("PartitionFilters")[1][:300]
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
-    want = B.scan(rd.where(F.to_date("ts") >= F.lit("2024-01-10").cast("date")), "SystemInputPower", None,
-                  "2024-01-10 00:00:00", "2024-01-20 00:00:00")
+    want = B.scan(rd, "SystemInputPower", None, "2024-01-10 00:00:00", "2024-01-20 00:00:00")
     cols = ["event_id", "ts", "hostname", "fqdd", "metric", "value", "units"]
     assert {r["database"] for r in back.select("database").distinct().collect()} == {"infra", "zen4", "h100"}
     assert sorted(map(tuple, q.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_kpis_prune_days(spark, tmp_path):
+    path = str(tmp_path / "readings")
+    SK.write_readings(T.readings(spark, SF), path)
+    back = T.parquet_readings(spark, path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for df in (kpi.pue_daily(spark, back, "2024-01-10 00:00:00", "2024-01-12 00:00:00"),
+               kpi.rack_validation(spark, back, "2024-01-10 00:00:00", "2024-01-12 00:00:00")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scans = [x.split("]")[0] for x in plan.split("PartitionFilters")[1:]]
+        assert scans and all("date" in x and "2024-01-10" in x for x in scans)

@@ -61,12 +61,12 @@ def test_rolling_odd_window(spark):
 
 def test_g19_zero_variance_kept(spark):
     df = _series(spark, [5] * 12)
-    assert ST.clean_readings(df, "2030-01-01 00:00:00").count() == 12
+    assert ST.clean_readings(df, "2030-01-01 00:00:00", 10_000, 10).count() == 12
 
 
 def test_clean_drops_outlier_and_range(spark):
     vals = [100] * 30 + [100000, -5, 5000]
-    out = ST.clean_readings(_series(spark, vals), "2030-01-01 00:00:00")
+    out = ST.clean_readings(_series(spark, vals), "2030-01-01 00:00:00", 10_000, 10)
     kept = sorted(r["value"] for r in out.collect())
     assert 100000.0 not in kept and -5.0 not in kept
     assert 5000.0 not in kept  # z-score > 3 among the remaining 31 rows
