@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, free_name, small_batches, stored, without
@@ -41,7 +41,7 @@ MAX_LABELLED = 20_000
 MAX_WORDS = 5_000
 MOST_REPEATS = 4
 CHANCE = 0.01  # expected number of words that enter by chance
-REJECT_AT = 0.5  # expected grade from which a text is rejected
+REJECT_AT = 1.0  # expected grade from which a text is rejected: the mildest toxic one
 GRADE_ENDS = (2, 4)  # words of grade 1 and of grade 2, at most
 STEMS = (4, 5, 6)  # letters of the beginnings of words that are features
 SHARED = 12  # words at a text's beginning, middle and end by which copies are known
@@ -150,9 +150,10 @@ def fit(
     rows = docs.select(column("doc_id").alias("doc_id"), column(text).alias("text")).join(F.broadcast(known), "doc_id")  # max_labelled rows
     rows = rows.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), read("text").alias("read"))
     rows = stored(rows.select("toxic", "read.*", F.xxhash64("doc_id", "read").alias("row")), "labelled")
-    least_row = [F.min("row").over(Window.partitionBy(F.col("shared")[k])) for k in range(3)]
-    rows = stored(rows.withColumns({f"least{k}": w for k, w in enumerate(least_row)}).where(
-        (F.col("row") == F.col("least0")) & (F.col("row") == F.col("least1")) & (F.col("row") == F.col("least2"))).select("toxic", "words"), "labelled")
+    for k in range(3):  # one row for each beginning, middle and end; max_labelled numbers at most
+        firsts = rows.groupBy(F.col("shared")[k]).agg(F.min("row").alias("row")).select("row")
+        alone = firsts if k == 0 else alone.join(firsts, "row", "left_semi")
+    rows = stored(rows.join(F.broadcast(alone), "row", "left_semi").select("toxic", "words"), "labelled")
     n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
         return Model({}, [])

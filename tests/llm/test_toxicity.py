@@ -34,7 +34,7 @@ def test_held_out_accuracy(spark):
     assert len(wrong) <= 8, len(wrong)
     # more rude words: no lower severity
     by_count = [model.severity(" ".join(RUDE[:k])) for k in range(6)]
-    assert by_count == sorted(by_count) and by_count[0] < 0.5 < by_count[2]
+    assert by_count == sorted(by_count) and by_count[0] < 0.5 and by_count[2] >= toxicity.REJECT_AT
     kept = toxicity.keep_mild(docs, model)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i in out if out[i] < toxicity.REJECT_AT}
