@@ -162,15 +162,15 @@ def power_statistics(df: DataFrame, keys=E.SERIES) -> DataFrame:
     st = df.groupBy(*keys).agg(
         n.alias("count"),
         F.avg(p).alias("mean_power_w"),
-        F.percentile(p, 0.5).alias("median_power_w"),
+        F.percentile(p, [0.25, 0.5, 0.75]).alias("_q"),  # one buffer for all three
         F.stddev_samp(p).alias("std_power_w"),
         F.min(p).alias("min_power_w"),
         F.max(p).alias("max_power_w"),
-        F.percentile(p, 0.25).alias("q25_power_w"),
-        F.percentile(p, 0.75).alias("q75_power_w"),
         F.when(n > 1, span).otherwise(F.lit(0.0)).alias("time_range_hours"),
         F.when((n > 1) & (span > 0), n / span).otherwise(F.lit(0.0)).alias("data_points_per_hour"),
     )
+    quartiles = {name: F.col("_q")[i] for i, name in enumerate(("q25_power_w", "median_power_w", "q75_power_w"))}
+    st = st.withColumns(quartiles).drop("_q")
     en = _series_energy(df, keys)
     j = st.join(en, [st[k].eqNullSafe(en[f"_e_{k}"]) for k in keys], "left")
     return j.select(

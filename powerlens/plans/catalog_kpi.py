@@ -437,10 +437,7 @@ def q_write_report(spark, sf):
     from functools import reduce
 
     from ..operators import stats as ST
-    from ..session import materialize
-
-    # the readings feed every dataset of the report: checkpointed once in the shared folder
-    ir = materialize(IR(spark, sf))
+    ir = IR(spark, sf)
     sets = {
         "pue_daily": rounded(kpi.pue_daily(spark, ir, P.START, P.END, P.MAX_GAP)),
         "pdu_readings": ir.where(F.col("node_type") == "pdu"),

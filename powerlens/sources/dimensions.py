@@ -7,7 +7,6 @@ so joins to them are broadcast.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import constants as K
 

@@ -1,7 +1,6 @@
 """Hand-computed energy cases (FIXTURES.md section 2, G1-G9)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from powerlens.operators import energy as E
 
