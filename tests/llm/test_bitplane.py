@@ -1,6 +1,5 @@
 """Id files: planes, round trip, and encoding against the tokenizers library."""
 
-import io
 import zlib
 
 import numpy as np
