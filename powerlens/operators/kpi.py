@@ -483,19 +483,25 @@ def rack_power_comparison(spark: SparkSession, readings: DataFrame, start, end)
 
 
 def rack_summary(spark: SparkSession, readings: DataFrame, start, end) -> DataFrame:
-    """Per rack nodes analysed, total and average energy per node (T9), status."""
-    ne = node_energy(spark, readings, start, end)
-    inv = F.broadcast(dimensions.inventory(spark).select("hostname", "rack"))
-    per_node = ne.groupBy("hostname").agg(F.sum("energy_kwh").alias("energy_kwh")).join(inv, "hostname")
-    return per_node.groupBy("rack").agg(
-        F.count(F.lit(1)).alias("nodes_analyzed"),
-        F.sum("energy_kwh").alias("total_energy_kwh"),
-    ).select(
-        "rack",
-        F.lit("success").alias("status"),
-        "nodes_analyzed",
-        "total_energy_kwh",
-        (F.col("total_energy_kwh") / F.col("nodes_analyzed")).alias("avg_energy_per_node"),
+    """Per rack of the inventory nodes analysed, total and average energy
+    per node (T9) and status (``no_data``: no node of the rack has readings).
+
+    The total adds overlapping metrics and node types (D15); the totals per
+    node type stand beside it.
+    """
+    ne = node_energy(spark, readings, start, end).groupBy("hostname").agg(F.sum("energy_kwh").alias("e"))
+    inv = dimensions.inventory(spark).select("hostname", "rack", "node_type")
+    nodes = inv.join(ne, "hostname", "left")
+    n, total = F.count("e"), F.coalesce(F.sum("e"), F.lit(0.0))
+    by_type = [
+        F.coalesce(F.sum(F.when(F.col("node_type") == t, F.col("e"))), F.lit(0.0)).alias(f"{t}_energy_kwh") for t in ("irc", "pdu", "compute")
+    ]
+    return nodes.groupBy("rack").agg(
+        F.when(n > 0, "success").otherwise("no_data").alias("status"),
+        n.alias("nodes_analyzed"),
+        total.alias("total_energy_kwh"),
+        F.when(n > 0, total / n).otherwise(0.0).alias("avg_energy_per_node"),
+        *by_type,
     )
 
 

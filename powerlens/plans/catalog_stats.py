@@ -340,9 +340,11 @@ def q_energy_with_totals(spark, sf):
 
 
 @query("rack_summary", lambda: _node_energy_sql(f"""
-, pn AS (SELECT n.hostname, i.rack, sum(n.energy_kwh) AS e FROM ne n JOIN inv i ON n.hostname = i.hostname GROUP BY n.hostname, i.rack)
-SELECT rack, 'success' AS status, count(*) AS nodes_analyzed, {R('sum(e)', 'total_energy_kwh')},
-  {R('sum(e) / count(*)', 'avg_energy_per_node')} FROM pn GROUP BY rack"""))
+, pn AS (SELECT i.rack, i.node_type, n.e FROM inv i LEFT JOIN (SELECT hostname, sum(energy_kwh) AS e FROM ne GROUP BY hostname) n ON n.hostname = i.hostname)
+SELECT rack, CASE WHEN count(e) > 0 THEN 'success' ELSE 'no_data' END AS status, count(e) AS nodes_analyzed,
+  {R('coalesce(sum(e), 0.0)', 'total_energy_kwh')}, {R('CASE WHEN count(e) > 0 THEN sum(e) / count(e) ELSE 0.0 END', 'avg_energy_per_node')},
+  {R("coalesce(sum(e) FILTER (node_type = 'irc'), 0.0)", 'irc_energy_kwh')}, {R("coalesce(sum(e) FILTER (node_type = 'pdu'), 0.0)", 'pdu_energy_kwh')},
+  {R("coalesce(sum(e) FILTER (node_type = 'compute'), 0.0)", 'compute_energy_kwh')} FROM pn GROUP BY rack"""))
 def q_rack_summary(spark, sf):
     return rounded(kpi.rack_summary(spark, RD(spark, sf), P.START, P.END))
 

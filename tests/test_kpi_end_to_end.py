@@ -137,3 +137,12 @@ def test_gpu_rows_without_a_device_are_skipped(spark, readings):
                                 "job_id long, job_user string, nodelist string, start_ts string, end_ts string")
     job = job.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
     assert [r["energy_kwh"] for r in W.job_energy(a.unionByName(b), job).collect()] == [pytest.approx(0.3)]
+
+
+def test_rack_summary_reports_silent_racks(spark):
+    r = frame(spark, [(t, "rpc-91-1", "compute", "SystemInputPower", 100.0, "W", None) for t in (0, 3600)])
+    got = {x["rack"]: x for x in kpi.rack_summary(spark, r, "2025-01-01 12:00:00", "2025-01-01 13:00:00").collect()}
+    assert sorted(got) == list(range(91, 98))
+    assert {k: x["status"] for k, x in got.items() if k != 91} == dict.fromkeys(range(92, 98), "no_data")
+    assert (got[91]["status"], got[91]["nodes_analyzed"]) == ("success", 1)
+    assert got[91]["compute_energy_kwh"] == pytest.approx(0.1) and got[91]["pdu_energy_kwh"] == got[92]["total_energy_kwh"] == 0.0
