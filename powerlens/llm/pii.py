@@ -45,7 +45,7 @@ REACH = 400
 LEAST_SUPPORT = 3
 GENERALISE_AT = 0.7
 REMOVE_AT = 0.9
-COUNTED_AT_ONCE = 300_000
+COUNTED_AT_ONCE = 100_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
