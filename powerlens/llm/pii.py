@@ -11,9 +11,19 @@ is the share of the entity's information that the term discloses.  c counts
 documents: all that have the term, the entity, or the term within
 ``WINDOW`` words of the entity.  In documents that hold the entity, near terms
 that disclose ``GENERALISE_AT`` or more are generalised (replaced by what kind of
-word they are), from ``REMOVE_AT`` on removed.  A pair needs ``LEAST_SUPPORT``
-different surroundings, so copies of one text prove nothing.  Documents without
-an entity stay as they are.
+word they are), from ``REMOVE_AT`` on removed.  Copies of one text prove nothing: a
+pair counts from ``LEAST_SUPPORT`` different surroundings on, or with two if chance
+does not explain it.  With m surroundings of the entity, s of them with a term that a
+share p of all documents has, chance gives that with a probability of at most
+(e m p / s)^s (Chernoff's bound); times the number of pairs it must stay under
+``CHANCE``, and the entity's surroundings must differ in half of their terms or more.
+
+An entity seen once has evidence by its groups: an e-mail address its local part and
+its domain, an IP address its first three numbers, a card number its issuer, a phone
+number all but its last four digits.  What a term tells about a group (the same PMI,
+held against chance in the same way, by entities and texts instead of surroundings) it tells about each member,
+as a share of the member's information.  One document alone with an entity and a word
+that nothing else has proves nothing.  Documents without an entity stay as they are.
 
 Spans count code points, end exclusive.  Base spans follow the patterns below,
 leftmost and non-overlapping for each kind; matches that fail a check are
@@ -26,6 +36,7 @@ the first one's name.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -43,6 +54,7 @@ TERM_KINDS = ("generalise", "remove")
 WINDOW = 8  # words on either side, within REACH code points
 REACH = 400
 LEAST_SUPPORT = 3
+CHANCE = 0.05  # expected number of pairs in the corpus that count by chance
 GENERALISE_AT = 0.7
 REMOVE_AT = 0.9
 COUNTED_AT_ONCE = 100_000
@@ -58,6 +70,7 @@ WORD = re.compile(r"[^\W_]+")
 
 SPAN = "struct<kind:string,start:int,end:int>"
 NEAR = "struct<entity:bigint,around:bigint,term:string,start:int,end:int>"
+MEMBER = "struct<entity:bigint,unit:bigint>"
 
 
 def luhn(digits: str) -> bool:
@@ -93,13 +106,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(start, end, KINDS[k]) for start, k, end in sorted(found)]
 
 
+def _entity(kind: str, raw: str) -> tuple[int, str]:
+    """Id and value of the entity that a span names."""
+    value = raw.lower() if kind in ("email", "ip") else NO_DIGIT.sub("", raw)
+    return xxhash.xxh64_intdigest(f"{kind}:{value}", 1) - 2**63, value
+
+
+def groups(kind: str, value: str) -> list[str]:
+    """The groups that an entity belongs to by its value."""
+    if kind == "email":
+        local, _, domain = value.partition("@")
+        return [f"local:{local}", f"domain:{domain}"]
+    return [f"{kind}:" + {"ip": value.rpartition(".")[0], "card": value[:6], "phone": value[:-4]}[kind]]
+
+
 def near_terms(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int, int]]:
     """(entity, surroundings, term, start, end) of the words near each span."""
     taken = [(s, e) for s, e, _ in spans]
     out = []
     for start, end, kind in spans:
-        value = text[start:end].lower() if kind in ("email", "ip") else NO_DIGIT.sub("", text[start:end])
-        entity = xxhash.xxh64_intdigest(f"{kind}:{value}", 1) - 2**63
+        entity, _ = _entity(kind, text[start:end])
         low, high = max(0, start - REACH), min(len(text), end + REACH)
         before = [m for m in WORD.finditer(text, low, start) if m.start() > low or low == 0][-WINDOW:]
         after = [m for m in WORD.finditer(text, end, high) if m.end() < high or high == len(text)][:WINDOW]
@@ -120,24 +146,27 @@ def _digest(text) -> F.Column:
 
 
 def _scan(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, digest of the text, base spans, near terms; stored, without texts."""
+    """doc_id, digest of the text, base spans, near terms, entities' groups; stored, without texts."""
 
-    @F.arrow_udf(f"struct<spans:array<{SPAN}>,near:array<{NEAR}>>")
+    @F.arrow_udf(f"struct<spans:array<{SPAN}>,near:array<{NEAR}>,members:array<{MEMBER}>>")
     def find(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts.to_pylist():
             spans = base_spans(t) if t else []
             near = near_terms(t, spans) if spans else []
+            named = {(k, *_entity(k, t[s:e])) for s, e, k in spans}
             rows.append({
                 "spans": [{"kind": k, "start": s, "end": e} for s, e, k in spans],
                 "near": [{"entity": i, "around": a, "term": w, "start": s, "end": e} for i, a, w, s, e in near],
+                "members": [{"entity": i, "unit": xxhash.xxh64_intdigest(g, 4) - 2**63} for k, i, v in sorted(named) for g in groups(k, v)],
             })
         span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         term = pa.struct([("entity", pa.int64()), ("around", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        return pa.array(rows, pa.struct([("spans", pa.list_(span)), ("near", pa.list_(term))]))
+        member = pa.struct([("entity", pa.int64()), ("unit", pa.int64())])
+        return pa.array(rows, pa.struct([("spans", pa.list_(span)), ("near", pa.list_(term)), ("members", pa.list_(member))]))
 
     rows = df.select(column(doc_id).alias("doc_id"), _digest(column(text)).alias("digest"), find(column(text)).alias("found"))
-    return stored(rows.select("doc_id", "digest", "found.spans", "found.near"), "pii")
+    return stored(rows.select("doc_id", "digest", "found.spans", "found.near", "found.members"), "pii")
 
 
 def document_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -168,17 +197,47 @@ def disclosing(df: DataFrame, scanned: DataFrame, text: str = "text") -> DataFra
     # rows of one text count by their number: copies are pre-aggregated
     copies = scanned.where(F.size("near") > 0).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     texts = stored(near.distinct(), "near")
-    together = texts.select("digest", "entity", "term").distinct().join(copies, "digest").groupBy("entity", "term").agg(F.sum("copies").alias("both"))
-    entities = texts.select("digest", "entity").distinct().join(copies, "digest").groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    support = texts.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"))
-    pairs = support.where(F.col("support") >= LEAST_SUPPORT).join(together, ["entity", "term"]).join(entities, "entity")
-    pairs = stored(pairs, "pairs")
+    # units: the entities themselves and their groups of two or more
+    members = stored(scanned.select(F.explode("members").alias("x")).select("x.*").distinct(), "members")
+    shared = members.groupBy("unit").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("unit")
+    members = stored(members.join(shared, "unit"), "groups")
+    uses = texts.select("digest", "entity", "around", "term").distinct()
+    uses = uses.select("digest", F.col("entity").alias("unit"), "around", "term", F.lit(False).alias("group")).unionByName(
+        uses.join(members, "entity").select("digest", "unit", F.col("entity").alias("around"), "term", F.lit(True).alias("group")).distinct())
+    uses = stored(uses, "uses")
+    support = uses.select("unit", "group", "term", "around").distinct().groupBy("unit", "group", "term").agg(F.count(F.lit(1)).alias("support"))
+    support = stored(support, "support")
+    tests = support.count()
+    spread = uses.select("unit", "around").distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("arounds"))
+    repeats = support.groupBy("unit").agg(F.avg((F.col("support") > 1).cast("int")).alias("alike"))
+    held = support.where(F.col("support") >= 2)
+    together = uses.join(held.select("unit", "term"), ["unit", "term"], "left_semi").select("digest", "unit", "term").distinct()
+    together = together.join(copies, "digest").groupBy("unit", "term").agg(
+        F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts"))
+    units = uses.select("digest", "unit").distinct().join(copies, "digest").groupBy("unit").agg(F.sum("copies").alias("n_unit"))
+    pairs = held.join(together, ["unit", "term"]).join(units.join(spread, "unit").join(repeats, "unit"), "unit")
+    times = F.when(F.col("group"), F.least("support", "texts")).otherwise(F.col("support"))
+
+    def counts_with(n: str):
+        """Whether a pair counts if n documents have its term."""
+        expected = F.col("arounds") * F.col(n) / F.lit(float(max(rows, 1))) / times
+        by_chance = times * (1 + F.log(expected)) + F.lit(math.log(max(tests, 1)))
+        proven = (expected < 1) & (by_chance <= math.log(CHANCE)) & (F.col("group") | (F.col("alike") <= 0.5))
+        return proven | ~F.col("group") & (F.col("support") >= LEAST_SUPPORT)
+
+    # a term has at least the documents where it stands near: what fails with these needs no count
+    pairs = stored(pairs.where(counts_with("both")), "pairs")
     counts = document_counts(df, text).join(pairs.select("term").distinct(), "term", "left_semi")
-    pairs = pairs.join(counts, "term")
-    pmi = F.log(F.col("both") * F.lit(float(rows)) / (F.col("n") * F.col("n_entity")))
-    ic = F.log(F.lit(float(rows)) / F.col("n_entity"))
-    share = F.when(ic > 0, pmi / ic).otherwise(0.0)
-    pairs = pairs.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE_AT)
+    pairs = pairs.join(counts, "term").where(counts_with("n"))
+    pmi = F.log(F.col("both") * F.lit(float(rows)) / (F.col("n") * F.col("n_unit")))
+    pairs = stored(pairs.select("unit", "group", "term", pmi.alias("pmi")).where(F.col("pmi") > 0), "informative")
+    own = pairs.where(~F.col("group")).select(F.col("unit").alias("entity"), "term", "pmi")
+    pooled = pairs.where("group").join(members, "unit").select("entity", "term", "pmi")
+    best = own.unionByName(pooled).groupBy("entity", "term").agg(F.max("pmi").alias("pmi"))
+    entities = units.withColumnsRenamed({"unit": "entity", "n_unit": "n_entity"})
+    ic = F.log(F.lit(float(max(rows, 1))) / F.col("n_entity"))
+    share = F.when(ic > 0, F.col("pmi") / ic).otherwise(0.0)
+    pairs = best.join(entities, "entity").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE_AT)
     hit = texts.join(pairs, ["entity", "term"]).groupBy("digest", "start", "end").agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= REMOVE_AT, TERM_KINDS[1]).otherwise(TERM_KINDS[0])
     return stored(hit.groupBy("digest").agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).alias("terms")), "terms")

@@ -130,3 +130,31 @@ def test_sanitise(spark):
 def test_replaced_overlaps():
     assert pii.replaced("x +4111 1111 1111 111 y", []) in ("x [PHONE] y",)
     assert pii.replaced("a@b.c 1.2.3.4", [(0, 1, "generalise")]) == "[EMAIL] [IP]"
+
+
+def test_rare_entities(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}{d}" for a in "bdklm" for b in "aeiou" for c in "nrst" for d in "aeiou"]
+
+    def around(*middle):
+        t = [rng.choice(words) for _ in range(40)]
+        t[20:20] = middle
+        return " ".join(t)
+
+    texts = [around() for _ in range(3000)]
+    texts[10] = around("Quentin", "anna.k@example.com")  # one address in two documents
+    texts[20] = around("anna.k@example.com", "from", "Quentin")
+    for k in range(4):  # numbers seen once each, of one owner
+        texts[30 + k] = around("Zanzibar", f"+1 (555) 123-{4000 + k}")
+    texts[40] = around("Alone", "10.0.0.1")
+    near = around("bob@example.org", "Copied")
+    texts[50], texts[51] = near, near.replace(" Copied", " Copied indeed")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for k in (10, 20):
+        assert "Quentin" not in got[k] and "[EMAIL]" in got[k]
+    for k in range(30, 34):
+        assert "Zanzibar" not in got[k] and "[PHONE]" in got[k]
+    assert got[40] == texts[40].replace("10.0.0.1", "[IP]")
+    assert got[50] == texts[50].replace("bob@example.org", "[EMAIL]")
+    assert all(got[k] == t for k, t in enumerate(texts) if not plain_spans(t))
