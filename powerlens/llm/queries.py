@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, embed, html_text, iblt, mix, pieces, pii, simhash, toxicity, urls
+from . import bitplane, embed, html_text, iblt, mix, pieces, pii, simhash, toxicity, urls, variants
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         end_id=2,
     )
     return bitplane.read_ids(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, root and near-word count of every frequent word of all documents."""
+    return variants.group(table(spark, sf_dir, "documents"), typo_every=97)
