@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, embed, html_text, iblt, mix, pieces, pii, simhash, toxicity, urls, variants
+from . import bitplane, embed, html_text, iblt, mix, pieces, pii, ranked, simhash, toxicity, urls, variants
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,6 +129,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_ids(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op12_ranked_search", ranked.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_spelling_variants")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form, root and near-word count of every frequent word of all documents."""
