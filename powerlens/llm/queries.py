@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, embed, html_text, iblt, mix, pieces, pii, ranked, simhash, toxicity, urls, variants
+from . import bitplane, embed, html_text, iblt, mix, pieces, pii, quality, ranked, simhash, toxicity, urls, variants
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,6 +129,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_ids(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+QUALITY_METADATA = ["n_chars"]
+QUALITY_GOOD = 0.7
+
+
+@query("op11_quality_fm")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a quarter of the ids is held out of the fit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *QUALITY_METADATA)
+
+    def held_out(doc_id):
+        return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    model = quality.fit(docs, labels, metadata=QUALITY_METADATA)
+    return quality.score(docs, model, metadata=QUALITY_METADATA).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_GOOD).cast("int").alias("predicted"))
+
+
 @query("op12_ranked_search", ranked.oracle())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
