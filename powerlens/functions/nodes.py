@@ -137,8 +137,12 @@ def explode_nodelist(df, nodelist="nodelist", out="hostname"):
     a2b3, a2b4).  Column expressions only.  A pattern that can't be read and a
     reversed range raise an error; null and empty lists give no row.
     """
-    items = F.filter(F.transform(F.split(_c(nodelist), r",(?![^\[]*\])"), lambda x: F.trim(x)), lambda x: x != "")
-    return df.withColumn(out, F.explode(F.flatten(F.transform(items, _hosts))))
+    c = _c(nodelist)
+    plain = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+    items = F.filter(F.transform(F.split(c, r",(?![^\[]*\])"), lambda x: F.trim(x)), lambda x: x != "")
+    # a list without brackets is its parts; only the others need the fold over bracket groups
+    hosts = F.when(F.contains(c, F.lit("[")) | F.contains(c, F.lit("]")), F.flatten(F.transform(items, _hosts))).otherwise(plain)
+    return df.withColumn(out, F.explode(hosts))
 
 
 def check_known_hosts(df, hostname="hostname", examples: int = 10):

@@ -43,22 +43,29 @@ def local_to_utc(c, tz: str) -> Column:
     return F.convert_timezone(F.lit(tz), F.lit("UTC"), _c(c).cast("timestamp_ntz"))
 
 
+#: Metadata key of a date column that holds, row by row, the UTC day of the time column it names.
+DAY_OF = "day_of"
+
+
 def within(df: DataFrame, start=None, end=None, ts: str = "ts") -> DataFrame:
     """Rows with ``start <= ts <= end`` (a missing bound is open).
 
-    When the table is partitioned by UTC ``date``, the same bounds are put on
-    it too, so that only the folders of these days are listed and read."""
+    A date column marked as the day of ``ts`` (``DAY_OF``, as the readings table's
+    partition column is by its reader) gets the same bounds, so that only the
+    folders of these days are listed and read.  Other date columns mean
+    something else, whatever their name, and are left alone."""
     def lit(t):
         return F.lit(str(t)).cast("timestamp_ntz")
 
+    days = [f.name for f in df.schema.fields if f.dataType.typeName() == "date" and f.metadata.get(DAY_OF) == ts]
     for bound, op in ((start, "ge"), (end, "le")):
         if bound is None:
             continue
         at = bound if isinstance(bound, Column) else lit(bound)
         df = df.where(F.col(ts) >= at if op == "ge" else F.col(ts) <= at)
-        if dict(df.dtypes).get("date") == "date":
+        for name in days:
             day = at.cast("date")
-            df = df.where(F.col("date") >= day if op == "ge" else F.col("date") <= day)
+            df = df.where(F.col(name) >= day if op == "ge" else F.col(name) <= day)
     return df
 
 

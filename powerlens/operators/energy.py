@@ -17,10 +17,10 @@ series-bucket, so its window over the buckets of a series is tiny.
 * totals (T3, T5: ``_series_totals``) need no join at all;
 * pairs (T6: ``intervals``) are the in-bucket pairs plus one border pair per
   bucket;
-* per-row outputs (T1, T2, prefix sums: ``_walk``) join the bucket offsets
-  back on non-null surrogate keys, so the rows keep their partitioning;
-* window energies (T14, K17) are prefix-sum differences over the readings a
-  window contains (``series_prefix`` + ``window_parts``).
+* per-row outputs (T1, T2: ``_walk``) join the bucket offsets back on non-null
+  surrogate keys, so the rows keep their partitioning;
+* window energies (T14, K17) are as-of lookups of the windows' bounds (module
+  ``asof``).
 
 Both branches of a plan read the same projected columns below the shuffle,
 so Spark reuses one exchange of the readings.
@@ -219,8 +219,6 @@ def _walk(
     keys=None,
     power: str = "power_w",
     bucket_seconds: int = DAY_SECONDS,
-    narrow: bool = False,
-    sum_duplicates: bool = False,
 ) -> DataFrame:
     """Per row: previous reading of the series (``prev_us``, ``prev_p``),
     trapezoid joules from the series start (``_cum_j``) and a unique
@@ -238,29 +236,14 @@ def _walk(
     sk = [f"_k{i}" for i in range(len(keys))]
     for name, k in zip(sk, keys):
         df = df.withColumn(name, F.coalesce(F.col(k).cast("string"), F.lit(SENTINEL)))
-    if narrow:
-        # only (series, time, power, id): the row branch and the summary
-        # branch then shuffle identical columns and the exchange is reused
-        df = df.select(*sk, "_b", "_us", F.col(power).alias(power), "event_id")
-        if sum_duplicates:
-            # readings of one series at one instant (several devices) are summed;
-            # hash-partitioning by (series, bucket) first lets this aggregate and
-            # the window below share one exchange
-            df = (
-                df.repartition(*sk, "_b")
-                .groupBy(*sk, "_b", "_us")
-                .agg(F.sum(power).alias(power), F.min("event_id").alias("event_id"))
-            )
     w = Window.partitionBy(*sk, "_b").orderBy("_us", "event_id")
     x = (
         df.withColumn("_pu", F.lag("_us").over(w))
         .withColumn("_pp", F.lag(power).over(w))
         .withColumn("_rn", F.row_number().over(w))
     )
-    # in prefix sums a NaN interval counts nothing: ``window_parts`` marks the windows that hold it
-    clean = (lambda e: F.nanvl(e, F.lit(0.0))) if narrow else (lambda e: e)
     x = x.withColumn(
-        "_e", F.when(F.col("_pu").isNotNull(), clean((F.col(power) + F.col("_pp")) / 2.0 * ((F.col("_us") - F.col("_pu")) / US))).otherwise(0.0)
+        "_e", F.when(F.col("_pu").isNotNull(), (F.col(power) + F.col("_pp")) / 2.0 * ((F.col("_us") - F.col("_pu")) / US)).otherwise(0.0)
     ).withColumn("_run", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     summ = x.groupBy(*sk, "_b").agg(
         F.min("_us").alias("_fu"),
@@ -273,7 +256,7 @@ def _walk(
     bu, bp = F.lag("_lu").over(wb), F.lag("_lp").over(wb)
     summ = summ.withColumn("_bu", bu).withColumn("_bp", bp)
     summ = summ.withColumn(
-        "_border", F.when(F.col("_bu").isNotNull(), clean((F.col("_bp") + F.col("_fp")) / 2.0 * ((F.col("_fu") - F.col("_bu")) / US))).otherwise(0.0)
+        "_border", F.when(F.col("_bu").isNotNull(), (F.col("_bp") + F.col("_fp")) / 2.0 * ((F.col("_fu") - F.col("_bu")) / US)).otherwise(0.0)
     )
     summ = summ.withColumn(
         "_off", F.sum(F.col("_t") + F.col("_border")).over(wb.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")
@@ -286,10 +269,6 @@ def _walk(
         .withColumn("_cum_j", F.col("_off") + F.col("_run"))
         .withColumn("_ord", F.col("_b") * F.lit(4294967296) + F.col("_rn"))
     )
-    if narrow:
-        for name, k in zip(sk, keys):
-            y = y.withColumn(k, F.nullif(F.col(name), F.lit(SENTINEL)))
-        y = y.withColumn("ts", F.timestamp_micros(F.col("_us")).cast("timestamp_ntz"))
     return y.drop(*sk, "_pu", "_pp", "_rn", "_e", "_run", "_bu", "_bp", "_off")
 
 
@@ -355,47 +334,6 @@ def cumulative_energy(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECOND
     return x.withColumn("cumulative_energy_kwh", F.col("_cum_j") / JOULES_PER_KWH).drop("_cum_j")
 
 
-def series_prefix(df: DataFrame, keys=None, bucket_seconds: int = DAY_SECONDS, sum_duplicates: bool = False) -> DataFrame:
-    """Every reading with ``_cum_kwh``: the trapezoid energy of its series from
-    the first reading up to this one (T2 on the whole series, computed once).
-
-    The trapezoid over any run of consecutive readings is then
-    ``C(last) - C(first)``: energies over many (possibly overlapping) windows
-    become one hash aggregate of the readings they contain, with no sort per
-    window.
-    """
-    x = _walk(df, keys, bucket_seconds=bucket_seconds, narrow=True, sum_duplicates=sum_duplicates)
-    return x.withColumn("_cum_kwh", F.col("_cum_j") / JOULES_PER_KWH).drop("_cum_j", "prev_us", "prev_p")
-
-
-def window_parts(rows: DataFrame, group_keys, carry=()) -> DataFrame:
-    """``boundary_parts`` of window-restricted series from ``series_prefix`` rows.
-
-    One aggregation: first/last reading (time, power, cumulative energy) and
-    the count per group; ``_trap_j`` = (C(last) - C(first)) in joules.
-    ``carry`` columns are constant per group (window bounds, flags): they are
-    carried with ``min`` instead of widening the grouping key.
-    """
-    # primitive (value, long ordinal) buffers keep this a HashAggregate
-    o = F.col("_ord")
-    g = rows.groupBy(*group_keys).agg(
-        *[F.min(c).alias(c) for c in carry],
-        F.min("_us").alias("first_us"),
-        F.min_by("power_w", o).alias("first_p"),
-        F.min_by("_cum_kwh", o).alias("_fc"),
-        F.max("_us").alias("last_us"),
-        F.max_by("power_w", o).alias("last_p"),
-        F.max_by("_cum_kwh", o).alias("_lc"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.isnan("power_w")).alias("_n_nan"),
-    )
-    trap = (F.col("_lc") - F.col("_fc")) * JOULES_PER_KWH
-    return g.select(
-        *group_keys, *carry, "first_us", "first_p", "last_us", "last_p", "n_rows",
-        F.when((F.col("_n_nan") > 0) & (F.col("n_rows") > 1), F.lit(float("nan"))).otherwise(trap).alias("_trap_j"),
-    )
-
-
 # --------------------------------------------------------------------------
 # Boundary-extended trapezoid, closed form
 

@@ -64,8 +64,7 @@ def _guard_sql(short: bool = False) -> str:
 @query("boundary_guard", lambda: _head(*_win_heads(), _guard_sql()) + f"""
 SELECT window_id, hostname, metric, fqdd, start_ts, end_ts, {R('gb', 'gap_before_s')}, {R('ga', 'gap_after_s')}, use_b AS use_boundaries FROM gd""")
 def q_boundary_guard(spark, sf):
-    rows = W.range_join(CR(spark, sf), WIN_DF(spark, sf))
-    return rounded(W.boundary_guard(rows, ["window_id", "hostname", "metric", "fqdd"]))
+    return rounded(W.boundary_guard(CR(spark, sf), WIN_DF(spark, sf)))
 
 
 def _window_energy_sql() -> str:

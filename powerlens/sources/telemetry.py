@@ -24,6 +24,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from ..constants import IRC_NODES, pdu_nodes
 from ..functions import nodes as N
+from ..functions.times import DAY_OF
 from .tables import load
 
 READINGS_SCHEMA = StructType(
@@ -149,12 +150,13 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parquet_readings(spark: SparkSession, path: str) -> DataFrame:
     """A1-A3 at scale: the Parquet ``readings`` dataset written by
-    ``sinks.write_readings`` (partitioned by ``metric`` and ``date``).
+    ``sinks.write_readings`` (partitioned by ``database``, ``metric`` and ``date``).
 
     Predicates on ``metric`` prune directories; predicates on ``ts`` are
-    pushed to the Parquet reader; add a ``date`` predicate for day pruning.
+    pushed to the Parquet reader.  ``date`` is marked as the day of ``ts``, so time-bounded
+    operators prune its directories too (``times.within``).
     """
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).withMetadata("date", {DAY_OF: "ts"})
 
 
 def scan_jdbc(spark: SparkSession, url: str, table: str, lower, upper, partitions: int = 64, **props) -> DataFrame:

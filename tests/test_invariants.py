@@ -63,19 +63,18 @@ def test_hold_equals_boundary_for_nonnegative_power(rd):
     assert a == b
 
 
-def test_window_prefix_equals_direct(rd, spark):
-    """C(last) - C(first) over windows equals integrating the window rows directly."""
+def test_window_lookups_equal_direct_integration(rd, spark):
+    """C(last) - C(first) of as-of lookups equals integrating the window rows directly."""
+    from powerlens.operators import asof
     from powerlens.operators import windows as W
     from powerlens.sources import jobs as J
 
     cr = T.compute_readings(spark, SF)
     win = J.windows(spark, SF)
-    fast = W.window_energy(cr, win)
-    rows = W.range_join(cr, win)
-    direct = E.boundary_parts(rows, ["window_id", "hostname", "metric", "fqdd"])
     keys = ["window_id", "hostname", "metric", "fqdd"]
-    tj = {tuple(r[k] for k in keys): r["_trap_j"] for r in direct.collect()}
-    fp = E.window_parts(W.range_join(E.series_prefix(cr, ["hostname", "metric", "fqdd"]), win), keys)
-    for r in fp.collect():
-        assert r["_trap_j"] == pytest.approx(tj[tuple(r[k] for k in keys)], abs=1e-6)
-    assert fast.count() == direct.count()
+    direct = E.boundary_parts(W.range_join(cr, win), keys)
+    tj = {tuple(r[k] for k in keys): (r["_trap_j"], r["n_rows"]) for r in direct.collect()}
+    got = {tuple(r[k] for k in keys): (r["_trap_j"], r["n_rows"]) for r in asof.window_lookups(cr, win).collect()}
+    assert got.keys() == tj.keys()
+    for k, (joules, n) in got.items():
+        assert n == tj[k][1] and joules == pytest.approx(tj[k][0], abs=1e-6)

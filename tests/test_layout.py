@@ -35,3 +35,16 @@ def test_kpis_prune_days(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         scans = [x.split("]")[0] for x in plan.split("PartitionFilters")[1:]]
         assert scans and all("date" in x and "2024-01-10" in x for x in scans)
+
+
+def test_another_date_column_is_no_day_of_the_time(spark, readings):
+    """A column that happens to be called ``date`` must not cut rows."""
+    from pyspark.sql import functions as F
+
+    from powerlens.functions.times import within
+    from powerlens.operators import energy as E
+
+    df = readings([(f"2025-01-01 0{h}:00:00", 100.0) for h in range(4)]).withColumn("date", F.lit("2019-05-05").cast("date"))
+    assert within(df, "2025-01-01 00:00:00", "2025-01-01 02:00:00").count() == 3
+    got = E.energy_gap(df, max_gap_seconds=7200, start="2025-01-01 00:00:00", end="2025-01-02 00:00:00").collect()
+    assert [round(r.energy_kwh, 9) for r in got] == [0.3]
