@@ -1,9 +1,8 @@
 """Aggregations, tails, data-quality checks, anomalies, cleaning.
 
 Notes on scale: all aggregates are plain ``groupBy`` with map-side partial
-aggregation.  Exact percentiles use Spark's ``percentile`` whose buffer is a
-value->count map (bounded by distinct readings per group, which sensor
-quantisation keeps small), not a row list.
+aggregation.  Exact percentiles are selected by rank in two passes (``ranks``), whose
+buffers are bounded by bins, not by the readings of a series.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from .. import constants as K
 from ..functions.times import epoch_micros, within
 from ..functions.units import to_watts
 from . import energy as E
+from . import ranks
 
 US = 1_000_000.0
 
@@ -145,6 +145,11 @@ def _series_energy(df: DataFrame, keys: list[str]) -> DataFrame:
     return t.select(*[F.col(k).alias(f"_e_{k}") for k in keys], (F.col("_trap_j") / K.JOULES_PER_KWH).alias("total_energy_kwh"))
 
 
+def _named(keys: list[str], names: list[str]) -> list[Column]:
+    """Key columns as texts without nulls, to join on."""
+    return [F.coalesce(F.col(k).cast("string"), F.lit(E.SENTINEL)).alias(n) for k, n in zip(keys, names)]
+
+
 def power_statistics(df: DataFrame, keys=E.SERIES) -> DataFrame:
     """Per series count, mean, median, std, min, max, q25, q75, final
     cumulative energy, span hours, points per hour.
@@ -162,15 +167,16 @@ def power_statistics(df: DataFrame, keys=E.SERIES) -> DataFrame:
     st = df.groupBy(*keys).agg(
         n.alias("count"),
         F.avg(p).alias("mean_power_w"),
-        F.percentile(p, [0.25, 0.5, 0.75]).alias("_q"),  # one buffer for all three
         F.stddev_samp(p).alias("std_power_w"),
         F.min(p).alias("min_power_w"),
         F.max(p).alias("max_power_w"),
         F.when(n > 1, span).otherwise(F.lit(0.0)).alias("time_range_hours"),
         F.when((n > 1) & (span > 0), n / span).otherwise(F.lit(0.0)).alias("data_points_per_hour"),
     )
-    quartiles = {name: F.col("_q")[i] for i, name in enumerate(("q25_power_w", "median_power_w", "q75_power_w"))}
-    st = st.withColumns(quartiles).drop("_q")
+    sk = [f"_q_{k}" for k in keys]
+    rows = df.select(*_named(keys, sk), p.alias("v"))
+    quartiles = ranks.percentiles(rows, sk, {"q25_power_w": 0.25, "median_power_w": 0.5, "q75_power_w": 0.75})
+    st = st.join(quartiles, [_named([k], [k])[0] == quartiles[q] for k, q in zip(keys, sk)], "left")
     en = _series_energy(df, keys)
     j = st.join(en, [st[k].eqNullSafe(en[f"_e_{k}"]) for k in keys], "left")
     return j.select(
@@ -237,56 +243,50 @@ def power_summary(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ E10-E12 tails
 
 
-def _tail_series(readings: DataFrame) -> DataFrame:
-    """Per-device series plus a TOTAL series (sum of devices per timestamp)
-    for metrics that have devices; per-host series for the rest."""
-    has_dev = readings.groupBy("hostname", "metric").agg(F.max(F.col("fqdd").isNotNull().cast("int")).alias("_hd"))
-    r = readings.join(has_dev, ["hostname", "metric"])
-    # device series: rows with a device; for device metrics the null-device
-    # rows are left out of the per-device stats but counted in TOTAL
-    dev = r.where((F.col("_hd") == 0) | F.col("fqdd").isNotNull()).select("hostname", "metric", "fqdd", "units", "value")
-    # units of TOTAL rows are filled later from the device series (per-series table)
-    tot = (
-        r.where(F.col("_hd") == 1)
-        .groupBy("hostname", "metric", "ts")
-        .agg(F.sum("value").alias("value"))
-        .select("hostname", "metric", F.lit("TOTAL").alias("fqdd"), F.lit(None).cast("string").alias("units"), "value")
-    )
-    return dev.unionByName(tot)
+def _tail_rows(readings: DataFrame) -> DataFrame:
+    """Every reading in watts in its own series, and at each instant of a (host, metric) the sum of its
+    readings in the TOTAL series: ``hostname, metric, is_total, dev, u0, u1, w`` (least and largest unit).
+    One scan and one shuffle; which of these series count is seen from their statistics."""
+    w = Window.partitionBy("hostname", "metric", "ts")
+    x = readings.select("hostname", "metric", "ts", "fqdd", "units", to_watts().alias("w")).withColumns({
+        "sum": F.sum("w").over(w), "u0": F.min("units").over(w), "u1": F.max("units").over(w),
+        "place": F.row_number().over(w.orderBy("fqdd"))})
+    own = F.struct(F.lit(False).alias("is_total"), F.coalesce("fqdd", F.lit(E.SENTINEL)).alias("dev"),
+                   F.col("units").alias("u0"), F.col("units").alias("u1"), F.col("w"))
+    instant = F.struct(F.lit(True).alias("is_total"), F.lit("TOTAL").alias("dev"), F.col("u0"), F.col("u1"), F.col("sum").alias("w"))
+    return x.select("hostname", "metric", F.inline(F.when(F.col("place") == 1, F.array(own, instant)).otherwise(F.array(own))))
 
 
 def _tail(readings: DataFrame, q: float, upper: bool) -> DataFrame:
-    """Percentile of the non-zero readings per series, then mean and count of
-    the readings beyond it: one statistics aggregate, then the rows joined to
-    their series' threshold (a per-series table, bounded by the inventory)
-    and aggregated once more."""
-    s = _tail_series(readings).withColumn("_g", F.coalesce(F.col("fqdd"), F.lit("\u0001")))
-    keys = ["hostname", "metric", "_g"]
-    pos_v = F.when(F.col("value") > 0, F.col("value"))
-    stats = s.groupBy(*keys).agg(
-        F.first("fqdd").alias("fqdd"),
-        F.first("units", ignorenulls=True).alias("units"),
-        F.count(F.lit(1)).alias("sample_count"),
-        F.percentile(pos_v, q).alias("thr"),
-        (F.max(pos_v) if upper else F.min(pos_v)).alias("extreme"),
-    )
-    # TOTAL series carry the unit of their metric's devices (window over the small per-series table)
-    stats = stats.withColumn(
-        "units", F.coalesce("units", F.first("units", ignorenulls=True).over(Window.partitionBy("hostname", "metric")))
-    )
-    beyond = (F.col("value") > 0) & ((F.col("value") >= F.col("thr")) if upper else (F.col("value") <= F.col("thr")))
-    j = s.select(*keys, "value").join(stats, keys)
-    out = j.groupBy(*keys, "fqdd", "units", "sample_count", "thr", "extreme").agg(
-        F.avg(F.when(beyond, F.col("value"))).alias("tail_mean"), F.count_if(beyond).alias("n_tail")
-    )
-    z = F.lit(0.0)
-    return out.select(
-        "hostname", "metric", "fqdd", "units",
-        F.coalesce("thr", z).alias("thr"),
-        F.coalesce("tail_mean", z).alias("tail_mean"),
-        F.coalesce("extreme", z).alias("extreme"),
+    """Percentile of the positive readings per series, and mean and count of the readings
+    beyond it, in watts; shown in the series' unit, or in watts where it has several."""
+    keys = ["hostname", "metric", "is_total", "dev"]
+    rows = _tail_rows(readings).withColumn("v", F.when(F.col("w") > 0, F.col("w")))
+    # units are grouping keys first (texts in an aggregate's buffer would sort the rows); a series has few
+    extreme = F.max if upper else F.min
+    stats = rows.groupBy(*keys, "u0", "u1").agg(F.count(F.lit(1)).alias("sample_count"), extreme("v").alias("extreme"))
+    series = Window.partitionBy(*keys)
+    stats = stats.withColumns({
+        "sample_count": F.sum("sample_count").over(series), "extreme": extreme("extreme").over(series),
+        "least": F.min("u0").over(series), "most": F.max("u1").over(series), "place": F.row_number().over(series.orderBy("u0", "u1"))})
+    stats = stats.where("place = 1").drop("place", "u0", "u1").withColumnsRenamed({"least": "u0", "most": "u1"})
+    # a metric with devices has them and TOTAL (D22: rows without a device count there only), another one its host's series
+    metric = Window.partitionBy("hostname", "metric")
+    lone = F.col("dev") == E.SENTINEL
+    stats = stats.withColumn("devices", F.max((~F.col("is_total") & ~lone).cast("int")).over(metric) == 1)
+    stats = stats.where(F.when(F.col("devices"), F.col("is_total") | ~lone).otherwise(lone))
+    thr = ranks.percentiles(rows.select(*keys, "v"), keys, {"thr": q}, beyond=True)
+    side = "ge" if upper else "le"
+    out = stats.join(thr, keys, "left")
+    units = F.when(F.col("u0") == F.col("u1"), F.col("u0")).when(F.col("u0").isNotNull(), "W")
+    z, factor = F.lit(0.0), to_watts(F.lit(1.0), F.col("units"))
+    return out.withColumn("units", units).select(
+        "hostname", "metric", F.when(F.col("dev") != E.SENTINEL, F.col("dev")).alias("fqdd"), "units",
+        F.coalesce(F.col("thr") / factor, z).alias("thr"),
+        F.coalesce(F.try_divide(f"thr_s_{side}", f"thr_n_{side}") / factor, z).alias("tail_mean"),
+        F.coalesce(F.col("extreme") / factor, z).alias("extreme"),
         "sample_count",
-        F.col("n_tail").cast("bigint").alias("n_tail"),
+        F.coalesce(f"thr_n_{side}", F.lit(0)).cast("bigint").alias("n_tail"),
     )
 
 
@@ -391,16 +391,21 @@ def database_comparison(readings: DataFrame, metric_lower: str) -> DataFrame:
 
 def raw_statistics(readings: DataFrame, keys=E.SERIES) -> DataFrame:
     """min/max/mean/median of raw and watt values, span, count per series."""
+    keys, sk = list(keys), [f"_q_{k}" for k in keys]
     w = to_watts()
-    n = F.count(F.lit(1))
-    return readings.groupBy(*keys).agg(
-        n.alias("n_points"),
-        F.min("value").alias("raw_min"), F.max("value").alias("raw_max"),
-        F.avg("value").alias("raw_mean"), F.percentile("value", 0.5).alias("raw_median"),
+    st = readings.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_points"),
+        F.min("value").alias("raw_min"), F.max("value").alias("raw_max"), F.avg("value").alias("raw_mean"),
         F.min(w).alias("w_min"), F.max(w).alias("w_max"), F.avg(w).alias("w_mean"),
-        F.percentile(w, 0.5).alias("w_median"),
         span_hours().alias("span_hours"),
     )
+    # both units in one histogram
+    both = F.array(F.struct(F.lit("raw").alias("_unit"), F.col("value").cast("double").alias("v")), F.struct(F.lit("w").alias("_unit"), w.alias("v")))
+    medians = ranks.percentiles(readings.select(*_named(keys, sk), F.inline(both)), [*sk, "_unit"], {"median": 0.5})
+    medians = medians.groupBy(*sk).agg(*[F.max(F.when(F.col("_unit") == u, F.col("median"))).alias(f"{u}_median") for u in ("raw", "w")])
+    st = st.join(medians, [_named([k], [k])[0] == medians[q] for k, q in zip(keys, sk)], "left")
+    return st.select(
+        *keys, "n_points", "raw_min", "raw_max", "raw_mean", "raw_median", "w_min", "w_max", "w_mean", "w_median", "span_hours")
 
 
 def definition_counts(defs: DataFrame, inventory: DataFrame) -> DataFrame:

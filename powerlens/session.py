@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -93,3 +94,14 @@ def materialize(df, spark: SparkSession | None = None):
     """
     checkpoint_dir(spark or df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, name: str):
+    """``df`` written once as Parquet under the shared checkpoint folder and read back.
+
+    For an intermediate that is small but costly: unlike ``checkpoint`` it is computed
+    a single time, and readers know its size."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
