@@ -51,10 +51,12 @@ def percentiles(rows: DataFrame, keys: Sequence[str], quantiles: dict[str, float
         raise ValueError(f"rename {sorted(own_names)}")
     downwards = Window.partitionBy(*keys).orderBy(F.desc("bin"))
     in_series, whole = Window.partitionBy(*keys).orderBy("bin"), Window.partitionBy(*keys)
+    so_far = in_series.rowsBetween(Window.unboundedPreceding, 0)
+    no_sum = F.lit(None).cast("double")
     x = histogram(rows, keys, value).withColumns({
-        "upto": F.sum("n").over(in_series.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(whole),
-        "s_upto": F.sum("s").over(in_series.rowsBetween(Window.unboundedPreceding, 0)),
-        "s_from": F.sum("s").over(downwards.rowsBetween(Window.unboundedPreceding, 0)) if beyond else F.lit(None).cast("double")})
+        "upto": F.sum("n").over(so_far), "total": F.sum("n").over(whole),
+        "s_upto": F.sum("s").over(so_far) if beyond else no_sum,
+        "s_from": F.sum("s").over(downwards.rowsBetween(Window.unboundedPreceding, 0)) if beyond else no_sum})
     place = {name: (F.col("total") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
     ranks = {name: (F.floor(p), F.ceil(p)) for name, p in place.items()}
     before = F.col("upto") - F.col("n")
