@@ -428,11 +428,13 @@ def q_write_json(spark, sf):
     return spark.read.schema(df.schema).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path).select(*df.columns)
 
 
-@query("write_report", lambda: _head(S.infra_cte()) + """
-SELECT * FROM (VALUES ('pue_daily', CAST(31 AS BIGINT)), ('pdu_readings', (SELECT count(*) FROM infra_readings WHERE node_type = 'pdu'))) v(dataset, rows_written)""")
+@query("write_report", lambda: f"""WITH daily AS ({_sql_pue_daily()}), {S.infra_cte()},
+r AS (SELECT 'pue_daily' AS dataset, date AS key, pdu_energy_kwh AS value FROM daily
+      UNION ALL SELECT 'pdu_readings', CAST(event_id AS VARCHAR), value FROM infra_readings WHERE node_type = 'pdu')
+SELECT dataset, count(*) OVER (PARTITION BY dataset) AS rows_written, key, {R('value')} FROM r""")
 def q_write_report(spark, sf):
-    """Report of three datasets (one empty, skipped) written as one
-    Parquet directory each; returns the row count read back per dataset."""
+    """Report of three datasets (one empty, skipped) written as one Parquet
+    directory each; the count of the writing job and every row's key and value read back."""
     from functools import reduce
 
     from ..operators import stats as ST
@@ -442,10 +444,15 @@ def q_write_report(spark, sf):
         "pdu_readings": ir.where(F.col("node_type") == "pdu"),
         "unit_mismatches": ST.check_metric_units(ir),
     }
-    written = SK.write_report(sets, _scratch(spark, "report"))
-    parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("rows_written")).select(F.lit(n).alias("dataset"), "rows_written")
-             for n, p in written]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    shown = {"pue_daily": ("date", "pdu_energy_kwh"), "pdu_readings": ("event_id", "value"), "unit_mismatches": ("metric", "hostname")}
+    counts: dict[str, int] = {}
+    written = SK.write_report(sets, _scratch(spark, "report"), counts=counts)
+    parts = [
+        spark.read.parquet(path).select(
+            F.lit(name).alias("dataset"), F.lit(counts[name]).cast("bigint").alias("rows_written"),
+            F.col(shown[name][0]).cast("string").alias("key"), F.col(shown[name][1]).try_cast("double").alias("value"))
+        for name, path in written]
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 @query("write_job_outputs", lambda: _summary_sql() + f"""

@@ -109,6 +109,26 @@ def test_write_report_skips_empty_and_raises_when_nothing(spark, tmp_path):
         SK.write_report({"empty": empty}, str(tmp_path / "rep2"))
 
 
+def test_write_report_counts_while_writing_and_drops_what_became_empty(spark, tmp_path):
+    """Every row is computed once (an accumulator counts them), and an old folder of an empty dataset goes."""
+    from powerlens.sources import sinks as SK
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def touch(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(50).select(touch(F.col("id").cast("int")).alias("a"))
+    counts = {}
+    path = str(tmp_path / "rep")
+    SK.write_report({"a": df, "b": spark.range(7)}, path, counts=counts)
+    assert counts == {"a": 50, "b": 7} and seen.value == 50
+    assert [n for n, _ in SK.write_report({"a": spark.range(3), "b": spark.range(7).where("id > 9")}, path)] == ["a"]
+    assert spark.read.parquet(f"{path}/a").count() == 3 and not (tmp_path / "rep" / "b").exists()
+
+
 def test_energy_units(spark):
     df = spark.createDataFrame([(3600000.0, 2.5)], "j double, kwh double")
     r = df.select(U.joules_to_kwh("j").alias("a"), U.kwh_to_joules("kwh").alias("b"), U.kwh_to_wh("kwh").alias("c")).collect()[0]
