@@ -514,11 +514,16 @@ def total_series(df: DataFrame, keys=("hostname", "metric"), device: str = "fqdd
 
 def energy_per_fqdd(df: DataFrame, start=None, end=None, keys=("hostname", "metric")) -> DataFrame:
     """Energy per device (duplicate timestamps of a device summed first),
-    plus a ``TOTAL`` row per (host, metric) = sum of the device energies."""
+    plus a ``TOTAL`` row per (host, metric) = sum of the device energies.
+
+    Both come from one aggregate over grouping sets; ``is_total`` tells the total from a
+    device of that name."""
     keys = list(keys)
     per_dev = energy_boundary(df, keys + ["fqdd"], start, end, sum_duplicates=True).select(*keys, "fqdd", "energy_kwh")
-    total = per_dev.groupBy(*keys).agg(F.sum("energy_kwh").alias("energy_kwh")).withColumn("fqdd", F.lit("TOTAL"))
-    return per_dev.unionByName(total)
+    names = [F.col(k) for k in keys]
+    both = per_dev.groupingSets([[*names, F.col("fqdd")], names], *keys, "fqdd").agg(
+        F.sum("energy_kwh").alias("energy_kwh"), (F.grouping("fqdd") == 1).alias("is_total"))
+    return both.select(*keys, F.when(F.col("is_total"), "TOTAL").otherwise(F.col("fqdd")).alias("fqdd"), "energy_kwh", "is_total")
 
 
 def mean_series(df: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ def metric_energy(readings: DataFrame, start, end, dev: DataFrame | None = None)
     from ..functions.nodes import metric_category
 
     dev = dev if dev is not None else device_energy(readings, start, end)
-    per_metric = dev.where(F.col("fqdd") == "TOTAL").select("hostname", "metric", "energy_kwh")
+    per_metric = dev.where("is_total").select("hostname", "metric", "energy_kwh")
     return per_metric.withColumn("category", metric_category("metric"))
 
 
@@ -303,7 +303,7 @@ def component_breakdown(readings: DataFrame, start, end) -> DataFrame:
             )
         ),
     )
-    gpu_rows = dev.where((F.col("metric") == "PowerConsumption") & (F.col("fqdd") != "TOTAL")).select(
+    gpu_rows = dev.where((F.col("metric") == "PowerConsumption") & ~F.col("is_total") & F.col("fqdd").isNotNull()).select(
         "hostname",
         # label: the part of the device id after its last underscore
         F.concat(F.lit("GPU (fqdd="), F.element_at(F.split(F.col("fqdd"), "_"), -1), F.lit(")")).alias("component"),
@@ -337,7 +337,7 @@ def cpu_fqdd_share(readings: DataFrame, start, end) -> DataFrame:
     """CPU energy per device (CPU metrics with devices)."""
     cpu = within(readings, start, end).where(F.col("metric").isin(K.METRIC_CATEGORIES["CPU"]) & F.col("fqdd").isNotNull())
     d = E.energy_per_fqdd(cpu, start, end)
-    return d.where(F.col("fqdd") != "TOTAL").select("hostname", "metric", "fqdd", "energy_kwh")
+    return d.where(~F.col("is_total")).select("hostname", "metric", "fqdd", "energy_kwh")
 
 
 def component_share_contains(readings: DataFrame, start, end) -> DataFrame:

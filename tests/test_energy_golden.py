@@ -103,3 +103,10 @@ def test_units_converted_per_row(readings, spark):
 def test_energy_simple(readings):
     df = readings([("2025-01-01 10:00:00", 100), ("2025-01-01 11:00:00", 300)])
     assert one(E.energy_simple(df)) == pytest.approx(0.2)
+
+
+def test_a_device_called_total_is_not_the_total(readings):
+    hours = [f"2025-01-01 0{h}:00:00" for h in range(3)]
+    df = readings([(t, 100.0) for t in hours], fqdd="TOTAL").unionByName(readings([(t, 50.0) for t in hours], fqdd="d1"))
+    got = sorted((r.fqdd, r.is_total, round(r.energy_kwh, 9)) for r in E.energy_per_fqdd(df).collect())
+    assert got == [("TOTAL", False, 0.2), ("TOTAL", True, 0.3), ("d1", False, 0.1)]
