@@ -271,8 +271,15 @@ def _cat_energy(me: DataFrame, cat: str, total_metric: str | None) -> Column:
     return F.coalesce(tot, F.sum(F.when(in_cat, F.col("energy_kwh"))), F.lit(0.0))
 
 
+def has_gpu(hostname="hostname") -> Column:
+    """Hosts of the zen4 partition have no GPU; their forms of K11, K12 and K16 leave it out."""
+    from ..functions.nodes import node_database
+
+    return node_database(hostname) != "zen4"
+
+
 def component_totals(readings: DataFrame, start, end, dev: DataFrame | None = None) -> DataFrame:
-    """Per host: CPU, MEMORY, GPU total, FAN, STORAGE and SystemOutput kWh."""
+    """Per host: CPU, MEMORY, GPU total (null for hosts without GPU), FAN, STORAGE and SystemOutput kWh."""
     dev = dev if dev is not None else device_energy(readings.where(F.col("node_type") == "compute"), start, end)
     me = metric_energy(readings, start, end, dev)
     return me.groupBy("hostname").agg(
@@ -282,12 +289,13 @@ def component_totals(readings: DataFrame, start, end, dev: DataFrame | None = No
         _cat_energy(me, "STORAGE", K.CATEGORY_TOTAL_METRIC["STORAGE"]).alias("storage"),
         F.coalesce(F.max(F.when(F.col("metric") == "SystemOutputPower", F.col("energy_kwh"))), F.lit(0.0)).alias("system_output"),
         F.coalesce(F.sum(F.when(F.col("metric") == "PowerConsumption", F.col("energy_kwh"))), F.lit(0.0)).alias("gpu_total"),
-    )
+    ).withColumn("gpu_total", F.when(has_gpu(), F.col("gpu_total")))
 
 
 def component_breakdown(readings: DataFrame, start, end) -> DataFrame:
     """Per host rows CPU, MEMORY, GPU (fqdd=x)..., GPU Total, FAN,
-    STORAGE, SystemOutputPower with an ``order_idx`` (missing -> 0.0)."""
+    STORAGE, SystemOutputPower with an ``order_idx`` (missing -> 0.0); no GPU
+    rows for hosts without GPU."""
     dev = device_energy(readings.where(F.col("node_type") == "compute"), start, end)
     t = component_totals(readings, start, end, dev)
     fixed = t.select(
@@ -303,7 +311,8 @@ def component_breakdown(readings: DataFrame, start, end) -> DataFrame:
             )
         ),
     )
-    gpu_rows = dev.where((F.col("metric") == "PowerConsumption") & ~F.col("is_total") & F.col("fqdd").isNotNull()).select(
+    fixed = fixed.where(F.col("energy_kwh").isNotNull())  # the total of hosts without GPU
+    gpu_rows = dev.where(has_gpu() & (F.col("metric") == "PowerConsumption") & ~F.col("is_total") & F.col("fqdd").isNotNull()).select(
         "hostname",
         # label: the part of the device id after its last underscore
         F.concat(F.lit("GPU (fqdd="), F.element_at(F.split(F.col("fqdd"), "_"), -1), F.lit(")")).alias("component"),
@@ -314,9 +323,10 @@ def component_breakdown(readings: DataFrame, start, end) -> DataFrame:
 
 
 def component_share(readings: DataFrame, start, end) -> DataFrame:
-    """Top-level shares; Other = max(output - sum of components, 0)."""
+    """Top-level shares; Other = max(output - sum of components, 0); no GPU
+    row for hosts without GPU."""
     t = component_totals(readings, start, end)
-    s = F.col("cpu") + F.col("gpu_total") + F.col("memory") + F.col("fan") + F.col("storage")
+    s = F.col("cpu") + F.coalesce("gpu_total", F.lit(0.0)) + F.col("memory") + F.col("fan") + F.col("storage")
     other = F.greatest(F.col("system_output") - s, F.lit(0.0))
     return t.select(
         "hostname",
@@ -330,7 +340,7 @@ def component_share(readings: DataFrame, start, end) -> DataFrame:
                 F.struct(F.lit("Other").alias("component"), other.alias("energy_kwh")),
             )
         ),
-    )
+    ).where(F.col("energy_kwh").isNotNull())
 
 
 def cpu_fqdd_share(readings: DataFrame, start, end) -> DataFrame:
@@ -382,7 +392,7 @@ def metric_relationships(readings: DataFrame, start, end) -> DataFrame:
 def components_vs_system(readings: DataFrame, start, end) -> DataFrame:
     """SystemOutput vs CPU+MEMORY+GPU+FAN+STORAGE, MATCHES under 10 %."""
     t = component_totals(readings, start, end)
-    comp = F.col("cpu") + F.col("memory") + F.col("gpu_total") + F.col("fan") + F.col("storage")
+    comp = F.col("cpu") + F.col("memory") + F.coalesce("gpu_total", F.lit(0.0)) + F.col("fan") + F.col("storage")
     t = t.withColumn("components_total", comp).where((F.col("system_output") > 0) & (F.col("components_total") > 0))
     diff = F.abs(F.col("system_output") - F.col("components_total"))
     pct = diff / F.col("system_output") * 100.0

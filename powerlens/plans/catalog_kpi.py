@@ -301,7 +301,7 @@ def _comp_heads() -> list[str]:
               coalesce(max(CASE WHEN metric = 'TotalFanPower' THEN energy_kwh END), sum(CASE WHEN category = 'FAN' THEN energy_kwh END), 0.0) AS fan,
               coalesce(max(CASE WHEN metric = 'TotalStoragePower' THEN energy_kwh END), sum(CASE WHEN category = 'STORAGE' THEN energy_kwh END), 0.0) AS storage,
               coalesce(max(CASE WHEN metric = 'SystemOutputPower' THEN energy_kwh END), 0.0) AS system_output,
-              coalesce(sum(CASE WHEN metric = 'PowerConsumption' THEN energy_kwh END), 0.0) AS gpu_total
+              CASE WHEN NOT starts_with(hostname, 'rpc-') THEN coalesce(sum(CASE WHEN metric = 'PowerConsumption' THEN energy_kwh END), 0.0) END AS gpu_total
             FROM me GROUP BY hostname)""",
     ]
 
@@ -310,12 +310,12 @@ def _comp_heads() -> list[str]:
 , rows AS (
   SELECT hostname, 'CPU' AS component, cpu AS e, 0 AS order_idx FROM ct
   UNION ALL SELECT hostname, 'MEMORY', memory, 1 FROM ct
-  UNION ALL SELECT hostname, 'GPU Total', gpu_total, 3 FROM ct
+  UNION ALL SELECT hostname, 'GPU Total', gpu_total, 3 FROM ct WHERE gpu_total IS NOT NULL
   UNION ALL SELECT hostname, 'FAN', fan, 4 FROM ct
   UNION ALL SELECT hostname, 'STORAGE', storage, 5 FROM ct
   UNION ALL SELECT hostname, 'SystemOutputPower', system_output, 6 FROM ct
   UNION ALL SELECT hostname, concat('GPU (fqdd=', string_split(fqdd, '_')[-1], ')'), energy_kwh, 2 FROM f_all
-    WHERE metric = 'PowerConsumption' AND fqdd <> 'TOTAL')
+    WHERE metric = 'PowerConsumption' AND fqdd <> 'TOTAL' AND NOT starts_with(hostname, 'rpc-'))
 SELECT hostname, component, {R('e', 'energy_kwh')}, CAST(order_idx AS INTEGER) AS order_idx FROM rows""")
 def q_component_breakdown(spark, sf):
     return rounded(kpi.component_breakdown(CR(spark, sf), P.START, P.END))
@@ -323,17 +323,17 @@ def q_component_breakdown(spark, sf):
 
 @query("component_share", lambda: _head(*_comp_heads()) + f"""
 , rows AS (
-  SELECT hostname, 'GPU Total' AS component, gpu_total AS e FROM ct UNION ALL SELECT hostname, 'CPU', cpu FROM ct
+  SELECT hostname, 'GPU Total' AS component, gpu_total AS e FROM ct WHERE gpu_total IS NOT NULL UNION ALL SELECT hostname, 'CPU', cpu FROM ct
   UNION ALL SELECT hostname, 'MEMORY', memory FROM ct UNION ALL SELECT hostname, 'FAN', fan FROM ct
   UNION ALL SELECT hostname, 'STORAGE', storage FROM ct
-  UNION ALL SELECT hostname, 'Other', greatest(system_output - (cpu + gpu_total + memory + fan + storage), 0.0) FROM ct)
+  UNION ALL SELECT hostname, 'Other', greatest(system_output - (cpu + coalesce(gpu_total, 0.0) + memory + fan + storage), 0.0) FROM ct)
 SELECT hostname, component, {R('e', 'energy_kwh')} FROM rows""")
 def q_component_share(spark, sf):
     return rounded(kpi.component_share(CR(spark, sf), P.START, P.END))
 
 
 @query("components_vs_system", lambda: _head(*_comp_heads()) + f"""
-, v AS (SELECT hostname, system_output AS o, cpu + memory + gpu_total + fan + storage AS t FROM ct)
+, v AS (SELECT hostname, system_output AS o, cpu + memory + coalesce(gpu_total, 0.0) + fan + storage AS t FROM ct)
 SELECT hostname, {R('o', 'energy1_kwh')}, {R('t', 'energy2_kwh')}, {R('abs(o - t)', 'difference_kwh')},
   {R('abs(o - t) / o * 100.0', 'difference_percent')},
   CASE WHEN abs(o - t) / o * 100.0 < {K.SYSTEM_MATCH_PCT} THEN 'MATCHES' ELSE 'MISMATCH' END AS relationship

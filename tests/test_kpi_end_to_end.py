@@ -146,3 +146,19 @@ def test_rack_summary_reports_silent_racks(spark):
     assert {k: x["status"] for k, x in got.items() if k != 91} == dict.fromkeys(range(92, 98), "no_data")
     assert (got[91]["status"], got[91]["nodes_analyzed"]) == ("success", 1)
     assert got[91]["compute_energy_kwh"] == pytest.approx(0.1) and got[91]["pdu_energy_kwh"] == got[92]["total_energy_kwh"] == 0.0
+
+
+def test_components_of_hosts_with_and_without_gpu(spark):
+    rows = [(t, h, "compute", m, p, "W", d) for t in (0, 3600) for h in ("rpg-93-1", "rpc-91-1")
+            for m, p, d in (("TotalCPUPower", 100.0, None), ("PowerConsumption", 50.0, "GPU_1"), ("SystemOutputPower", 400.0, None))]
+    s, e = "2025-01-01 12:00:00", "2025-01-01 13:00:00"
+    r = frame(spark, rows)
+    got = {}
+    for x in kpi.component_breakdown(r, s, e).collect():
+        got.setdefault(x.hostname, {})[x.component] = round(x.energy_kwh, 6)
+    assert got["rpg-93-1"]["GPU Total"] == got["rpg-93-1"]["GPU (fqdd=1)"] == 0.05
+    assert got["rpc-91-1"] == {"CPU": 0.1, "MEMORY": 0.0, "FAN": 0.0, "STORAGE": 0.0, "SystemOutputPower": 0.4}
+    share = {(x.hostname, x.component): round(x.energy_kwh, 6) for x in kpi.component_share(r, s, e).collect()}
+    assert share[("rpg-93-1", "Other")] == 0.25 and share[("rpc-91-1", "Other")] == 0.3 and ("rpc-91-1", "GPU Total") not in share
+    total = {x.hostname: round(x.energy2_kwh, 6) for x in kpi.components_vs_system(r, s, e).collect()}
+    assert total == {"rpg-93-1": 0.15, "rpc-91-1": 0.1}
