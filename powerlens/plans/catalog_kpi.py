@@ -456,14 +456,23 @@ def q_write_report(spark, sf):
 
 
 @query("write_job_outputs", lambda: _summary_sql() + f"""
-SELECT s.job_id, j.job_user, s.label, {R('s.energy_kwh', 'energy_kwh')}, s.fqdd FROM summ s JOIN jobs j ON s.job_id = j.job_id""")
+SELECT 'raw' AS dataset, job_id, job_user, strftime(start_ts, '%Y-%m-%d') AS job_day, metric AS item, fqdd,
+  CAST(event_id AS DOUBLE) AS event_id, {R('value')} FROM jr
+UNION ALL SELECT 'summary', s.job_id, j.job_user, strftime(j.start_ts, '%Y-%m-%d'), s.label, s.fqdd, NULL, {R('s.energy_kwh', 'value')}
+FROM summ s JOIN jobs j ON s.job_id = j.job_id""")
 def q_write_job_outputs(spark, sf):
-    """Raw job rows and summaries written per user; the summary read back."""
+    """Two batches of jobs that share ten days, so the second replaces those; raw rows and summaries read back."""
     rd, jb = CR(spark, sf), J.jobs(spark, sf)
-    raw = W.job_readings(rd, jb)
-    users = jb.select("job_id", "job_user")
-    summ = W.job_energy_summary(rd, jb).join(users, "job_id")
+    day = F.to_date("start_ts")
     path = _scratch(spark, "jobs")
-    SK.write_job_outputs(raw, summ, path)
-    back = spark.read.parquet(f"{path}/summary")
-    return rounded(back.select("job_id", "job_user", "label", "energy_kwh", "fqdd"))
+    for batch in (jb.where(day <= "2024-01-20"), jb.where(day >= "2024-01-11")):
+        raw = W.job_readings(rd, batch).withColumn("job_day", day)
+        users = batch.select("job_id", "job_user", day.alias("job_day"))
+        SK.write_job_outputs(raw, W.job_energy_summary(rd, batch).join(users, "job_id"), path)
+    null = F.lit(None).cast("double")
+    keys = ["job_id", "job_user", F.date_format("job_day", "yyyy-MM-dd").alias("job_day")]
+    raw = SK.read_job_outputs(spark, path, "raw").select(
+        F.lit("raw").alias("dataset"), *keys, F.col("metric").alias("item"), "fqdd", F.col("event_id").cast("double").alias("event_id"), "value")
+    summary = SK.read_job_outputs(spark, path, "summary").select(
+        F.lit("summary").alias("dataset"), *keys, F.col("label").alias("item"), "fqdd", null.alias("event_id"), F.col("energy_kwh").alias("value"))
+    return rounded(raw.unionByName(summary))
