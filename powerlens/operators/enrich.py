@@ -57,18 +57,22 @@ def enrich_infra(facts: DataFrame, nodes: DataFrame, defs: DataFrame) -> DataFra
 def merge_series(frames: list[DataFrame], on=("ts", "hostname")) -> DataFrame:
     """N-way full outer join on ``on``; inputs that are None or have no value
     column are skipped (no job looks into them), and colliding value columns of
-    later frames get a ``_y`` suffix."""
+    later frames get a ``_y`` suffix, repeated until the name is free."""
     on = list(on)
     frames = [f for f in frames if f is not None and set(f.columns) - set(on)]
     if not frames:
         raise ValueError("no frames to merge")
 
     def step(acc: DataFrame, nxt: DataFrame) -> DataFrame:
-        ren = nxt
+        taken, names = set(acc.columns), {}
         for c in nxt.columns:
-            if c not in on and c in acc.columns:
-                ren = ren.withColumnRenamed(c, f"{c}_y")
-        return acc.join(ren, on, "full")
+            if c in on:
+                continue
+            names[c] = c
+            while names[c] in taken:
+                names[c] += "_y"
+            taken.add(names[c])
+        return acc.join(nxt.select(*on, *[F.col(c).alias(n) for c, n in names.items()]), on, "full")
 
     return reduce(step, frames)
 
