@@ -7,6 +7,8 @@ buffers are bounded by bins, not by the readings of a series.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,12 +193,15 @@ def bucket_aggregate(processed: DataFrame, group_by: str = "hostname", bucket: s
 
     Buckets start at multiples of the duration since the epoch; for
     durations that divide a day this equals buckets from midnight (D23).
+    The last cumulative value is that of the largest (ts, event_id), an event without
+    an id before the others.  The pair is one exact decimal, a buffer that hash aggregates can hold.
     """
     allowed = {"1 minute", "5 minutes", "15 minutes", "30 minutes", "1 hour", "2 hours", "3 hours", "6 hours",
                "12 hours", "1 day"}
     if bucket not in allowed:
         raise ValueError(f"bucket must divide a day: one of {sorted(allowed)}")
-    rowkey = F.struct(F.col("ts"), F.col("event_id"))
+    instant = epoch_micros(F.col("ts")).cast("decimal(18,0)") * F.lit(Decimal(2**64))
+    rowkey = instant + F.coalesce(F.col("event_id").cast("bigint"), F.lit(-(2**63)).cast("bigint")).cast("decimal(19,0)")
     p, v = F.col("power_w"), F.col("value")
     return (
         processed.groupBy(group_by, F.window("ts", bucket).alias("w"))

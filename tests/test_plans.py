@@ -16,7 +16,8 @@ def final_plan(df) -> str:
 @pytest.mark.parametrize(
     "name",
     ["pue_daily", "pue", "energy_daily", "energy_boundary", "energy_gap", "cumulative_energy", "rack_cop_daily",
-     "job_energy", "window_energy", "idle_power", "component_breakdown", "power_statistics", "detect_anomalies"],
+     "job_energy", "window_energy", "idle_power", "component_breakdown", "power_statistics", "detect_anomalies",
+     "bucket_aggregate"],
 )
 def test_hash_aggregates_only(spark, name):
     assert "SortAggregate" not in final_plan(Q[name](spark, SF))

@@ -85,6 +85,18 @@ def test_bucket_rejects_non_divisor(spark):
         ST.bucket_aggregate(_series(spark, [1]), bucket="7 minutes")
 
 
+def test_bucket_last_value_by_time_and_event(spark):
+    """Ties of time go to the larger event id; ids far apart, negative or missing; times before the epoch."""
+    big = 2**62
+    rows = [("a", "2025-01-01 00:10:00", 1, 1.0), ("a", "2025-01-01 00:59:59.999999", -big, 2.0), ("a", "2025-01-01 00:59:59.999999", None, 3.0),
+            ("b", "2025-01-01 00:00:00", big, 4.0), ("b", "2025-01-01 00:00:00", big - 1, 5.0), ("b", "2025-01-01 00:00:00", -1, 6.0),
+            ("c", "1969-12-31 23:59:59", 9, 7.0), ("c", "1969-12-31 23:59:59.000001", -9, 8.0), ("d", "2025-01-01 00:00:00", None, 9.0)]
+    df = spark.createDataFrame([(h, t, i, v, v, v) for h, t, i, v in rows],
+                               "hostname string, ts string, event_id long, power_w double, value double, cumulative_energy_kwh double")
+    out = ST.bucket_aggregate(df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).collect()
+    assert {r.hostname: r.cumulative_energy_kwh_last for r in out} == {"a": 2.0, "b": 4.0, "c": 8.0, "d": 9.0}
+
+
 def test_rolling_chunks_match_unchunked(spark):
     """Chunked rolling windows with halos equal one window over the series."""
     import random
