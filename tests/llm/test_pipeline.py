@@ -118,3 +118,20 @@ def test_run_is_the_stages_in_turn(spark, stages):
     sf, after = stages
     columns = ["doc_id", "source", "n_tokens", "ids"]
     assert rows(CP.run(spark, sf).select(*columns)) == rows(after[5].select(*columns))
+
+
+def test_empty_tables(spark, tmp_path):
+    sf = str(tmp_path)
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{sf}/{name}.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert [stage(spark, docs, sf).count() for _, stage in CP.STAGES] == [0] * len(CP.STAGES)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40)
+    extra = ["severity", "Fingerprint", "component_id", "position", "key", "words", "spans", "ids", "n_tokens", "toxic", "block"]
+    for _, stage in CP.STAGES[:-1]:
+        plain, more = stage(spark, docs, SF), stage(spark, docs.select("*", *[F.lit("z").alias(c) for c in extra]), SF)
+        assert set(more.columns) == {*docs.columns, *extra}
+        assert rows(more.select(*COLUMNS)) == rows(plain.select(*COLUMNS))
