@@ -9,6 +9,7 @@ from .. import constants as K
 from ..functions import nodes as N
 from ..functions.times import within
 from ..functions.units import to_watts
+from ..session import stored
 
 
 def _ts(t) -> Column:
@@ -66,9 +67,21 @@ def recent_n(df: DataFrame, n: int = 100, now=None, hours: float | None = 1.0) -
 def top_n_per(df: DataFrame, keys, n: int, newest: bool) -> DataFrame:
     """First or last ``n`` rows of every group.
 
-    ``row_number`` over the group; Spark plans a WindowGroupLimit below the
-    shuffle so each task keeps only ``n`` rows per group before exchanging.
+    Two steps, so that no task sorts what it scans.  A hash aggregate counts the rows of every
+    (group, day); a group's days up to the one in which the count reaches ``n`` hold its first
+    ``n`` rows, and only theirs are numbered (``row_number``; Spark plans a WindowGroupLimit
+    below the shuffle).  Rows without a time are a day of their own, first when
+    ascending and last when descending, as in the sort.
     """
+    keys = list(keys)
+    day = F.to_date("ts")
+    by_day = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy(F.col("_day").desc() if newest else F.col("_day"))
+    days = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    days = days.withColumn("_before", F.coalesce(F.sum("_n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # written and read back, so that Spark knows how few they are and the rows stay where they are
+    days = stored(days.where(F.col("_before") < n).drop("_n", "_before"), "first-days")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [day.eqNullSafe(F.col("_day"))]
+    df = df.join(days, same, "left_semi")
     order = [F.col("ts").desc(), F.col("event_id").desc()] if newest else [F.col("ts"), F.col("event_id")]
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
@@ -82,7 +95,7 @@ def power_metric_ids(defs: DataFrame) -> DataFrame:
 def oldest_n_per_metric(readings: DataFrame, defs: DataFrame, hostname: str | None, n: int) -> DataFrame:
     """First ``n`` readings of every power metric (definitions semi-join)."""
     df = filter_host(readings, hostname)
-    df = df.join(power_metric_ids(defs), "metric", "left_semi")
+    df = df.join(F.broadcast(power_metric_ids(defs)), "metric", "left_semi")
     return top_n_per(df, ["hostname", "metric"], n, newest=False)
 
 
@@ -108,7 +121,7 @@ def nodeid_recent(readings: DataFrame, defs: DataFrame, nodeid: int | None, now,
     df = within(readings, lo, now)
     if nodeid is not None:
         df = df.where(F.col("nodeid") == nodeid)
-    df = df.join(power_metric_ids(defs), "metric", "left_semi")
+    df = df.join(F.broadcast(power_metric_ids(defs)), "metric", "left_semi")
     return df.select("event_id", "ts", "nodeid", "hostname", "metric", "fqdd", to_watts().alias("value"))
 
 

@@ -78,3 +78,28 @@ def test_window_lookups_equal_direct_integration(rd, spark):
     assert got.keys() == tj.keys()
     for k, (joules, n) in got.items():
         assert n == tj[k][1] and joules == pytest.approx(tj[k][0], abs=1e-6)
+
+
+@pytest.mark.parametrize("newest", [True, False])
+def test_top_n_sorts_only_the_days_that_hold_them(spark, newest):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from powerlens.operators import filters as B
+
+    rng = random.Random(3)
+    rows = [(i, None if rng.random() < 0.03 else f"2024-01-{rng.choice([1, 1, 2, 9]):02d} {rng.randrange(24):02d}:00:00",
+             rng.choice(["a", "b", None]), rng.choice(["m", "n"])) for i in range(400)] + [(900, "2024-02-01 00:00:00", "c", "m")]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "event_id long, ts string, hostname string, metric string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = B.top_n_per(df, ["hostname", "metric"], 5, newest=newest)
+    assert out.columns == [*df.columns, "rn"]
+    got = sorted(((r.hostname or "", r.metric, r.rn, r.event_id) for r in out.collect()))
+    groups = {}
+    for i, ts, h, m in rows:
+        groups.setdefault((h or "", m), []).append((ts or "", i))
+    want = sorted((h, m, k + 1, x[1]) for (h, m), v in groups.items() for k, x in enumerate(sorted(v, reverse=newest)[:5]))
+    assert got == want
+    p = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in p and "LeftSemi" in p  # the rows of other days never reach the window's sort
